@@ -16,6 +16,11 @@ MAYBE_NOT_NFC = (r"[\p{M}\x{1100}-\x{11FF}\x{340}\x{341}\x{374}\x{37E}\x{387}\x{
                  r"\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]")
 
 
+def let(value: Column, body) -> Column:
+    """Bind an expression to a name, so that a large one is planned and evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 @F.pandas_udf("string")
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
