@@ -4,6 +4,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # --- fixed values: character classes, spelled so that Java and RE2 read them alike -------------
 WS = r"[\t-\r\x{85}\p{Z}]"
@@ -21,7 +22,7 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 

@@ -11,7 +11,8 @@ from ..functions import html, markdown
 from ..functions.text import NOT_WS, WS, collapse_ws, is_blank, trim_ws, unix_newlines
 from .numbering import number_in_group
 
-NO_MAP = F.lit(None).cast("map<string,string>")
+def no_map() -> Column:
+    return F.lit(None).cast("map<string,string>")
 
 
 def source_rows(df: DataFrame, certainty: str, attributes: Column = None) -> DataFrame:
@@ -19,8 +20,8 @@ def source_rows(df: DataFrame, certainty: str, attributes: Column = None) -> Dat
     return df.select(
         "doc_id", "fact_id", "kind", "text", F.col("ord").cast("bigint").alias("ord"), "location",
         F.lit(certainty).alias("certainty"),
-        (NO_MAP if attributes is None else attributes).alias("attributes"),
-        NO_MAP.alias("property_certainty"))
+        (no_map() if attributes is None else attributes).alias("attributes"),
+        no_map().alias("property_certainty"))
 
 
 def txt_facts(docs: DataFrame) -> DataFrame:

@@ -88,9 +88,9 @@ def occurrence(df: DataFrame, keys: list[str], name: str, counted: Column) -> Da
     return df.withColumn(name, F.when(counted, F.sum(counted.cast("int")).over(w)))
 
 
-def match_text_fifo(source: DataFrame, output: DataFrame, source_ok: Column = F.lit(True)) -> DataFrame:
+def match_text_fifo(source: DataFrame, output: DataFrame, source_ok: Column = None) -> DataFrame:
     """Pairs of facts of one kind with equal normalised text; blank text never matches."""
-    s = occurrence(source.filter(source_ok & (F.col("norm") != "")), ["doc_id", "kind", "norm"], "rn", F.lit(True))
+    s = occurrence((source if source_ok is None else source.filter(source_ok)).filter("norm <> ''"), ["doc_id", "kind", "norm"], "rn", F.lit(True))
     o = occurrence(output.filter(F.col("norm") != ""), ["doc_id", "arm", "kind", "norm"], "rn", F.lit(True))
     s = s.select("doc_id", "kind", "norm", "rn", F.col("fact_id").alias("source_fact_id"),
                  F.col("ord").alias("source_ord"), F.col("place").alias("source_place"))
