@@ -14,8 +14,8 @@ TAG_STREAM = (
     r"|</?[a-z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|<![^>]*>|[^<]+|<"
 )
 ENTITY = r"&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
-# The named entities come from the language's own HTML tables.
-NAMED = json.dumps({"&" + k: v for k, v in html.entities.html5.items() if k.endswith(";")})
+# The named entities come from the language's own table of HTML 4 names.
+NAMED = json.dumps({f"&{k};": chr(v) for k, v in html.entities.name2codepoint.items()} | {"&apos;": "'"})
 
 
 def _code_point(hex_digits: Column) -> Column:

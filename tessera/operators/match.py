@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, normalize_text, tokens
+from ..functions.text import collapse_ws, is_blank, nfc, tokens
 from ..functions.url import canonical_uri
 from ..plans.dims import CONTENT_KINDS, EXACT
 
@@ -28,13 +28,17 @@ def has_attributes(attributes: Column, keys: list[str]) -> Column:
                                lambda k: ~is_blank(F.element_at(attributes, k))), F.lit(False))
 
 
-def _comparable() -> list[Column]:
+def _comparable(facts: DataFrame) -> DataFrame:
+    """Add normalised text, its lines, the place attributes and the canonical target."""
     attr = lambda k: F.element_at("attributes", k)
-    kind = F.col("kind")
+    kind, composed = F.col("kind"), F.col("_nfc")
     place = (F.when(kind.isin("HEADING", "LIST_ITEM"), attr("level"))
              .when(kind == "TABLE_CELL", F.concat(attr("row"), F.lit(","), attr("column"))))
-    return [normalize_text(F.col("text")).alias("norm"), place.alias("place"),
-            F.when(kind == "LINK", canonical_uri(attr("target"))).alias("uri")]
+    lines = F.filter(F.transform(F.split(composed, "\n"), collapse_ws), lambda t: t != "")
+    facts = facts.withColumn("_nfc", nfc(F.coalesce("text", F.lit("")))).withColumn("norm", collapse_ws(composed))
+    return facts.select(
+        "*", F.when(kind.isin(CONTENT_KINDS) & composed.contains("\n"), lines).alias("lines"), place.alias("place"),
+        F.when(kind == "LINK", canonical_uri(attr("target"))).alias("uri"))
 
 
 def comparable_source(facts: DataFrame) -> DataFrame:
@@ -42,44 +46,80 @@ def comparable_source(facts: DataFrame) -> DataFrame:
     usable = (F.when(F.col("kind") == "TABLE_CELL", fact_is_exact("position") & has_attributes(F.col("attributes"), ["row", "column"]))
               .when(F.col("kind").isin("HEADING", "LIST_ITEM"), fact_is_exact("level") & has_attributes(F.col("attributes"), ["level"]))
               .otherwise(F.lit(False)))
-    return facts.select(
-        "doc_id", "fact_id", "kind", "ord", *_comparable(),
+    return _comparable(facts).select(
+        "doc_id", "fact_id", "kind", "ord", "norm", "lines", "place", "uri",
         F.coalesce(F.col("certainty").isin(EXACT), F.lit(False)).alias("x_fact"),
         *[fact_is_exact(p).alias("x_" + p) for p in ("text", "order", "target", "presence")],
         usable.alias("x_place"))
 
 
 def comparable_output(facts: DataFrame) -> DataFrame:
-    return facts.select("doc_id", "arm", "fact_id", "kind", "ord", *_comparable())
+    return _comparable(facts).select("doc_id", "arm", "fact_id", "kind", "ord", "norm", "lines", "place", "uri")
 
 
-def _items(text_ok: str, target_ok: str) -> Column:
-    """What a fact contributes to the multisets: tokens, its text, its link target."""
-    token_items = F.transform(
-        F.when(F.expr(f"kind IN {tuple(CONTENT_KINDS)} AND {text_ok}"), tokens(F.col("norm"))).otherwise(
-            F.array().cast("array<string>")),
-        lambda t: F.struct(F.lit("token").alias("cls"), t.alias("key")))
-    return F.concat(token_items, F.expr(f"""filter(array(
-        struct(CASE WHEN kind IN ('HEADING', 'LIST_ITEM', 'TABLE_CELL', 'LINK') AND {text_ok} AND norm <> ''
-                    THEN kind END AS cls, norm AS key),
-        struct(CASE WHEN kind = 'LINK' AND {target_ok} AND uri <> '' THEN 'uri' END AS cls, uri AS key)),
-        x -> x.cls IS NOT NULL)"""))
+def _items(df: DataFrame, keys: list[str], text_ok: str, target_ok: str, count: str) -> DataFrame:
+    """What the facts contribute to the multisets, counted: lines, texts per kind, link targets."""
+    line_ok = f"kind IN {tuple(CONTENT_KINDS)} AND {text_ok} AND norm <> ''"
+    items = F.expr(f"""concat(
+        CASE WHEN {line_ok} THEN transform(coalesce(lines, array(norm)), t -> struct('line' AS cls, t AS key)) ELSE array() END,
+        CASE WHEN kind IN ('HEADING', 'LIST_ITEM', 'TABLE_CELL', 'LINK') AND {text_ok} AND norm <> ''
+             THEN array(struct(kind AS cls, norm AS key)) ELSE array() END,
+        CASE WHEN kind = 'LINK' AND {target_ok} AND uri <> '' THEN array(struct('uri' AS cls, uri AS key)) ELSE array() END)""")
+    rows = df.select(*keys, F.explode(items).alias("i")).select(*keys, "i.*")
+    return rows.groupBy(*keys, "cls", "key").agg(F.count("*").alias(count))
 
 
 def source_items(source: DataFrame) -> DataFrame:
-    return source.select("doc_id", F.explode(_items("x_text", "x_target")).alias("i")).groupBy(
-        "doc_id", F.col("i.cls").alias("cls"), F.col("i.key").alias("key")).agg(F.count("*").alias("n_source"))
+    """Counted items of the source; each distinct line is tokenised once, whatever the arms."""
+    size = F.when(F.col("cls") == "line", F.size(tokens(F.col("key")))).otherwise(0)
+    return _items(source, ["doc_id"], "x_text", "x_target", "n_source").withColumn("source_size", size)
 
 
 def output_items(output: DataFrame) -> DataFrame:
-    return output.select("doc_id", "arm", F.explode(_items("true", "true")).alias("i")).groupBy(
-        "doc_id", "arm", F.col("i.cls").alias("cls"), F.col("i.key").alias("key")).agg(F.count("*").alias("n_output"))
+    return _items(output, ["doc_id", "arm"], "true", "true", "n_output")
+
+
+def compared_items(source: DataFrame, output: DataFrame) -> DataFrame:
+    """Output items beside the source item of the same key; only unknown lines are tokenised."""
+    both = output_items(output).join(source_items(source), ["doc_id", "cls", "key"], "left")
+    size = F.coalesce("source_size", F.when(F.col("cls") == "line", F.size(tokens(F.col("key")))).otherwise(0))
+    return both.select("doc_id", "arm", "cls", "key", "n_output", "n_source", size.alias("size"),
+                       F.least("n_output", F.coalesce("n_source", F.lit(0))).alias("matched"))
 
 
-def multiset_overlap(source: DataFrame, output: DataFrame) -> DataFrame:
-    """Size of the multiset intersection per ``(doc_id, arm, cls)``."""
-    both = output_items(output).join(source_items(source), ["doc_id", "cls", "key"])
-    return both.groupBy("doc_id", "arm", "cls").agg(F.sum(F.least("n_source", "n_output")).alias("matched"))
+def multiset_overlap(items: DataFrame) -> DataFrame:
+    """Size of the multiset intersection per ``(doc_id, arm, cls)`` of ``compared_items``."""
+    return items.filter("matched > 0").groupBy("doc_id", "arm", "cls").agg(F.sum("matched").alias("matched"))
+
+
+def rest_overlap(items: DataFrame, source: DataFrame) -> DataFrame:
+    """Token overlap of the lines that have no partner, per ``(doc_id, arm)``.
+
+    Taking the same lines out of both sides takes the same tokens out of both, so the overlap is
+    the tokens of the matched lines plus the overlap of the rest. Tokens are only exploded for
+    outputs that hold lines unknown to their source.
+    """
+    lines = items.filter("cls = 'line'")
+    left_over = lines.filter("n_output > matched").select(
+        "doc_id", "arm", "key", (F.col("n_output") - F.col("matched")).alias("n"))
+    source_lines = source_items(source).filter("cls = 'line'").select("doc_id", "key", "n_source")
+    touched = left_over.select("doc_id", "arm").distinct()
+    partner = lines.select("doc_id", "arm", "key", "n_output")
+    missing = (touched.join(source_lines, "doc_id").join(partner, ["doc_id", "arm", "key"], "left")
+               .select("doc_id", "arm", "key", (F.col("n_source") - F.coalesce("n_output", F.lit(0))).alias("n")).filter("n > 0"))
+    side = lambda df, s, o: df.select("doc_id", "arm", F.explode(tokens(F.col("key"))).alias("token"),
+                                      (F.col("n") * s).alias("s"), (F.col("n") * o).alias("o"))
+    both = side(missing, 1, 0).unionByName(side(left_over, 0, 1)).groupBy("doc_id", "arm", "token").agg(
+        F.sum("s").alias("s"), F.sum("o").alias("o"))
+    return both.groupBy("doc_id", "arm").agg(F.sum(F.least("s", "o")).alias("rest"))
+
+
+def token_overlap(items: DataFrame, source: DataFrame) -> DataFrame:
+    """Token multiset overlap per ``(doc_id, arm)``: matched lines and the overlap of the rest."""
+    whole = items.filter("cls = 'line' AND matched > 0").groupBy("doc_id", "arm").agg(
+        F.sum(F.col("matched") * F.col("size")).alias("whole"))
+    return whole.join(rest_overlap(items, source), ["doc_id", "arm"], "full_outer").select(
+        "doc_id", "arm", (F.coalesce("whole", F.lit(0)) + F.coalesce("rest", F.lit(0))).cast("bigint").alias("matched"))
 
 
 def occurrence(df: DataFrame, keys: list[str], name: str, counted: Column) -> DataFrame:

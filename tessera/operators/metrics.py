@@ -4,11 +4,10 @@ Facts of both sides are reduced to one wide row per ``(doc_id, arm)``; the metri
 that row. Every result starts from the list of pairs, so an output without facts still scores 0.
 """
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
 from ..plans.dims import CONTENT_KINDS, METRICS
+from ..session import by_document, cut_lineage
 from . import match
 
 SOURCE_CERTAINTY = "NOT_EVALUATED_SOURCE_CERTAINTY"
@@ -34,7 +33,7 @@ OUTPUT_COUNTS = {
     "out_uri": "kind = 'LINK' AND uri <> ''",
     **{f"out_{p}": f"kind = '{k}'" for k, p in PREFIXES.items()},
 }
-OVERLAPS = {"m_token": "token", "m_uri": "uri", "m_anchor": "LINK",
+OVERLAPS = {"m_uri": "uri", "m_anchor": "LINK",
             **{f"m_{p}": k for k, p in PREFIXES.items()}}
 
 
@@ -44,28 +43,37 @@ def _count(name: str, condition: str):
 
 def source_counts(source: DataFrame) -> DataFrame:
     """One row of counts per source document."""
-    size = F.when(F.expr(f"{CONTENT} AND x_text"), F.size(tokens(F.col("norm")))).otherwise(0)
-    return source.groupBy("doc_id").agg(
-        F.sum(size).alias("src_tokens"), *[_count(n, c) for n, c in SOURCE_COUNTS.items()])
+    return source.groupBy("doc_id").agg(*[_count(n, c) for n, c in SOURCE_COUNTS.items()])
 
 
 def output_counts(output: DataFrame) -> DataFrame:
-    size = F.when(F.expr(CONTENT), F.size(tokens(F.col("norm")))).otherwise(0)
-    return output.groupBy("doc_id", "arm").agg(
-        F.sum(size).alias("out_tokens"), *[_count(n, c) for n, c in OUTPUT_COUNTS.items()])
+    return output.groupBy("doc_id", "arm").agg(*[_count(n, c) for n, c in OUTPUT_COUNTS.items()])
 
 
-def comparison_row(pairs: DataFrame, source_facts: DataFrame, output_facts: DataFrame,
+def text_counts(s: DataFrame, o: DataFrame) -> DataFrame:
+    """Token totals and multiset overlaps per ``(doc_id, arm)``."""
+    items = match.compared_items(s, o)
+    sums = items.groupBy("doc_id", "arm").agg(
+        F.sum(F.col("n_output") * F.col("size")).alias("out_tokens"),
+        F.sum(F.col("matched") * F.col("size")).alias("whole"),
+        *[F.sum(F.when(F.col("cls") == cls, F.col("matched"))).alias(n) for n, cls in OVERLAPS.items()])
+    rows = sums.join(match.rest_overlap(items, s), ["doc_id", "arm"], "left")
+    return rows.withColumn("m_token", F.col("whole") + F.coalesce("rest", F.lit(0))).drop("whole", "rest")
+
+
+def comparison_row(pairs: DataFrame, s: DataFrame, o: DataFrame,
                    overlap: bool = True, places: bool = True, order: bool = True) -> DataFrame:
-    """One wide row of counts per pair; branches nobody asks for are left out of the plan."""
-    s, o = match.comparable_source(source_facts), match.comparable_output(output_facts)
+    """One wide row of counts per pair, from the comparable facts of both sides.
+
+    Branches nobody asks for are left out of the plan. The branches read both sides several
+    times, see ``comparable``.
+    """
     wide = pairs.join(source_counts(s), "doc_id", "left").join(output_counts(o), ["doc_id", "arm"], "left")
-    names = ["src_tokens", "out_tokens", *SOURCE_COUNTS, *OUTPUT_COUNTS]
+    names = [*SOURCE_COUNTS, *OUTPUT_COUNTS]
     if overlap:
-        sums = match.multiset_overlap(s, o).groupBy("doc_id", "arm").agg(*[
-            F.sum(F.when(F.col("cls") == cls, F.col("matched"))).alias(n) for n, cls in OVERLAPS.items()])
-        wide = wide.join(sums, ["doc_id", "arm"], "left")
-        names += OVERLAPS
+        source_tokens = match.source_items(s).groupBy("doc_id").agg(F.sum(F.col("n_source") * F.col("source_size")).alias("src_tokens"))
+        wide = wide.join(source_tokens, "doc_id", "left").join(text_counts(s, o), ["doc_id", "arm"], "left")
+        names += ["src_tokens", "out_tokens", "m_token", *OVERLAPS]
     if places or order:
         matched = match.place_and_order_pairs(s, o)
         wanted = [c for c, on in (("place", places), ("order", order)) if on]
@@ -81,6 +89,17 @@ def comparison_row(pairs: DataFrame, source_facts: DataFrame, output_facts: Data
     return wide.select(*pairs.columns, *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
 
 
+def comparable(source_facts: DataFrame, output_facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides in comparable form, hashed by document and checkpointed.
+
+    Every branch of the comparison reads them, so they are computed once; the cut also keeps the
+    plans of the scores small. The hash layout survives the cut, later groupings on a document
+    need no exchange.
+    """
+    return (cut_lineage(by_document(match.comparable_source(source_facts))),
+            cut_lineage(by_document(match.comparable_output(output_facts))))
+
+
 def _ratio(num: str, den: str, *guards: tuple[str, str]) -> tuple[str, str, str, str]:
     """(status, numerator, denominator, value) of a ratio; the first guard that holds wins."""
     whens = " ".join(f"WHEN {c} THEN '{s}'" for c, s in guards)
@@ -142,12 +161,13 @@ def metrics_of(wide: DataFrame, names: list[str] = None) -> DataFrame:
     return wide.select("doc_id", "format", "arm", F.expr(f"inline(array({rows}))"))
 
 
-def metrics(pairs, source_facts, output_facts, names: list[str] = None) -> DataFrame:
+def metrics(pairs: DataFrame, s: DataFrame, o: DataFrame, names: list[str] = None) -> DataFrame:
+    """The named metrics (all by default) of comparable facts."""
     wanted = set(names or METHOD)
     needs = lambda *parts: any(p in m for m in wanted for p in parts)
     wide = comparison_row(
-        pairs, source_facts, output_facts,
-        overlap=needs("text", "heading_recall", "heading_precision", "list_item", "cell_recall", "cell_precision", "link", "extra"),
+        pairs, s, o,
+        overlap=needs("text", "heading_recall", "heading_precision", "list_item", "cell_recall", "cell_precision", "link", "content"),
         places=needs("level_accuracy", "position_accuracy"), order=needs("order"))
     return metrics_of(wide, names)
 
@@ -163,9 +183,8 @@ def row_findings(wide: DataFrame) -> DataFrame:
         "doc_id", "format", "arm", "f.code", "f.severity", F.lit(None).cast("string").alias("source_fact_id"))
 
 
-def missing_findings(pairs: DataFrame, source_facts: DataFrame, output_facts: DataFrame) -> DataFrame:
+def missing_findings(pairs: DataFrame, s: DataFrame, o: DataFrame) -> DataFrame:
     """Exact source facts and links without partner: the k-th occurrence with fewer than k outputs."""
-    s, o = match.comparable_source(source_facts), match.comparable_output(output_facts)
     text = F.col("kind").isin(*PREFIXES) & F.col("x_text")
     link = (F.col("kind") == "LINK") & F.col("x_target") & (F.col("uri") != "")
     s = s.select("doc_id", "fact_id", "ord", F.when(text, F.col("kind")).when(link, "uri").alias("cls"),
@@ -182,6 +201,6 @@ def missing_findings(pairs: DataFrame, source_facts: DataFrame, output_facts: Da
                        F.col("fact_id").alias("source_fact_id"))
 
 
-def findings(pairs, source_facts, output_facts) -> DataFrame:
-    wide = comparison_row(pairs, source_facts, output_facts, places=False, order=False)
-    return row_findings(wide).unionByName(missing_findings(pairs, source_facts, output_facts))
+def findings(pairs: DataFrame, s: DataFrame, o: DataFrame) -> DataFrame:
+    wide = comparison_row(pairs, s, o, places=False, order=False)
+    return row_findings(wide).unionByName(missing_findings(pairs, s, o))

@@ -449,12 +449,12 @@ cte("inv", "anchors", """
 SELECT a.doc_id, a.arm, count(*) AS inversions FROM anchors a JOIN anchors b ON a.doc_id = b.doc_id AND a.arm = b.arm AND a.so < b.so AND a.oo > b.oo GROUP BY ALL""")
 _cnt = lambda m: ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in m.items())
 cte("wide", "pairs cs co overlap place_pairs anchors inv", f"""
-SELECT p.*, {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ["src_tokens", "out_tokens", *mt.SOURCE_COUNTS, *mt.OUTPUT_COUNTS, *mt.OVERLAPS,
+SELECT p.*, {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ["src_tokens", "out_tokens", *mt.SOURCE_COUNTS, *mt.OUTPUT_COUNTS, *mt.OVERLAPS, "m_token",
     *[f"{x}_{y}" for x in "pe" for y in mt.PREFIXES.values()], "anchors", "inversions"])}
 FROM pairs p
 LEFT JOIN (SELECT doc_id, sum(len({tokens('norm')})) FILTER ({mt.CONTENT} AND x_text) AS src_tokens, {_cnt(mt.SOURCE_COUNTS)} FROM cs GROUP BY doc_id) s ON s.doc_id = p.doc_id
 LEFT JOIN (SELECT doc_id, arm, sum(len({tokens('norm')})) FILTER ({mt.CONTENT}) AS out_tokens, {_cnt(mt.OUTPUT_COUNTS)} FROM co GROUP BY ALL) o ON o.doc_id = p.doc_id AND o.arm = p.arm
-LEFT JOIN (SELECT doc_id, arm, {", ".join(f"sum(matched) FILTER (cls = '{c}') AS {n}" for n, c in mt.OVERLAPS.items())} FROM overlap GROUP BY ALL) m ON m.doc_id = p.doc_id AND m.arm = p.arm
+LEFT JOIN (SELECT doc_id, arm, {", ".join(f"sum(matched) FILTER (cls = '{c}') AS {n}" for n, c in [*mt.OVERLAPS.items(), ('m_token', 'token')])} FROM overlap GROUP BY ALL) m ON m.doc_id = p.doc_id AND m.arm = p.arm
 LEFT JOIN (SELECT doc_id, arm, {", ".join(f"count(*) FILTER (kind = '{k}') AS p_{x}, count(*) FILTER (kind = '{k}' AND same) AS e_{x}" for k, x in mt.PREFIXES.items())} FROM place_pairs GROUP BY ALL) g ON g.doc_id = p.doc_id AND g.arm = p.arm
 LEFT JOIN (SELECT doc_id, arm, count(*) AS anchors FROM anchors GROUP BY ALL) a ON a.doc_id = p.doc_id AND a.arm = p.arm
 LEFT JOIN inv i ON i.doc_id = p.doc_id AND i.arm = p.arm""")

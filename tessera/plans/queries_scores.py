@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import match
 from ..operators import metrics as mt
 from ..operators import scores as sc
+from ..session import cut_lineage
 from . import dims, views
 from .oracle import lit, query
 from .registry import register
@@ -24,13 +25,20 @@ SUBSETS = {
 }
 
 
+@view
+def comparable(spark, sf_dir):
+    return mt.comparable(views.source_facts(spark, sf_dir), views.output_facts(spark, sf_dir))
+
+
 def inputs(spark, sf_dir):
-    return views.pairs(spark, sf_dir), views.source_facts(spark, sf_dir), views.output_facts(spark, sf_dir)
+    """The pairs and the comparable facts of both sides."""
+    return views.pairs(spark, sf_dir), *comparable(spark, sf_dir)
 
 
 @view
 def wide(spark, sf_dir) -> DataFrame:
-    return mt.comparison_row(*inputs(spark, sf_dir))
+    """One row per pair; all scores read it, so it is checkpointed too."""
+    return cut_lineage(mt.comparison_row(*inputs(spark, sf_dir)))
 
 
 @view
@@ -69,10 +77,10 @@ def q_ratio_metric(spark, sf_dir):
                     F.expr(status).alias("status"), F.expr(value).alias("value"))
 
 
-@register("token_multiset_overlap", query("overlap", "SELECT doc_id, arm, matched FROM overlap WHERE cls = 'token'"))
+@register("token_multiset_overlap", query("overlap co", "SELECT doc_id, arm, coalesce(matched, 0) AS matched FROM (SELECT doc_id, arm FROM co WHERE norm <> '' AND kind IN ('TEXT_BLOCK', 'HEADING', 'LIST_ITEM', 'TABLE_CELL') GROUP BY ALL) LEFT JOIN (SELECT * FROM overlap WHERE cls = 'token') USING (doc_id, arm)"))
 def q_token_multiset_overlap(spark, sf_dir):
     _, s, o = inputs(spark, sf_dir)
-    return match.multiset_overlap(match.comparable_source(s), match.comparable_output(o)).filter("cls = 'token'").select("doc_id", "arm", "matched")
+    return match.token_overlap(match.compared_items(s, o), s)
 
 
 @register("match_text_fifo", query("cs fifo_o", """
@@ -81,7 +89,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, norm ORDER BY ord)
 JOIN fifo_o o ON s.doc_id = o.doc_id AND s.kind = o.kind AND s.norm = o.norm AND s.rn = o.rn"""))
 def q_match_text_fifo(spark, sf_dir):
     _, s, o = inputs(spark, sf_dir)
-    pairs = match.match_text_fifo(match.comparable_source(s), match.comparable_output(o), F.col("x_text"))
+    pairs = match.match_text_fifo(s, o, F.col("x_text"))
     return pairs.select("doc_id", "arm", "kind", "source_fact_id", "output_fact_id")
 
 
@@ -89,7 +97,7 @@ def q_match_text_fifo(spark, sf_dir):
 def q_match_kind_text_fifo(spark, sf_dir):
     _, s, o = inputs(spark, sf_dir)
     content = F.col("kind").isin(dims.CONTENT_KINDS)
-    pairs = match.match_text_fifo(match.comparable_source(s), match.comparable_output(o).filter(content), content & F.col("x_order"))
+    pairs = match.match_text_fifo(s, o.filter(content), content & F.col("x_order"))
     return pairs.select("doc_id", "arm", "kind", "source_ord", "output_ord")
 
 
@@ -141,7 +149,7 @@ def q_experimental_score(spark, sf_dir):
 SELECT DISTINCT doc_id, format, dimension, family, CASE WHEN source_opportunities = 0 THEN 'NOT_APPLICABLE' WHEN evaluable_opportunities = 0 THEN 'NOT_EVALUATED' ELSE 'APPLICABLE' END AS status,
   source_opportunities, evaluable_opportunities FROM opportunities"""))
 def q_opportunities(spark, sf_dir):
-    return sc.opportunities(views.documents_of_pairs(spark, sf_dir), views.source_facts(spark, sf_dir)).drop("primary_metric")
+    return sc.opportunities(views.documents_of_pairs(spark, sf_dir), comparable(spark, sf_dir)[0]).drop("primary_metric")
 
 
 @register("family_scores", query("families", """
