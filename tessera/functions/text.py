@@ -10,6 +10,8 @@ from pyspark.sql.types import StringType
 WS = r"[\t-\r\x{85}\p{Z}]"
 NOT_WS = r"[^\t-\r\x{85}\p{Z}]"
 TOKEN = (r"\p{L}[\p{L}\p{M}\p{N}'’\-]*|\p{N}+(?:[.,]\p{N}+)?|" + NOT_WS)
+# Everything below this range is composed already; the test is cheap.
+BEYOND_LATIN = r"[^\x{00}-\x{2FF}]"
 # Text that may change under canonical composition: combining marks, conjoining jamo, and the
 # characters with a canonical singleton or excluded decomposition.
 MAYBE_NOT_NFC = (r"[\p{M}\x{1100}-\x{11FF}\x{340}\x{341}\x{374}\x{37E}\x{387}\x{958}-\x{95F}"
@@ -29,7 +31,8 @@ def _compose(s: pd.Series) -> pd.Series:
 
 def nfc(text: Column) -> Column:
     """Canonical composition; only text that may need it is sent to the Arrow worker."""
-    return F.coalesce(_compose(F.when(text.rlike(MAYBE_NOT_NFC), text)), text)
+    maybe = text.rlike(BEYOND_LATIN) & text.rlike(MAYBE_NOT_NFC)
+    return F.coalesce(_compose(F.when(maybe, text)), text)
 
 
 def trim_ws(text: Column) -> Column:

@@ -503,7 +503,7 @@ SELECT *, CASE status WHEN 'SCORED' THEN 'ELIGIBLE_DOCUMENT_LEVEL' WHEN 'PARTIAL
 FROM (SELECT doc_id, format, arm, base_quality, integrity, score, CASE WHEN score IS NULL THEN 'NOT_EVALUATED' WHEN gap THEN 'PARTIAL_EVIDENCE' ELSE 'SCORED' END AS status
   FROM (SELECT b.doc_id, b.format, b.arm, base_quality, integrity, gap,
       CASE WHEN base_quality IS NOT NULL AND integrity IS NOT NULL THEN round_even(least(base_quality, integrity), 1) END AS score
-    FROM (SELECT doc_id, format, arm, round_even(avg(score), 1) AS base_quality FROM dimensions GROUP BY ALL) b
+    FROM (SELECT doc_id, format, arm, round_even(sum(score::DECIMAL(20, 10))::DOUBLE / count(score), 1) AS base_quality FROM dimensions GROUP BY ALL) b
     JOIN (SELECT doc_id, arm, bool_or(status <> 'NOT_APPLICABLE' AND {_gap}) AS gap FROM families GROUP BY ALL) g ON g.doc_id = b.doc_id AND g.arm = b.arm
     LEFT JOIN (SELECT doc_id, arm, round_even(min(least(1, value) * 100), 1) AS integrity FROM metrics
                WHERE name IN ('output_nonempty', 'content_token_length_ratio') AND status = 'EVALUATED' GROUP BY ALL) i ON i.doc_id = b.doc_id AND i.arm = b.arm))""")
