@@ -7,32 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
-class _Literal(float):
-    """A number that prints as it was read."""
-    def __new__(cls, text):
-        self = super().__new__(cls, 0.0)
-        self.text = text
-        return self
+class _Number(str):
+    """A number literal as it was read."""
 
-    def __repr__(self):
-        return self.text
+
+class _Object(list):
+    """Members of an object in order, repeated names included."""
+
+
+def _reject(name):
+    raise ValueError(name)
+
+
+def _lines(value, pad: str) -> str:
+    inner = pad + "  "
+    if isinstance(value, _Object):
+        members = [f"{inner}{json.dumps(k, ensure_ascii=False)}: {_lines(v, inner)}" for k, v in value]
+        return "{\n" + ",\n".join(members) + f"\n{pad}}}" if members else "{}"
+    if isinstance(value, list):
+        return "[\n" + ",\n".join(inner + _lines(v, inner) for v in value) + f"\n{pad}]" if value else "[]"
+    return value if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
 
 
 @F.pandas_udf(StringType())
 def _indent(texts: pd.Series) -> pd.Series:
     def one(text):
         try:
-            value = json.loads(text, parse_int=_Literal, parse_float=_Literal, parse_constant=_reject)
+            return _lines(json.loads(text, parse_int=_Number, parse_float=_Number, parse_constant=_reject,
+                                     object_pairs_hook=_Object), "")
         except (ValueError, RecursionError):
             return None
-        return json.dumps(value, indent=2, ensure_ascii=False)
     return texts.map(one, na_action="ignore")
 
 
-def _reject(name):
-    raise ValueError(name)
-
-
 def json_to_text(text: Column) -> Column:
     """Indented JSON, null when the text is not valid JSON."""
     return _indent(text)

@@ -41,7 +41,7 @@ def provenance_check(documents: DataFrame) -> DataFrame:
 
 
 def line_count(text: Column) -> Column:
-    return F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, "\n$", ""), "\n"))).cast("bigint")
+    return F.when(text == "", 0).otherwise(F.size(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))).cast("bigint")
 
 
 def direct_extract(pages: DataFrame) -> DataFrame:

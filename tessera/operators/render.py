@@ -30,7 +30,7 @@ def anchor_span(anchor: Column) -> Column:
 def _lines(text: Column) -> Column:
     """Lines of a text; a final newline ends the last line."""
     return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(F.regexp_replace(text, "\n$", ""), "\n"))
+        F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
 
 
 def _text_markdown() -> Column:
