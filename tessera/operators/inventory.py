@@ -218,7 +218,10 @@ def plan_worksheets(books: DataFrame, existing: DataFrame, out: str, target: str
     suffix = F.when(n > 1, F.concat(F.lit("-"), n)).otherwise(F.lit(""))
     rows = rows.withColumn("suffix", suffix).withColumn("file_name", sheet_output_name(
         F.col("book"), F.col("safe_sheet"), extension, F.col("suffix")))
-    rows = rows.withColumn("path", F.when(F.col("sheet").isNotNull(), F.concat(F.lit(out + "/"), folder, "file_name")))
+    # Without inspected sheets the workbook stays one plain operation.
+    stem = F.regexp_replace("relative_path", r"\.[^./\\]*$", "")
+    rows = rows.withColumn("path", F.when(F.col("sheet").isNotNull(), F.concat(F.lit(out + "/"), folder, "file_name"))
+                           .when(F.col("worksheets").isNull(), F.concat(F.lit(out + "/"), stem, extension)))
     there = existing.select(F.lower("target_path").alias("_key")).distinct().withColumn("_there", F.lit(True))
     rows = rows.join(there, F.lower("path") == F.col("_key"), "left")
     failed, none = F.col("inspection_error").isNotNull(), F.col("worksheets").isNotNull() & (F.size("worksheets") == 0)

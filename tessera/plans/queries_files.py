@@ -228,13 +228,37 @@ def _(spark, sf_dir):
     return ops(spark, sf_dir)
 
 
-@register("plan_worksheets")
+_SAFE_SHEETS = ["Summary", "Sales_2026", "_CON", "Trailing", "Données", "summary"]
+cte("books", "files", f"""SELECT *, n % 11 = 0 AS failed, n % 13 = 0 AS uninspected, CASE WHEN n % 13 = 0 THEN 0 ELSE n % 4 END AS cnt, starts_with(relative_path, '../') AS unsafe,
+  regexp_replace(relative_path, '\\.[^./]*$', '') AS stem FROM (SELECT relative_path, {_hex(1, 6)} AS n FROM files WHERE regexp_matches(lower(relative_path), '\\.xlsx?$'))""")
+cte("sheet_ops", "books existing", f"""
+SELECT relative_path, NULL AS sheet_name, 'Csv' AS target, '' AS target_path, 'Failed' AS status, CASE WHEN unsafe THEN 'OperationUnsafeSource' ELSE 'worksheet_inspection_failure' END AS message, NULL AS visibility, false AS default_selected
+  FROM books WHERE failed OR unsafe
+UNION ALL SELECT relative_path, NULL, 'Csv', '', 'Skipped', 'worksheet_none', NULL, false FROM books WHERE NOT failed AND NOT unsafe AND NOT uninspected AND cnt = 0
+UNION ALL SELECT relative_path, sheet_name, 'Csv', path, status, CASE status WHEN 'Conflict' THEN 'OperationTargetExists' WHEN 'Skipped' THEN 'worksheet_empty'
+    ELSE CASE WHEN visibility <> 'visible' THEN 'worksheet_hidden' ELSE 'OperationReady' END END, visibility, status = 'Ready' AND coalesce(visibility, 'visible') = 'visible'
+FROM (SELECT s.*, CASE WHEN e.k IS NOT NULL THEN 'Conflict' WHEN is_empty THEN 'Skipped' ELSE 'Ready' END AS status FROM (
+    SELECT relative_path, NULL AS sheet_name, '{OUT}/' || stem || '.csv' AS path, NULL AS visibility, false AS is_empty FROM books WHERE NOT failed AND NOT unsafe AND uninspected
+    UNION ALL SELECT relative_path, {strings(views.SHEET_NAMES)}[(n + i) % 6 + 1], '{OUT}/' || stem || '__' || safe || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END || '.csv',
+      CASE WHEN (n + i) % 4 = 0 THEN CASE WHEN i % 2 = 0 THEN 'hidden' ELSE 'veryHidden' END ELSE 'visible' END, (n + i) % 5 = 0
+    FROM (SELECT *, row_number() OVER (PARTITION BY relative_path, lower(safe) ORDER BY i) AS rn FROM (SELECT *, {strings(_SAFE_SHEETS)}[(n + i) % 6 + 1] AS safe FROM (
+      SELECT *, unnest(range(cnt)) AS i FROM books WHERE NOT failed AND NOT unsafe AND NOT uninspected)))) s
+  LEFT JOIN (SELECT DISTINCT lower(target_path) AS k FROM existing) e ON lower(s.path) = e.k)""")
+
+
+@q("plan_worksheets", "sheet_ops", "SELECT * FROM sheet_ops")
 def _(spark, sf_dir):
     books = views.files(spark, sf_dir).join(views.worksheets(spark, sf_dir), "relative_path")
     return inv.plan_worksheets(books, views.existing_targets(spark, sf_dir), OUT)
 
 
-@register("worksheet_summary")
+_DONE = "status IN ('Succeeded', 'Failed', 'Cancelled', 'NotProcessed')"
+
+
+@q("worksheet_summary", "sheet_ops", f"""SELECT relative_path, grouping(relative_path) AS is_total, count(sheet_name) AS sheets, count(*) FILTER ({_DONE}) AS selected,
+  count(*) FILTER (status = 'Succeeded') AS csv_exported, 0 AS tsv_exported, count(*) FILTER (visibility <> 'visible' AND NOT ({_DONE})) AS hidden_skipped,
+  count(*) FILTER (message = 'worksheet_empty') AS empty, count(*) FILTER (status = 'Failed') AS failed
+FROM (SELECT * REPLACE (CASE WHEN status = 'Ready' AND default_selected THEN 'Succeeded' ELSE status END AS status) FROM sheet_ops) GROUP BY GROUPING SETS ((relative_path), ())""")
 def _(spark, sf_dir):
     books = views.files(spark, sf_dir).join(views.worksheets(spark, sf_dir), "relative_path")
     planned = inv.plan_worksheets(books, views.existing_targets(spark, sf_dir), OUT)

@@ -123,11 +123,19 @@ _REF = "chr((65 + event_id % 26)::INT) || CASE WHEN event_id % 3 = 0 THEN chr((9
 _REF_SP = "concat(char(65 + event_id % 26), CASE WHEN event_id % 3 = 0 THEN char(97 + user_id % 26) ELSE '' END, CASE WHEN event_id % 7 <> 0 THEN CAST(event_id DIV 7 AS STRING) ELSE '' END)"
 
 
-@register("cell_index", f"""SELECT event_id, CASE WHEN length(l) = 1 THEN ascii(l) - 65 ELSE (ascii(l) - 64) * 26 + ascii(substr(l, 2)) - 65 END AS col_index,
-  CASE WHEN d = '' OR d::INT = 0 THEN -1 ELSE d::INT - 1 END AS row_index FROM (SELECT event_id, upper(regexp_extract(ref, '^([A-Za-z]*)', 1)) AS l, regexp_extract(ref, '^[A-Za-z]*([0-9]*)', 1) AS d FROM (SELECT event_id, {_REF} AS ref FROM events))""")
+_REFS = f"(SELECT event_id, upper(regexp_extract(ref, '^([A-Za-z]*)', 1)) AS l, regexp_extract(ref, '^[A-Za-z]*([0-9]*)', 1) AS d FROM (SELECT event_id, {_REF} AS ref FROM events))"
+
+
+@register("cell_column_index", f"SELECT event_id, CASE WHEN length(l) = 1 THEN ascii(l) - 65 ELSE (ascii(l) - 64) * 26 + ascii(substr(l, 2)) - 65 END AS col_index FROM {_REFS}")
+def _(spark, sf_dir):
+    e = views.table(spark, sf_dir, "events").select("event_id", F.expr(_REF_SP).alias("ref"))
+    return e.select("event_id", ox.cell_column_index(F.col("ref")).alias("col_index"))
+
+
+@register("cell_row_index", f"SELECT event_id, CASE WHEN d = '' OR d::INT = 0 THEN -1 ELSE d::INT - 1 END AS row_index FROM {_REFS}")
 def _(spark, sf_dir):
     e = views.table(spark, sf_dir, "events").select("event_id", F.expr(_REF_SP).alias("ref"))
-    return e.select("event_id", ox.cell_column_index(F.col("ref")).alias("col_index"), ox.cell_row_index(F.col("ref")).alias("row_index"))
+    return e.select("event_id", ox.cell_row_index(F.col("ref")).alias("row_index"))
 
 
 def events(spark, sf_dir):

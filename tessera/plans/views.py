@@ -82,7 +82,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @view
 def worksheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One array of sheets per workbook of the inventory; null where inspection was not done."""
-    n = F.length("content_sha256") * 0 + F.conv(F.substring("content_sha256", 1, 6), 16, 10).cast("bigint")
+    n = F.conv(F.substring("content_sha256", 1, 6), 16, 10).cast("bigint")
     f = files(spark, sf_dir).withColumn("n", n).filter(F.lower("relative_path").rlike(r"\.xlsx?$"))
     sheet = lambda i: F.struct(
         pick(SHEET_NAMES, (F.col("n") + i) % len(SHEET_NAMES)).alias("name"),
