@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import match
 from ..operators import metrics as mt
 from ..operators import scores as sc
-from ..session import cut_lineage
+from ..session import cut_lineage, shuffle_width
 from . import dims, views
 from .oracle import lit, query
 from .registry import register
@@ -27,7 +27,8 @@ SUBSETS = {
 
 @view
 def comparable(spark, sf_dir):
-    return mt.comparable(views.source_facts(spark, sf_dir), views.output_facts(spark, sf_dir))
+    width = shuffle_width(views.table(spark, sf_dir, "documents"))
+    return mt.comparable(views.source_facts(spark, sf_dir), views.output_facts(spark, sf_dir), width)
 
 
 def inputs(spark, sf_dir):

@@ -56,7 +56,7 @@ def _(spark, sf_dir):
 
 def parts(spark, sf_dir, build):
     d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return ooxml_parts(pk.packages(d.repartition(shuffle_width(spark), "path"), build))
+    return ooxml_parts(pk.packages(d.repartition(shuffle_width(d), "path"), build))
 
 
 @register("ooxml_parts", """SELECT doc_id::VARCHAR AS path, unnest(['word/document.xml', 'word/numbering.xml', 'word/styles.xml']) AS part FROM documents""")

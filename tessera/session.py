@@ -15,18 +15,30 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+# Input bytes (compressed, as on disk) that one task of a per-document pipeline should take.
+TASK_BYTES = 8 << 20
 
 
-def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
+def shuffle_width(df: DataFrame) -> int:
+    """Partitions for an explicit repartition of ``df``.
+
+    The session's shuffle partitions, which a cluster sizes to its data; fewer when the estimated
+    input would leave most of them empty, as explicit partition counts are not coalesced later.
+    """
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    needed = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), needed)
+
+
+def by_document(df: DataFrame, key: str = "doc_id", width: int = None) -> DataFrame:
     """Hash raw document rows on their key before they are exploded.
 
     Everything explode produces stays in place, so later windows, groupings and joins of one
     document need no further exchange. A document is one row, so its rows are bounded by the
     size of one string cell.
     """
-    return df.repartition(shuffle_width(df.sparkSession), key)
+    return df.repartition(width or shuffle_width(df), key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
