@@ -1,14 +1,13 @@
 """Queries on facts: extraction per source, Markdown outputs, statuses, scalar fact functions."""
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import url
 from ..operators import match
 from ..operators.facts import page_text_facts, txt_facts
-from ..operators.mutations import EXPECTED
 from . import dims, views
-from .oracle import collapse, cte, lit, norm, query, rr, tokens, unix, uri
+from .oracle import collapse, lit, norm, query, tokens, unix, uri
 from .registry import register
 
 SOURCE_COLS = "doc_id, fact_id, kind, text, ord, location, certainty, level, row_no, col_no, target"
@@ -100,10 +99,6 @@ def q_has_attributes(spark, sf_dir):
         match.has_attributes(a, ["row", "column"]).alias("has_position"))
 
 
-cte("stages", "files", f"""
-SELECT relative_path, lower(regexp_extract(relative_path, '\\.([^./]*)$', 1)) AS ext, size_bytes = 0 AS broken FROM files""")
-
-
 @register("evaluation_status", query("files", f"""
 SELECT relative_path, source_status, markdown_status,
   CASE WHEN source_status <> 'EVALUATED' THEN source_status WHEN markdown_status <> 'EVALUATED' THEN markdown_status ELSE 'EVALUATED' END AS comparison_status

@@ -2,7 +2,6 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
 from ..operators import inventory as inv
 from ..operators import reports as rp
 from ..operators.render import number_assets
