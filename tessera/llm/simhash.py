@@ -126,13 +126,27 @@ def links(prints: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) ->
     return rows.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_linked(distance), "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, distance: int = DISTANCE,
-                    blocks: int = BLOCKS) -> DataFrame:
-    """(key, fp, component_id): the smallest key reachable over links of at most ``distance`` bits."""
-    prints = keep(docs.select(F.col(key), fingerprint(whole_text(text), words).alias("fp")))
-    classes = keep(prints.groupBy("fp").agg(F.min(key).alias("_first")))
-    roots = components(links(classes, distance, blocks))
-    rooted = keep(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("_root", F.coalesce("root", "fp")))
-    least = keep(rooted.groupBy("_root").agg(F.min("_first").alias("component_id")))
-    names = keep(rooted.select("fp", "_root").join(least, "_root").select("fp", "component_id"))
+def groups(prints: DataFrame) -> DataFrame:
+    """(fp, group): the group of each distinct fingerprint of ``prints``, named by its smallest one."""
+    classes = keep(prints.select("fp").distinct())
+    roots = components(links(classes))
+    return keep(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, fp, component_id): the smallest key reachable over links of at most DISTANCE bits."""
+    prints = keep(docs.select(F.col(key), fingerprint(whole_text(text)).alias("fp")))
+    found = groups(prints)
+    least = keep(prints.groupBy("fp").agg(F.min(key).alias("_first")).join(found, "fp").groupBy("group").agg(F.min("_first").alias("component_id")))
+    names = keep(found.join(least, "group").select("fp", "component_id"))
     return prints.join(names, "fp").select(key, "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each group the one with the smallest key, then text hash."""
+    names = {"_near_id": F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)), "_near_sig": F.xxhash64(whole_text(text))}
+    named = docs.withColumns(names)
+    prints = keep(named.select("_near_id", "_near_sig", fingerprint(whole_text(text)).alias("fp")))
+    best = prints.join(groups(prints), "fp").groupBy("group").agg(F.min(F.struct("_near_id", "_near_sig")).alias("b"))
+    best = keep(best.select("b._near_id", "b._near_sig"))
+    return named.join(best, ["_near_id", "_near_sig"], "left_semi").dropDuplicates(["_near_id", "_near_sig"]).select(*docs.columns)

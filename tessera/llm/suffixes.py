@@ -323,10 +323,13 @@ def repeated_spans(named: DataFrame, first_stays: bool = False) -> DataFrame:
     return direct.unionByName(keep(near)).unionByName(_wide_spans(wide, first_stays))
 
 
-def cut(named: DataFrame, spans: DataFrame) -> DataFrame:
-    """Adds ``_cut``, a struct of the remaining bytes, n_removed and n_spans, to rows of ``keyed``."""
+def cut(named: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
+    """Adds ``_cut``, a struct of the remaining bytes, n_removed and n_spans, to rows of ``keyed``.
+
+    As text, the rest of a character whose bytes were removed in part is left out.
+    """
     per_text = spans.groupBy("_id", "_sig").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))         # bounded by the text
-    kind = T.StructType([T.StructField("kept", T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
+    kind = T.StructType([T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType())])
 
     @F.arrow_udf(kind)
     def remaining(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -338,15 +341,16 @@ def cut(named: DataFrame, spans: DataFrame) -> DataFrame:
                 depth[s["start"]] += 1
                 depth[min(s["end"], len(data))] -= 1
             gone = np.cumsum(depth)[:-1] > 0
-            kept.append(np.frombuffer(data, np.uint8)[~gone].tobytes())
+            rest = np.frombuffer(data, np.uint8)[~gone].tobytes()
+            kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
             removed.append(int(gone.sum()))
             runs.append(int((np.diff(np.concatenate(([0], gone.astype(np.int8)))) == 1).sum()))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=kind.names)
+        return pa.StructArray.from_arrays([pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=kind.names)
 
     return named.join(per_text, ["_id", "_sig"], "left").withColumn("_cut", remaining(F.col("_text"), F.col("_spans")))
 
 
-def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", first_stays: bool = False) -> DataFrame:
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", first_stays: bool = False, as_text: bool = False) -> DataFrame:
     """Rows of ``docs`` with ``_id``, ``_text`` and ``_cut``: repeated bytes removed everywhere, or all but their first copy."""
     named = keyed(docs, key, text)
-    return cut(named, repeated_spans(named, first_stays))
+    return cut(named, repeated_spans(named, first_stays), as_text)

@@ -109,7 +109,7 @@ def lexicon(sample: DataFrame, words: int = LEXICON) -> dict[str, float]:
     counts = sample.select("y", "text").mapInArrow(distinct, "word string, y bigint").groupBy("word").agg(F.sum("y").alias("t"), F.count("*").alias("n"))
     odds = F.log((F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5))
     toxic = sample.filter("y = 1").count()
-    best = counts.filter(F.col("t") >= max(4, SUPPORT * toxic)).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("t"), "word").limit(words)
+    best = counts.filter(F.col("t") >= max(3, SUPPORT * toxic)).withColumn("odds", odds).filter(F.col("odds") >= ODDS).orderBy(F.desc("t"), "word").limit(words)
     return {r.word: float(r.odds) for r in best.collect()}
 
 
