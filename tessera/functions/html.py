@@ -5,13 +5,13 @@ import json
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# One alternative per token type; the raw-text elements are spelled out because RE2 has no
-# back-references and both engines must cut a page alike.
+# One alternative per token type. Repeats inside a tag are possessive: Java would otherwise recurse
+# once per attribute.
 TAG_STREAM = (
     r"(?is)<!--.*?-->"
     r"|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
     r"|<template\b[^>]*>.*?</template\s*>"
-    r"|</?[a-z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|<![^>]*>|[^<]+|<"
+    r"|</?[a-z][^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>|<![^>]*+>|[^<]++|<"
 )
 ENTITY = r"&#[xX][0-9a-fA-F]{1,6};|&#[0-9]{1,7};|&[A-Za-z][A-Za-z0-9]*;|[^&]+|&"
 # The named entities come from the language's own table of HTML 4 names.
@@ -19,7 +19,10 @@ NAMED = json.dumps({f"&{k};": chr(v) for k, v in html.entities.name2codepoint.it
 
 
 def _code_point(hex_digits: Column) -> Column:
-    return F.decode(F.unhex(F.lpad(hex_digits, 8, "0")), "UTF-32")
+    """The character of a number; U+FFFD for zero, surrogates and numbers beyond Unicode."""
+    number = F.conv(hex_digits, 16, 10).cast("bigint")
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+    return F.decode(F.unhex(F.lpad(F.when(valid, hex_digits).otherwise("FFFD"), 8, "0")), "UTF-32")
 
 
 def _decode_piece(piece: Column) -> Column:
@@ -50,5 +53,5 @@ def attribute(tag: Column, name: str) -> Column:
 def strip_tags(page: Column) -> Column:
     """Plain text of a page the way a direct extractor returns it (script text included)."""
     text = F.regexp_replace(page, r"(?s)<!--.*?-->", "")
-    text = F.regexp_replace(text, r"(?s)<[a-zA-Z/!][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>", "")
+    text = F.regexp_replace(text, r"(?s)<[a-zA-Z/!][^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+>", "")
     return decode_entities(text)

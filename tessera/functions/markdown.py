@@ -11,11 +11,13 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SHIELDS = "".join(chr(0xE000 + i) for i in range(len(PUNCTUATION)))
 
 ESCAPE = r"\\[!-/:-@\[-`{-~]"
-LABEL = r"(?:\\.|[^\[\]\\])*"
-TARGET = r"\((?:\\.|[^()\s\\]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)"
+# Repeats are possessive: Java would otherwise recurse once per character. No alternative of a repeat
+# can begin where what follows the repeat begins, so nothing is lost.
+LABEL = r"(?:[^\[\]\\]++|\\.)*+"
+TARGET = r"\((?:[^()\s\\]++|\\.|\([^()\s]*+\))*+(?:\s++\"[^\"]*+\")?+\)"
 IMAGE = rf"!\[{LABEL}\]{TARGET}"
-LINK = rf"\[(?:\\.|[^\[\]\\]|!\[{LABEL}\]{TARGET})*\]{TARGET}"
-CODE = r"````[^`]+````|```[^`]+```|``(?:[^`]|`[^`])+``|`[^`]+`"
+LINK = rf"\[(?:[^\[\]\\!]++|\\.|!\[{LABEL}\]{TARGET}|!)*+\]{TARGET}"
+CODE = r"````[^`]++````|```[^`]++```|``(?:[^`]++|`(?!`))++``|`[^`]++`"
 HTML = r"<[A-Za-z/!?][^<>]*>"
 ENTITY = r"&[A-Za-z][A-Za-z0-9]+;|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
 TOKENS = rf"(?s){ESCAPE}|{CODE}|{IMAGE}|{LINK}|{HTML}|{ENTITY}|[^\\`!\[<&]+|."

@@ -6,7 +6,6 @@ raw HTML, quotes, setext headings, images) are left out here and covered by the
 """
 import re
 
-from ..functions import html, markdown as md
 from ..functions import text as tx
 from ..operators.facts import BLOCK_TAGS, HEADING_TAGS
 from ..operators import markdown_facts as mf
@@ -17,6 +16,29 @@ from . import dims, views
 
 CTE: dict[str, tuple[str, str]] = {}
 
+# --- the dialect's tokens, written for this engine: RE2 takes no possessive repeats --------------
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+SHIELDS = "".join(chr(0xE000 + i) for i in range(len(PUNCTUATION)))
+ESCAPE = r"\\[!-/:-@\[-`{-~]"
+_LABEL = r"(?:\\.|[^\[\]\\])*"
+TARGET = r"\((?:\\.|[^()\s\\]|\([^()\s]*\))*(?:\s+\"[^\"]*\")?\)"
+_IMAGE = rf"!\[{_LABEL}\]{TARGET}"
+_LINK = rf"\[(?:\\.|[^\[\]\\]|{_IMAGE})*\]{TARGET}"
+_CODE = r"````[^`]+````|```[^`]+```|``(?:[^`]|`[^`])+``|`[^`]+`"
+HTML = r"<[A-Za-z/!?][^<>]*>"
+ENTITY = r"&[A-Za-z][A-Za-z0-9]+;|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};"
+TOKENS = rf"(?s){ESCAPE}|{_CODE}|{_IMAGE}|{_LINK}|{HTML}|{ENTITY}|[^\\`!\[<&]+|."
+SPECIAL = r"[\\`!\[<&*_~]"
+_STAR = r"(^|[^\p{L}\p{N}*])\*{1,3}([^\s*](?:[^*]*[^\s*])?)\*{1,3}"
+_INWORD = r"()\*{1,3}([\p{L}\p{N}](?:[^*]*[^\s*])?)\*{1,3}"
+_UNDERSCORE = r"(^|[^\p{L}\p{N}_])_{1,3}([^\s_](?:[^_]*[^\s_])?)_{1,3}"
+_STRIKE = r"(^|[^~])~~([^\s~](?:[^~]*[^\s~])?)~~"
+EMPHASIS = (_STAR, _STAR, _INWORD, _UNDERSCORE, _UNDERSCORE, _STRIKE)
+TAG_STREAM = (
+    r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<template\b[^>]*>.*?</template\s*>"
+    r"|</?[a-z][^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*>|<![^>]*>|[^<]+|<"
+)
+
 
 def cte(name: str, needs: str, sql: str) -> None:
     CTE[name] = (needs, sql)
@@ -236,7 +258,7 @@ SELECT page_id * 4 + 1 AS doc_id, pos, tok, tag, tag IS NOT NULL AND starts_with
 FROM (SELECT *, CASE WHEN {matches('tok', '^</?[A-Za-z]')} AND NOT {matches('tok', r'(?is)^<(script|style|template)\b')}
                      THEN lower({extract('tok', '^</?([A-Za-z][A-Za-z0-9]*)', 1)}) END AS tag
       FROM (SELECT page_id, unnest(t) AS tok, unnest(range(len(t))) AS pos
-            FROM (SELECT page_id, regexp_extract_all(html, {lit(html.TAG_STREAM)}) AS t FROM pages)))""")
+            FROM (SELECT page_id, regexp_extract_all(html, {lit(TAG_STREAM)}) AS t FROM pages)))""")
 _page = "(PARTITION BY doc_id ORDER BY pos)"
 _list = "(PARTITION BY doc_id, list_depth ORDER BY pos)"
 _table = "(PARTITION BY doc_id, table_depth ORDER BY pos)"
@@ -273,13 +295,13 @@ FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS ord
       UNION ALL SELECT doc_id, pos, piece, li, ' ' FROM html_own WHERE piece IS NOT NULL AND li >= 0)
     GROUP BY doc_id, owner, sep) x ON x.doc_id = e.doc_id AND x.owner = e.pos
   WHERE kind IS NOT NULL) WHERE text <> '' OR kind = 'LINK')""")
-_block = lambda bits: f"(conv_id * {1 << 20} + turn // {views.TURNS}) * 4 + {bits}"
+_block = lambda bits: f"conv_id * 4 + {bits}"
 cte("pdf_s", "", f"""
 SELECT doc_id, 'text:' || (ord + 1) AS fact_id, 'TEXT_BLOCK' AS kind, text, ord, 'pdf/page[' || (turn + 1) || ']' AS location,
        'INFERRED' AS certainty, NULL AS text_certainty, NULL AS level, NULL AS row_no, NULL AS col_no, NULL AS target, NULL AS n_rows, NULL AS n_cols
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY turn) - 1 AS ord FROM (
-  SELECT {_block(2)} AS doc_id, turn % {views.TURNS} AS turn, {collapse('text')} AS text FROM conversations) WHERE text <> '')""")
-cte("sheet_t", "", f"SELECT {_block(3)} AS doc_id, conv_id, (turn % {views.TURNS})::INT AS turn, role, text FROM conversations")
+  SELECT {_block(2)} AS doc_id, turn, {collapse('text')} AS text FROM conversations) WHERE text <> '')""")
+cte("sheet_t", "", f"SELECT {_block(3)} AS doc_id, conv_id, turn::INT AS turn, role, text FROM conversations")
 cte("xlsx_s", "sheet_t", """
 SELECT doc_id, CASE WHEN r < 0 THEN 'table:1' ELSE 'table:1:cell:' || r || ':' || c END AS fact_id,
        CASE WHEN r < 0 THEN 'TABLE' ELSE 'TABLE_CELL' END AS kind, text,
@@ -348,31 +370,31 @@ SELECT *, unnest(CASE format {" ".join(f"WHEN '{f}' THEN {strings(a)}" for f, a
   UNION ALL SELECT DISTINCT {_block(2)}, 'pdf' FROM conversations UNION ALL SELECT DISTINCT {_block(3)}, 'xlsx' FROM conversations)""")
 
 # --- Markdown facts ----------------------------------------------------------------------------
-_SH, _PU = lit(md.SHIELDS), lit(md.PUNCTUATION)
+_SH, _PU = lit(SHIELDS), lit(PUNCTUATION)
 
 
 def _piece(t, label=None):
     link = f" WHEN contains({t}, '](') THEN {label}" if label else ""
-    return (f"CASE WHEN {matches(t, '^' + md.ESCAPE + '$')} THEN translate(substr({t}, 2, 1), {_PU}, {_SH})"
-            f" WHEN {matches(t, f'(?s)^(?:{md.HTML}|{md.ENTITY})$')} THEN ''{link} ELSE {t} END")
+    return (f"CASE WHEN {matches(t, '^' + ESCAPE + '$')} THEN translate(substr({t}, 2, 1), {_PU}, {_SH})"
+            f" WHEN {matches(t, f'(?s)^(?:{HTML}|{ENTITY})$')} THEN ''{link} ELSE {t} END")
 
 
 def _assemble(x, var, label=None):
-    return f"array_to_string(list_transform(regexp_extract_all({x}, {lit(md.TOKENS)}), lambda {var}: {_piece(var, label)}), '')"
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {lit(TOKENS)}), lambda {var}: {_piece(var, label)}), '')"
 
 
 def label_of(t):
-    return f"regexp_replace(regexp_replace({t}, '^!?\\[', ''), {lit('(?s)\\]' + md.TARGET + '$')}, '')"
+    return f"regexp_replace(regexp_replace({t}, '^!?\\[', ''), {lit('(?s)\\]' + TARGET + '$')}, '')"
 
 
 def _finish(x):
-    for p in md._EMPHASIS:
+    for p in EMPHASIS:
         x = rr(x, p, r"\1\2")
     return f"translate({x}, {_SH}, {_PU})"
 
 
 def inline(x):
-    return f"CASE WHEN {matches(x, md.SPECIAL)} THEN {_finish(_assemble(x, 't', _assemble(label_of('t'), 'u')))} ELSE {x} END"
+    return f"CASE WHEN {matches(x, SPECIAL)} THEN {_finish(_assemble(x, 't', _assemble(label_of('t'), 'u')))} ELSE {x} END"
 
 
 cte("md_lines", "arms", f"""
@@ -416,7 +438,7 @@ FROM (SELECT *, row_number() OVER o - 1 AS ord, row_number() OVER (PARTITION BY
     UNION ALL SELECT doc_id, arm, start, tbl, col, nth, NULL, {rr(f"regexp_replace(regexp_replace(ref, {lit('(?s)^.*' + chr(92) + ']' + chr(92) + '(')}, ''), '\\)$', '')", r'\\([!-/:-@\[-`{-~])', r'\1')},
         'LINK', {_finish(_assemble(label_of('ref'), 'u'))} FROM (
       SELECT *, unnest(refs) AS ref, unnest(range(1, len(refs) + 1)) AS nth FROM (
-        SELECT *, list_filter(regexp_extract_all(raw, {lit(md.TOKENS)}), lambda t: ends_with(t, ')') AND contains(t, '](')) AS refs FROM md_pieces WHERE contains(raw, ']('))))
+        SELECT *, list_filter(regexp_extract_all(raw, {lit(TOKENS)}), lambda t: ends_with(t, ')') AND contains(t, '](')) AS refs FROM md_pieces WHERE contains(raw, ']('))))
   WINDOW o AS (PARTITION BY doc_id, arm ORDER BY start, col, nth))
 WINDOW t AS (PARTITION BY doc_id, arm, tn)""")
 

@@ -471,11 +471,11 @@ _PART = ["word/media/a.png", "word/media/b.jpeg", "word/media/c.svg", "word/medi
 
 @q("asset_numbering", "dim_image_types", f"""SELECT doc_id, asset_id, 'image-' || lpad((row_number() OVER (PARTITION BY doc_id ORDER BY pos))::VARCHAR, 3, '0') || '.' || ext AS file_name FROM (
 SELECT doc_id, asset_id, pos, coalesce(extension, CASE WHEN lower(regexp_extract(part, '\\.([^./]+)$', 1)) IN ('png', 'jpg', 'gif', 'webp', 'bmp', 'tiff', 'jpeg') THEN regexp_extract(part, '\\.([^./]+)$', 1) END) AS ext
-FROM (SELECT conv_id * 1000000 + turn // 1000 AS doc_id, length(text) % 40 AS asset_id, min(turn) AS pos, {strings(_MIME)}[length(text) % 40 % 5 + 1] AS mime, {strings(_PART)}[length(text) % 40 % 7 % 5 + 1] AS part FROM conversations GROUP BY ALL)
+FROM (SELECT conv_id * 1000000 AS doc_id, length(text) % 40 AS asset_id, min(turn) AS pos, {strings(_MIME)}[length(text) % 40 % 5 + 1] AS mime, {strings(_PART)}[length(text) % 40 % 7 % 5 + 1] AS part FROM conversations GROUP BY ALL)
 LEFT JOIN dim_image_types ON lower(mime) = media_type) WHERE ext IS NOT NULL""")
 def _(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations").select(
-        F.expr("conv_id * 1000000 + turn DIV 1000").alias("doc_id"), (F.length("text") % 40).alias("asset_id"), F.col("turn").alias("pos"))
+        F.expr("conv_id * 1000000").alias("doc_id"), (F.length("text") % 40).alias("asset_id"), F.col("turn").alias("pos"))
     assets = c.select("doc_id", "asset_id").distinct().select(
         "doc_id", "asset_id", views.pick(_MIME, F.col("asset_id") % 5).alias("media_type"), views.pick(_PART, F.col("asset_id") % 7 % 5).alias("origin_part"))
     return number_assets(c, assets)

@@ -48,12 +48,12 @@ def _(spark, sf_dir):
     return hs.expectation_gate(runs, expected)
 
 
-@register("provenance_check", f"""SELECT conv_id * 1000000 + turn // {views.TURNS} AS id, count(*) FILTER (turn % 3 <> 0 AND role <> 'system') AS valid_count, count(*) FILTER (turn % 3 <> 0 AND role <> 'system') > 0 AS has_boxes FROM conversations GROUP BY 1""")
+@register("provenance_check", f"""SELECT conv_id * 1000000 AS id, count(*) FILTER (turn % 3 <> 0 AND role <> 'system') AS valid_count, count(*) FILTER (turn % 3 <> 0 AND role <> 'system') > 0 AS has_boxes FROM conversations GROUP BY 1""")
 def _(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
     box = F.expr("struct(CAST(0 AS DOUBLE) AS l, CAST(1 AS DOUBLE) AS t, CAST(length(text) AS DOUBLE) AS r, CASE WHEN turn % 3 <> 0 THEN CAST(2 AS DOUBLE) END AS b)")
     prov = F.array(F.struct(F.expr("CASE WHEN role <> 'system' THEN turn END").alias("page_no"), box.alias("bbox")))
-    texts = c.select(F.expr(f"conv_id * 1000000 + turn DIV {views.TURNS}").alias("id"), F.struct(prov.alias("prov")).alias("t"))
+    texts = c.select(F.expr("conv_id * 1000000").alias("id"), F.struct(prov.alias("prov")).alias("t"))
     return hs.provenance_check(texts.groupBy("id").agg(F.collect_list("t").alias("texts")))
 
 
@@ -66,13 +66,13 @@ def _(spark, sf_dir):
     return hs.direct_extract(views.table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), "html"))
 
 
-_CELLS = f"""SELECT conv_id * 1000000 + turn // {views.TURNS} AS workbook, role AS sheet, turn AS row, unnest([0, 1, 2]) AS col, unnest([turn::VARCHAR, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END, text]) AS value FROM conversations"""
+_CELLS = f"""SELECT conv_id * 1000000 AS workbook, role AS sheet, turn AS row, unnest([0, 1, 2]) AS col, unnest([turn::VARCHAR, CASE WHEN turn % 4 = 3 THEN NULL ELSE role END, text]) AS value FROM conversations"""
 
 
 def cells(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
     values = F.expr("array(CAST(turn AS STRING), CASE WHEN turn % 4 <> 3 THEN role END, text)")
-    return c.select(F.expr(f"conv_id * 1000000 + turn DIV {views.TURNS}").alias("workbook"), F.col("role").alias("sheet"),
+    return c.select(F.expr("conv_id * 1000000").alias("workbook"), F.col("role").alias("sheet"),
                     F.col("turn").alias("row"), F.posexplode(values).alias("col", "value"))
 
 

@@ -42,8 +42,7 @@ _scalar("asset_url_encode", "conversations", "conv_id, turn", "replace(url_encod
 
 # --- inlines: the words of a turn, typed by position -------------------------------------------
 TYPES = ["text", "text", "text", "text", "text", "text", "link", "image", "break", "checkbox", "math", "anchor", "note_ref", "anchor_link"]
-_DOC = f"conv_id * 1000000 + turn // {views.TURNS}"
-_DOC_SP = f"conv_id * 1000000 + turn DIV {views.TURNS}"
+_DOC = _DOC_SP = "conv_id * 1000000"
 _TARGETS = ["https://example.com/a b?x=(", "javascript:", "/rel/", "#"]
 cte("inlines", "", f"""
 SELECT doc_id, container_id, ord, {strings(TYPES)}[ord % 14 + 1] AS type, ord % 2 = 1 AS bold, ord % 3 = 1 AS italic, ord % 5 = 4 AS strike, ord % 14 = 5 AS code,
@@ -160,15 +159,15 @@ def _(spark, sf_dir):
     return rd.render_lists(rows).select("doc_id", "md")
 
 
-# --- tables: one per bounded conversation -------------------------------------------------------
+# --- tables: one per conversation -------------------------------------------------------
 cte("rcells", "", f"""SELECT table_id, row, col, CASE WHEN table_id % 5 = 0 AND row = 0 AND col = 0 THEN 2 ELSE 1 END AS col_span, 1 AS row_span, table_id % 5 = 0 AND row = 0 AND col = 1 AS covered,
   (table_id // 1000000) % 3 AS header_rows, CASE WHEN (table_id // 1000000) % 7 = 0 AND row = 1 THEN 2 ELSE 1 END AS n_blocks, CASE WHEN (table_id // 1000000) % 11 = 0 AND col = 2 THEN 'list' ELSE 'paragraph' END AS block_type, v FROM (
-  SELECT {_DOC} AS table_id, turn % {views.TURNS} AS row, unnest([0, 1, 2]) AS col, unnest([turn::VARCHAR, role || '|', text]) AS v FROM conversations)""")
+  SELECT {_DOC} AS table_id, turn AS row, unnest([0, 1, 2]) AS col, unnest([turn::VARCHAR, role || '|', text]) AS v FROM conversations)""")
 
 
 def rcells(spark, sf_dir):
     c = views.table(spark, sf_dir, "conversations")
-    rows = c.select(F.expr(_DOC_SP).alias("table_id"), F.expr(f"turn % {views.TURNS}").alias("row"),
+    rows = c.select(F.expr(_DOC_SP).alias("table_id"), F.col("turn").alias("row"),
                     F.posexplode(F.expr("array(CAST(turn AS STRING), concat(role, '|'), text)")).alias("col", "v"))
     return rows.select(
         "table_id", "row", "col", F.expr("CASE WHEN table_id % 5 = 0 AND row = 0 AND col = 0 THEN 2 ELSE 1 END AS col_span"), F.lit(1).alias("row_span"),

@@ -2,7 +2,7 @@
 
 Document ids of the pair corpus carry their format in the last two bits, so one BIGINT key
 serves all of them: 0 text (documents), 1 HTML (pages), 2 extracted page text and 3 sheets
-(both from conversations, at most ``TURNS`` turns per document).
+(both from conversations, one document each).
 """
 import functools
 import weakref
@@ -16,6 +16,7 @@ from ..functions import url
 from ..operators.facts import html_facts, txt_facts
 from ..operators.markdown_facts import markdown_facts
 from ..operators.mutations import BLOCK, mutated_arms
+from ..operators.numbering import number_in_group
 from ..operators.render import gfm_cell, gfm_table
 from ..session import by_document, tune
 
@@ -24,7 +25,6 @@ EXTENSIONS = [".txt", ".TXT", ".docx", ".DOCX", ".pdf", ".xlsx", ".pptx", ".csv"
               ".html", ".HTM", ".doc", ".xls", ".ppt", ".odt", ".ods", ".odp", ".epub", ".PNG",
               ".jpeg", ".zip", ".tar.gz", ".xyz", "", ".Md"]
 SHEET_NAMES = ["Summary", "Sales:2026", "CON", "Trailing. ", "Données", "summary"]
-TURNS = 1000
 ARMS = {
     "txt": ["clean", "empty", "short", "dup", "swap", "invent"],
     "html": ["clean", "empty", "short", "dup", "swap", "head", "list", "level", "link"],
@@ -120,17 +120,16 @@ def html_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def turns(spark: SparkSession, sf_dir: str, bits: int) -> DataFrame:
-    """Turns under a bounded document: blocks of a conversation."""
+    """Turns of a conversation, which is one document however long it is."""
     c = table(spark, sf_dir, "conversations")
-    doc = (F.col("conv_id") * (1 << 20) + F.floor(F.col("turn") / TURNS)) * 4 + bits
-    return by_document(c.select(doc.alias("doc_id"), (F.col("turn") % TURNS).cast("int").alias("turn"), "role", "text"))
+    return c.select((F.col("conv_id") * 4 + bits).alias("doc_id"), F.col("turn").cast("int").alias("turn"), "role", "text")
 
 
 @view
 def page_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inferred facts of extracted pages; a document has at most ``TURNS`` of them."""
+    """Inferred facts of extracted pages; long documents are numbered in ranges of pages."""
     rows = turns(spark, sf_dir, 2).withColumn("text", tx.collapse_ws(F.col("text"))).filter("text <> ''")
-    rows = rows.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("turn")) - 1)
+    rows = number_in_group(rows, ["doc_id"], "turn", "ord")
     return rows.select(
         "doc_id", F.concat(F.lit("text:"), F.col("ord") + 1).alias("fact_id"), F.lit("TEXT_BLOCK").alias("kind"),
         "text", F.col("ord").cast("bigint").alias("ord"),
@@ -147,23 +146,22 @@ SHEET_HEADER = ["turn", "role", "text"]
 def sheet_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table per sheet document; in every third sheet the turn column is a cached formula."""
     t = turns(spark, sf_dir, 3)
-    heads = t.select("doc_id").distinct()
+    heads = t.groupBy("doc_id").agg((F.max("turn") + 1).alias("last"))
     values = F.array(F.col("turn").cast("string"), F.col("role"), F.col("text"))
     cell_type = "array<struct<row:int,col:int,text:string>>"
-    cells = t.select("doc_id", F.explode(F.transform(values, lambda v, i: F.struct(
+    t = number_in_group(t, ["doc_id"], "turn", "nth")
+    cells = t.select("doc_id", (F.col("nth") * 3 + 4).alias("first"), F.explode(F.transform(values, lambda v, i: F.struct(
         (F.col("turn") + 1).alias("row"), i.alias("col"), v.alias("text"))).cast(cell_type)).alias("c"))
-    header = heads.select("doc_id", F.explode(F.array(*[
+    header = heads.select("doc_id", F.lit(1).cast("bigint").alias("first"), F.explode(F.array(*[
         F.struct(F.lit(0).alias("row"), F.lit(i).alias("col"), F.lit(h).alias("text"))
         for i, h in enumerate(SHEET_HEADER)]).cast(cell_type)).alias("c"))
-    marker = heads.select("doc_id", F.struct(
+    marker = heads.select("doc_id", F.lit(1).cast("bigint").alias("first"), F.struct(
         F.lit(-1).alias("row"), F.lit(-1).alias("col"), F.lit(None).alias("text")).cast(cell_type[6:-1]).alias("c"))
-    rows = cells.unionByName(header).unionByName(marker).select("doc_id", "c.*")
-    last = F.max("row").over(W.partitionBy("doc_id"))
-    rows = rows.select("*", last.alias("last"),
-                       (F.row_number().over(W.partitionBy("doc_id").orderBy("row", "col")) - 1).alias("ord"))
+    rows = cells.unionByName(header).unionByName(marker).select("doc_id", "first", "c.*").join(heads, "doc_id")
+    rows = rows.withColumn("ord", F.col("first") + F.col("col"))           # the table itself comes before its cells
     is_table = F.col("row") == -1
     s = lambda c: F.col(c).cast("string")
-    formula = (F.floor(F.col("doc_id") / 4 / (1 << 20)) % 3 == 0) & (F.col("col") == 0) & (F.col("row") > 0)
+    formula = (F.floor(F.col("doc_id") / 4) % 3 == 0) & (F.col("col") == 0) & (F.col("row") > 0)
     certainty = F.when(formula, "INFERRED").when((F.col("col") == 0) & (F.col("row") > 0), "DERIVED_EXACT").otherwise("SOURCE_EXACT")
     return rows.select(
         "doc_id", F.when(is_table, F.lit("table:1")).otherwise(F.concat_ws(":", F.lit("table:1:cell"), s("row"), s("col"))).alias("fact_id"),
