@@ -89,16 +89,13 @@ def comparison_row(pairs: DataFrame, s: DataFrame, o: DataFrame,
     return wide.select(*pairs.columns, *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
 
 
-def comparable(source_facts: DataFrame, output_facts: DataFrame, width: int = None) -> tuple[DataFrame, DataFrame]:
+def comparable(source_facts: DataFrame, output_facts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides in comparable form, hashed by document and checkpointed.
 
     Every branch of the comparison reads them, so they are computed once; the cut also keeps the
-    plans of the scores small. The hash layout survives the cut, later groupings on a document
-    need no exchange. Both sides get the same ``width``, the shuffle partitions by default.
+    plans of the scores small. How many partitions there are is left to the adaptive plan.
     """
-    width = width or int(source_facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return (cut_lineage(by_document(match.comparable_source(source_facts), width=width)),
-            cut_lineage(by_document(match.comparable_output(output_facts), width=width)))
+    return cut_lineage(by_document(match.comparable_source(source_facts))), cut_lineage(by_document(match.comparable_output(output_facts)))
 
 
 def _ratio(num: str, den: str, *guards: tuple[str, str]) -> tuple[str, str, str, str]:

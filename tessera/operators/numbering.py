@@ -3,7 +3,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage, shuffle_width
+from ..session import cut_lineage
 
 CHUNK = 1 << 16
 
@@ -33,7 +33,7 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     partition adds the row count of the partitions before it (one row per partition).
     """
     placed = cut_lineage(
-        df.repartitionByRange(shuffle_width(df), *order).sortWithinPartitions(*order)
+        df.repartitionByRange(*order).sortWithinPartitions(*order)
         .withColumn("_place", F.monotonically_increasing_id()))
     part = F.shiftright("_place", 33).alias("_part")
     sizes = placed.groupBy(part).agg(F.count("*").alias("_n"))

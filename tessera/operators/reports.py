@@ -109,12 +109,10 @@ def format_counts(files: DataFrame) -> DataFrame:
 
 
 def extension_breakdown(files: DataFrame) -> DataFrame:
-    """``EXT: n`` by falling count; there are few distinct extensions after the partial count."""
+    """``(label, n)`` of each extension; whatever follows a last dot is one, so they stay rows."""
     ext = F.regexp_replace(extension_of(F.col("relative_path")), r"^\.", "")
     label = F.when(is_blank(ext), F.lit("No extension")).otherwise(F.upper(ext))
-    rows = files.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
-    listed = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), F.lower("label").alias("l"), "label", "n")))
-    return rows.agg(F.array_join(F.transform(listed, lambda s: F.concat(s["label"], F.lit(": "), s["n"])), " · ").alias("text"))
+    return files.groupBy(label.alias("label")).agg(F.count("*").alias("n"))
 
 
 def preview_filter(ops: DataFrame, which: str, format: str = None) -> DataFrame:
@@ -163,7 +161,15 @@ def verify_artifacts(manifest: DataFrame, actual: DataFrame) -> tuple[DataFrame,
     """(per artifact, per run): PASS, MISMATCH, MISSING or INVALID_PATH against a manifest."""
     a = actual.select("run_id", "path", F.col("sha256").alias("actual_sha256"), F.col("size_bytes").alias("actual_size"))
     rows = manifest.join(a, ["run_id", "path"], "left")
-    escapes = F.col("path").rlike(r"^(/|\\|[A-Za-z]:)") | F.col("path").rlike(r"^(?:[^/]+/\.\./)*\.\.(?:/|$)")
+    # Folders are walked with both separators: a path may step out of a folder it has entered, not of the run.
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("out"))
+
+    def step(state, part):
+        depth = state["depth"] + F.when(part == "..", -1).when(part.isin("", "."), 0).otherwise(1)
+        return F.struct(depth.alias("depth"), (state["out"] | (depth < 0)).alias("out"))
+
+    walked = F.aggregate(F.split("path", r"[/\\]"), start, step)
+    escapes = F.col("path").rlike(r"^(/|\\|[A-Za-z]:)") | walked["out"]
     status = (F.when(escapes, "INVALID_PATH").when(F.col("actual_sha256").isNull(), "MISSING")
               .when((F.col("actual_size") == F.col("size_bytes")) & (F.lower("actual_sha256") == F.lower("sha256")), "PASS")
               .otherwise("MISMATCH"))

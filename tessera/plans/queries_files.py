@@ -198,8 +198,8 @@ def tx_trim(x):
     return trim_ws(x)
 
 
-_SHEET = "substr(text, 1, 30 + (turn % 7)::INT) || CASE turn % 5 WHEN 0 THEN ': a/b. ' WHEN 1 THEN '. ' ELSE '' END"
-_SHEET_SP = "concat(substring(text, 1, 30 + CAST(turn % 7 AS INT)), CASE turn % 5 WHEN 0 THEN ': a/b. ' WHEN 1 THEN '. ' ELSE '' END)"
+_SHEET = "text || CASE turn % 5 WHEN 0 THEN ': a/b. ' WHEN 1 THEN '. ' ELSE '' END"
+_SHEET_SP = "concat(text, CASE turn % 5 WHEN 0 THEN ': a/b. ' WHEN 1 THEN '. ' ELSE '' END)"
 _RAW_SHEET = f"CASE turn % 11 WHEN 3 THEN 'con.' || turn WHEN 4 THEN ' . ' ELSE {_SHEET} END"
 _RAW_SHEET_SP = f"CASE turn % 11 WHEN 3 THEN concat('con.', turn) WHEN 4 THEN ' . ' ELSE {_SHEET_SP} END"
 
@@ -314,8 +314,7 @@ def _(spark, sf_dir):
     return rp.format_counts(views.files(spark, sf_dir))
 
 
-@q("extension_breakdown", "files", f"""SELECT string_agg(label || ': ' || n, ' · ' ORDER BY n DESC, lower(label)) AS text FROM (
-SELECT coalesce(nullif(upper(substr({_ext('relative_path')}, 2)), ''), 'No extension') AS label, count(*) AS n FROM files GROUP BY 1)""")
+@q("extension_breakdown", "files", f"SELECT coalesce(nullif(upper(substr({_ext('relative_path')}, 2)), ''), 'No extension') AS label, count(*) AS n FROM files GROUP BY 1")
 def _(spark, sf_dir):
     return rp.extension_breakdown(views.files(spark, sf_dir))
 
@@ -395,14 +394,16 @@ def _(spark, sf_dir):
     return rp.sets_equal(views.table(spark, sf_dir, "labels").select("doc_id"), views.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-_MANIFEST = "SELECT regexp_extract(relative_path, '^([^/]*)/', 1) AS run_id, relative_path AS path, content_sha256 AS sha256, size_bytes, n FROM hashed"
-cte("verified", "hashed", f"""SELECT m.run_id, m.path, CASE WHEN starts_with(m.path, '../') THEN 'INVALID_PATH' WHEN a.path IS NULL THEN 'MISSING' WHEN a.sha256 = m.sha256 THEN 'PASS' ELSE 'MISMATCH' END AS status
+_MANIFEST = """SELECT regexp_extract(relative_path, '^([^/]*)/', 1) AS run_id, CASE n % 23 WHEN 5 THEN 'a/../' || relative_path WHEN 6 THEN 'a/b/../../../' || relative_path WHEN 7 THEN 'a\..\..\' || relative_path ELSE relative_path END AS path,
+  content_sha256 AS sha256, size_bytes, n FROM hashed"""
+cte("verified", "hashed", f"""SELECT m.run_id, m.path, CASE WHEN starts_with(m.path, '../') OR starts_with(m.path, 'a/../../') OR m.n % 23 IN (6, 7) THEN 'INVALID_PATH' WHEN a.path IS NULL THEN 'MISSING' WHEN a.sha256 = m.sha256 THEN 'PASS' ELSE 'MISMATCH' END AS status
 FROM ({_MANIFEST}) m LEFT JOIN (SELECT regexp_extract(relative_path, '^([^/]*)/', 1) AS run_id, relative_path AS path, sha256_after AS sha256 FROM hashed WHERE n % 19 <> 0) a ON a.run_id = m.run_id AND a.path = m.path""")
 
 
 def _verified(spark, sf_dir):
     h = hashed(spark, sf_dir).withColumn("run_id", F.regexp_extract("relative_path", "^([^/]*)/", 1)).withColumnRenamed("relative_path", "path")
-    manifest = h.select("run_id", "path", F.col("content_sha256").alias("sha256"), "size_bytes")
+    lead = F.when(F.expr("n % 23 = 5"), "a/../").when(F.expr("n % 23 = 6"), "a/b/../../../").when(F.expr("n % 23 = 7"), "a\\..\\..\\").otherwise("")
+    manifest = h.select("run_id", F.concat(lead, "path").alias("path"), F.col("content_sha256").alias("sha256"), "size_bytes")
     return rp.verify_artifacts(manifest, h.filter("n % 19 <> 0").select("run_id", "path", F.col("sha256_after").alias("sha256"), "size_bytes"))
 
 

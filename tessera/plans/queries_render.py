@@ -29,8 +29,8 @@ _scalar("anchor_id", "documents", "doc_id", anchor_id("text") + " AS anchor", la
 
 _HREF = "['https://example.com/a b?x=(1)', ' mailto:a@b.c', 'javascript:alert(1)', 'jav' || chr(9) || 'ascript:x', '#My Section: 1', 'docs/a.html', 'img/x.SVG?y', 'ftp://h/x', '//cdn/x.png', ''][turn % 10 + 1] || CASE WHEN turn % 10 = 9 THEN '' ELSE '' END"
 _HREF_SP = "element_at(array('https://example.com/a b?x=(1)', ' mailto:a@b.c', 'javascript:alert(1)', concat('jav', char(9), 'ascript:x'), '#My Section: 1', 'docs/a.html', 'img/x.SVG?y', 'ftp://h/x', '//cdn/x.png', ''), CAST(turn % 10 + 1 AS INT))"
-_URL = f"CASE WHEN turn % 3 = 0 THEN substr(text, 1, 40) ELSE {_HREF} END"
-_URL_SP = f"CASE WHEN turn % 3 = 0 THEN substring(text, 1, 40) ELSE {_HREF_SP} END"
+_URL = f"CASE WHEN turn % 3 = 0 THEN text ELSE {_HREF} END"
+_URL_SP = f"CASE WHEN turn % 3 = 0 THEN text ELSE {_HREF_SP} END"
 U = lambda: F.expr(_URL_SP)
 _scalar("url_scheme", "pages", "page_id", scheme("url") + " AS scheme", lambda: [url.url_scheme(F.col("url")).alias("scheme")])
 _scalar("safe_link_url", "conversations", "conv_id, turn", f"{safe_link(f'({_URL})')} AS safe, {md_url(safe_link(f'({_URL})'))} AS markdown_url",

@@ -3,7 +3,6 @@ from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
 from ..operators import ooxml_facts as of
-from ..session import shuffle_width
 from ..sources.files import decode_strict, transcode_utf16_utf8
 from ..sources.ooxml import ooxml_parts
 from ..streaming.convert import convert_requests
@@ -56,7 +55,7 @@ def _(spark, sf_dir):
 
 def parts(spark, sf_dir, build):
     d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return ooxml_parts(pk.packages(d.repartition(shuffle_width(d), "path"), build))
+    return ooxml_parts(pk.packages(d.repartition("path"), build))
 
 
 @register("ooxml_parts", """SELECT doc_id::VARCHAR AS path, unnest(['word/document.xml', 'word/numbering.xml', 'word/styles.xml']) AS part FROM documents""")

@@ -38,7 +38,11 @@ _plans = weakref.WeakKeyDictionary()
 
 
 def view(build):
-    """Build the logical plan of a view once per session and folder; no data is kept."""
+    """Build a view once per session and folder.
+
+    Most views are plans alone; those that checkpoint (comparable facts, wide rows, scores) hold the
+    data of their first use. ``forget`` drops both after files in a folder have changed.
+    """
     @functools.wraps(build)
     def cached(spark: SparkSession, sf_dir: str) -> DataFrame:
         of_session = _plans.setdefault(spark, {})
@@ -49,6 +53,11 @@ def view(build):
     return cached
 
 
+def forget(spark: SparkSession) -> None:
+    """Build all views of a session anew."""
+    _plans.pop(spark, None)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

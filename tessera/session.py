@@ -1,6 +1,4 @@
 """Session helpers shared by all operators: runtime settings, co-partitioning, lineage cuts."""
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -15,34 +13,18 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Input bytes (compressed, as on disk) that one task of a per-document pipeline should take.
-TASK_BYTES = 8 << 20
-
-
-def shuffle_width(df: DataFrame) -> int:
-    """Partitions for an explicit repartition of ``df``.
-
-    The session's shuffle partitions, which a cluster sizes to its data; fewer when the estimated
-    input would leave most of them empty, as explicit partition counts are not coalesced later.
-    """
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    needed = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
-    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), needed)
-
-
-def by_document(df: DataFrame, key: str = "doc_id", width: int = None) -> DataFrame:
+def by_document(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Hash raw document rows on their key before they are exploded.
 
     Everything explode produces stays in place, so later windows, groupings and joins of one
     document need no further exchange. A document is one row, so its rows are bounded by the
-    size of one string cell.
+    size of one string cell. The number of partitions is left to the session and its adaptive plans.
     """
-    return df.repartition(width or shuffle_width(df), key)
+    return df.repartition(key)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared checkpoint folder of the session; make one only for local runs."""
+    """Use the shared checkpoint folder of the session; a local run without one uses its warehouse."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -50,7 +32,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if configured:
         sc.setCheckpointDir(configured)
     elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+        sc.setCheckpointDir(spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-shared")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 

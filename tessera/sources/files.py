@@ -19,26 +19,37 @@ def scan_inventory(spark: SparkSession, root: str, recursive: bool = True, exclu
 
 
 def read_content(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
-    """Contents of all files up to a size, dropped by length before they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(F.col("length") <= max_bytes)
-    return files.select(_relative(root).alias("path"), "content")
+    """``(path, content, error_code)`` of all files; a larger one is not opened and says resource_limit."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    path, none = _relative(root).alias("path"), F.lit(None)
+    small = files.filter(F.col("length") <= max_bytes).select(path, "content", none.cast("string").alias("error_code"))
+    large = files.filter(F.col("length") > max_bytes).select(path, none.cast("binary").alias("content"), F.lit("resource_limit").alias("error_code"))
+    return small.unionByName(large)
+
+
+def _utf16(content, order: str):
+    """Text of UTF-16 bytes; null for an odd count and for surrogates that stand alone."""
+    high, low = ("D[89AB]", "D[C-F]")
+    unit = "(?:[0-9A-CEF][0-9A-F]|D[0-7])"
+    pair = {"BE": rf"(?:{unit}[0-9A-F]{{2}}|{high}[0-9A-F]{{2}}{low}[0-9A-F]{{2}})", "LE": rf"(?:[0-9A-F]{{2}}{unit}|[0-9A-F]{{2}}{high}[0-9A-F]{{2}}{low})"}
+    return F.when(F.hex(content).rlike(f"^{pair[order]}*+$"), F.decode(content, f"UTF-16{order}"))
 
 
 def decode_strict(files: DataFrame) -> DataFrame:
-    """Text of ``files(path, content)`` by byte-order mark, strict UTF-8 without one."""
+    """Text of ``files(path, content)`` by byte-order mark, strict UTF-8 without one; what can't be
+    decoded keeps its row with an error code, and an error of the reader stays."""
     head = F.hex(F.substring("content", 1, 3))
     rest = lambda n: F.substring("content", n, 2147483647)
     utf8 = F.try_validate_utf8(F.when(head.startswith("EFBBBF"), rest(4)).otherwise(F.col("content")))
-    even = F.length("content") % 2 == 0
-    text = (F.when(head.startswith("FFFE"), F.when(even, F.decode(rest(3), "UTF-16LE")))
-            .when(head.startswith("FEFF"), F.when(even, F.decode(rest(3), "UTF-16BE"))).otherwise(utf8))
-    return files.select("path", text.alias("text"), F.when(text.isNull(), "text_encoding_unsupported").alias("error_code"))
+    text = F.when(head.startswith("FFFE"), _utf16(rest(3), "LE")).when(head.startswith("FEFF"), _utf16(rest(3), "BE")).otherwise(utf8)
+    earlier = F.col("error_code") if "error_code" in files.columns else F.lit(None).cast("string")
+    return files.select("path", text.alias("text"), F.coalesce(earlier, F.when(text.isNull(), "text_encoding_unsupported")).alias("error_code"))
 
 
 def transcode_utf16_utf8(files: DataFrame) -> DataFrame:
-    """UTF-16 LE bytes (mark dropped) to UTF-8 bytes."""
-    text = F.regexp_replace(F.decode("content", "UTF-16LE"), "^\\x{FEFF}", "")
-    return files.select("path", F.encode(text, "UTF-8").alias("content"))
+    """UTF-16 LE bytes (mark dropped) to UTF-8 bytes; malformed ones to null with an error code."""
+    text = F.regexp_replace(_utf16(F.col("content"), "LE"), "^\\x{FEFF}", "")
+    return files.select("path", F.encode(text, "UTF-8").alias("content"), F.when(text.isNull(), "text_encoding_unsupported").alias("error_code"))
 
 
 RUN_SCHEMA = """arm string, fixture string, duration_seconds double, start_rss_mb double, post_rss_mb double, peak_rss_mb double,

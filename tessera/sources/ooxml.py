@@ -6,9 +6,11 @@ shared strings and positions are joined by Spark (``operators.ooxml_facts``).
 import io
 import xml.etree.ElementTree as ET
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
@@ -24,31 +26,51 @@ def ooxml_parts(packages: DataFrame) -> DataFrame:
     """One row per XML part of ``packages(path, content)``; unreadable packages get an error row."""
     def read(batches):
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            for path, content in zip(batch["path"], batch["content"]):       # one package in memory at a time
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        rows += [(path, n, z.read(n), None) for n in z.namelist() if n.endswith((".xml", ".rels"))]
-                except (zipfile.BadZipFile, OSError, RuntimeError):
-                    rows.append((path, None, None, "source_invalid"))
-            yield pd.DataFrame(rows, columns=["path", "part", "xml", "error_code"])
+                        rows = [(path, n, *_checked(z.read(n))) for n in z.namelist() if n.endswith((".xml", ".rels"))]
+                except (zipfile.BadZipFile, zlib.error, OSError, RuntimeError, NotImplementedError, TypeError):
+                    rows = [(path, None, None, "source_invalid")]
+                yield pd.DataFrame(rows, columns=["path", "part", "xml", "error_code"])
     return packages.select("path", "content").mapInPandas(read, PARTS)
 
 
+def _checked(xml: bytes) -> tuple:
+    """The part and no error, or no part and its error."""
+    try:
+        ET.fromstring(xml)
+        return xml, None
+    except (ET.ParseError, ValueError, LookupError):
+        return None, "source_invalid"
+
+
+def source_status(parts: DataFrame) -> DataFrame:
+    """One row per package: whether it can be evaluated, and the parts that can't be read."""
+    bad = F.col("error_code").isNotNull()
+    rows = parts.groupBy("path").agg(F.count_if(bad).alias("broken"), F.min(F.when(bad, F.coalesce("part", F.lit("package")))).alias("first_broken"))
+    return rows.select("path", F.when(F.col("broken") > 0, "NOT_EVALUATED_SOURCE_INVALID").otherwise("EVALUATED").alias("status"), "broken", "first_broken")
+
+
+def _int(value, default=None):
+    """An integer attribute; one that is none counts as absent."""
+    try:
+        return int(value)
+    except (TypeError, ValueError):
+        return default
+
+
 def _rows(parts: DataFrame, pattern: str, schema: str, parse) -> DataFrame:
-    """Rows of ``parse(root)`` for the parts whose name matches; a broken part yields none."""
+    """Rows of ``parse(root)`` for the parts whose name matches; broken parts have their error row in ``parts``."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
 
     def run(batches):
         for batch in batches:
             out = []
             for path, part, xml in zip(batch["path"], batch["part"], batch["xml"]):
-                try:
-                    out += [(path, part, *row) for row in parse(ET.fromstring(xml))]
-                except ET.ParseError:
-                    pass
+                out += [(path, part, *row) for row in parse(ET.fromstring(xml))]
             yield pd.DataFrame(out, columns=names).astype(object)
-    wanted = parts.filter(f"part rlike '{pattern}'").select("path", "part", "xml")
+    wanted = parts.filter(f"part rlike '{pattern}' AND xml IS NOT NULL").select("path", "part", "xml")
     return wanted.mapInPandas(run, schema)
 
 
@@ -120,7 +142,7 @@ def _word_body(root):
             for r, tr in enumerate(rows):
                 for c, tc in enumerate(tr.findall(W + "tc")):
                     span = _val(tc.find(W + "tcPr"), "gridSpan")
-                    yield emit("tc", _word_text(tc), tbl=n_tables, row=r, cell=c, span=max(1, int(span or 1)))
+                    yield emit("tc", _word_text(tc), tbl=n_tables, row=r, cell=c, span=max(1, _int(span, 1)))
                     yield from references(tc)
 
 
@@ -165,7 +187,7 @@ def slide_paragraphs(parts: DataFrame) -> DataFrame:
                 ppr = p.find(A + "pPr")
                 bullet = ppr is not None and (ppr.find(A + "buChar") is not None or ppr.find(A + "buAutoNum") is not None)
                 yield (i + 1, j + 1, _text(p, A + "t", (A + "br",)), None if ph is None else ph.get("type"), bullet,
-                       0 if ppr is None else int(ppr.get("lvl") or 0))
+                       0 if ppr is None else _int(ppr.get("lvl"), 0))
     return _rows(parts, "^ppt/slides/[^/]+\\\\.xml$",
                  "path string, part string, shape int, para int, text string, placeholder string, bullet boolean, level int", parse)
 
@@ -180,12 +202,12 @@ def sheet_cells(parts: DataFrame) -> DataFrame:
     def parse(root):
         for i, r in enumerate(root.iter(S + "row")):
             cells = r.findall(S + "c")
-            at = int(r.get("r")) if r.get("r") else None
+            at = _int(r.get("r"))
             for j, c in enumerate(cells):
                 v, inline = c.find(S + "v"), c.find(S + "is")
                 raw = (v.text or "") if v is not None else "".join(c.itertext())
                 yield (i, at, j, c.get("r"), c.get("t"), raw, c.find(S + "f") is not None,
-                       None if inline is None else "".join(inline.itertext()), int(c.get("s")) if c.get("s") else None)
+                       None if inline is None else "".join(inline.itertext()), _int(c.get("s")))
             if not cells:
                 yield (i, at, None, None, None, None, None, None, None)
     return _rows(parts, "^xl/worksheets/[^/]+\\\\.xml$", "path string, part string, row_no int, row_at int, cell_no int, ref string, type string, "
@@ -200,5 +222,5 @@ def shared_strings(parts: DataFrame) -> DataFrame:
 def cell_formats(parts: DataFrame) -> DataFrame:
     def parse(root):
         xfs = root.find(S + "cellXfs")
-        return [(i, int(x.get("numFmtId")) if x.get("numFmtId") else None) for i, x in enumerate([] if xfs is None else xfs.findall(S + "xf"))]
+        return [(i, _int(x.get("numFmtId"))) for i, x in enumerate([] if xfs is None else xfs.findall(S + "xf"))]
     return _rows(parts, "^xl/styles\\\\.xml$", "path string, part string, style int, number_format_id int", parse)

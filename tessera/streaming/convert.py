@@ -20,17 +20,12 @@ def convert_requests(lines: DataFrame) -> DataFrame:
 
 
 def convert_stream(spark: SparkSession, inbox: str, outbox: str, checkpoint: str):
-    """Convert request files as they arrive; a request id is answered once, also after a restart."""
-    def answer(batch: DataFrame, _: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates(["id", "markdown", "error_code"])
-        try:
-            known = session.read.parquet(outbox).select("id").filter("id <> 'unknown'").distinct()
-            fresh = fresh.join(known, "id", "left_anti")
-        except Exception as e:  # the first batch has no outbox yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(outbox)
+    """Convert request files as they arrive: one answer for every line, whatever batch it comes in.
+
+    A batch overwrites its own folder, so one that is repeated after a failure leaves no copies.
+    """
+    def answer(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{outbox}/batch={number}")
 
     requests = spark.readStream.text(inbox)
     return convert_requests(requests).writeStream.foreachBatch(answer).option(

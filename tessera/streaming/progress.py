@@ -1,4 +1,5 @@
 """Progress of operations: monotonic percent, as a stream and as its batch twin."""
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,12 +15,30 @@ def progress_fold(events: DataFrame) -> DataFrame:
         "CASE WHEN bool_or(success) THEN 100 ELSE max(greatest(0, least(pct, 99))) END").alias("percent"))
 
 
-def progress_stream(events: DataFrame, lateness: str = "10 minutes", span: str = "1 day") -> DataFrame:
-    """Streaming fold in update mode; the state of an operation leaves with its time window."""
-    marked = events.withWatermark("ts", lateness)
-    return marked.groupBy("operation", F.window("ts", span).alias("w")).agg(F.expr(
-        "CASE WHEN bool_or(success) THEN 100 ELSE max(greatest(0, least(pct, 99))) END").alias("percent")).select(
-        "operation", F.col("w.start").alias("since"), "percent")
+def progress_stream(events: DataFrame, lateness: str = "10 minutes", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Streaming fold in update mode, one state per operation.
+
+    An operation keeps its percent however long it runs; its state leaves when it has been silent
+    for ``idle_ms`` of event time.
+    """
+    def fold(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best = state.get[0] if state.exists else 0
+        last = 0
+        for frame in frames:
+            best = max(best, int(frame["percent"].max()))
+            last = max(last, int(frame["last_ms"].max()))
+        state.update((best,))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + idle_ms)
+        yield pd.DataFrame({"operation": [key[0]], "percent": [best]})
+
+    seen = events.withWatermark("ts", lateness).withColumn(
+        "percent", F.expr("CASE WHEN success THEN 100 ELSE greatest(0, least(pct, 99)) END").cast("int")).withColumn("last_ms", F.unix_millis("ts"))
+    kind = events.schema["operation"].dataType.simpleString()
+    return seen.groupBy("operation").applyInPandasWithState(
+        fold, f"operation {kind}, percent int", "percent int", "update", "EventTimeTimeout")
 
 
 def progress_history(events: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tessera.operators import ooxml_facts as of
 from tessera.operators import reports as rp
 from tessera.sources import files as src
 from tessera.sources import sinks
-from tessera.sources.ooxml import ooxml_parts
+from tessera.sources.ooxml import ooxml_parts, source_status
 from tessera.streaming.convert import convert_stream
 from tessera.streaming.progress import progress_stream
 
@@ -100,8 +100,11 @@ def test_readers(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     cells = spark.createDataFrame([("b", "s", 0, 0, "x,1"), ("b", "s", 0, 1, "y"), ("b", "s", 1, 1, "z")], "workbook string, sheet string, row int, col int, value string")
     sinks.write_sheet_delimited(cells, str(tmp_path / "csv"))
-    text = "".join(p.read_text() for p in (tmp_path / "csv/workbook=b/sheet=s").glob("*.csv"))
-    assert text == '"x,1",y\n,z\n'
+    lines = lambda kind, sheet: "".join(p.read_text() for p in sorted((tmp_path / kind / "workbook=b" / f"sheet={sheet}").glob("part-*")))
+    assert lines("csv", "s") == '"x,1",y\n,z\n'
+    wide = spark.createDataFrame([("b", "s", 0, 0, "a\tb"), ("b", "s", 3, 1, 'q"'), ("b", "w", 0, 4, "far")], "workbook string, sheet string, row int, col int, value string")
+    sinks.write_sheet_delimited(wide, str(tmp_path / "tsv"), "tsv")
+    assert lines("tsv", "s") == '"a\tb"\t\n\t\n\t\n\t"q"""\n' and lines("tsv", "w") == "\t\t\t\tfar\n"
     runs = spark.createDataFrame([("k1",), ("k2",)], "evidence_key string")
     sinks.append_run_registry(runs, spark.createDataFrame([("k1",)], "evidence_key string"), str(tmp_path / "reg"))
     assert [r.evidence_key for r in spark.read.parquet(str(tmp_path / "reg")).collect()] == ["k2"]
@@ -196,16 +199,62 @@ def test_slide_and_sheet_packages(spark):
 def test_streams(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
-    (inbox / "1.txt").write_text('{"id":"a","text":"x\\r\\ny","sourceFormat":"txt"}\nnot json\n\n{"id":"b","text":"q","sourceFormat":"gif"}\n')
+    (inbox / "1.txt").write_text('{"id":"a","text":"x\\r\\ny","sourceFormat":"txt"}\nnot json\nnot json\n\n{"id":"b","text":"q","sourceFormat":"gif"}\n')
     run = lambda: convert_stream(spark, str(inbox), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     run()
     (inbox / "2.txt").write_text('{"id":"a","text":"again","sourceFormat":"txt"}\n{"id":"c","text":"z","sourceFormat":"TXT"}\n')
     run()
-    rows = {(r.id, r.success, r.error_code, r.markdown) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert rows == {("a", True, None, "x\ny"), ("unknown", False, "invalid_request", None), ("b", False, "unsupported_format", None), ("c", True, None, "z")}
+    rows = sorted((r.id, r.success, r.error_code or "", r.markdown or "") for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert rows == [("a", True, "", "again"), ("a", True, "", "x\ny"), ("b", False, "unsupported_format", ""), ("c", True, "", "z"),
+                    ("unknown", False, "invalid_request", ""), ("unknown", False, "invalid_request", "")]
     spark.createDataFrame([(1, 10, False, 0), (1, 150, False, 60), (2, 5, True, 5), (1, 40, False, 30)], "operation int, pct int, success boolean, s int").select(
         "operation", "pct", "success", F.timestamp_seconds("s").alias("ts")).write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema("operation int, pct int, success boolean, ts timestamp").parquet(str(tmp_path / "ev"))
     q = progress_stream(stream).writeStream.outputMode("update").format("memory").queryName("progress").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.operation, r.percent) for r in spark.table("progress").collect()} == {(1, 99), (2, 100)}
+
+
+def test_progress_survives_midnight(spark, tmp_path):
+    write = lambda rows, name: spark.createDataFrame(rows, "operation int, pct int, success boolean, s long").select(
+        "operation", "pct", "success", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "ev" / name))
+    write([(1, 90, False, 86_000)], "a")
+    stream = spark.readStream.schema("operation int, pct int, success boolean, ts timestamp").parquet(str(tmp_path / "ev" / "*"))
+    run = lambda: progress_stream(stream).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(
+        lambda batch, n: batch.write.mode("append").json(str(tmp_path / "out"))).trigger(availableNow=True).start().awaitTermination(90)
+    run()
+    write([(1, 10, False, 86_500)], "b")
+    run()
+    assert [r.percent for r in spark.read.json(str(tmp_path / "out")).collect()] == [90, 90]
+
+
+def test_malformed_sources_keep_a_row(spark, tmp_path):
+    raw = [("ok", b"\xff\xfeh\x00"), ("odd", b"\xff\xfeh\x00i"), ("lone", b"\xff\xfe\x00\xd8"), ("low", b"\xfe\xff\xdc\x00"), ("pair", "\ufeff\U0001f600x".encode("utf-16-be")), ("none", None)]
+    df = spark.createDataFrame([(p, None if c is None else bytearray(c)) for p, c in raw], "path string, content binary")
+    got = {r.path: (r.text, r.error_code) for r in src.decode_strict(df).collect()}
+    bad = (None, "text_encoding_unsupported")
+    assert got == {"ok": ("h", None), "odd": bad, "lone": bad, "low": bad, "pair": ("\U0001f600x", None), "none": bad}
+    out = {r.path: (r.content, r.error_code) for r in src.transcode_utf16_utf8(df).collect()}
+    assert bytes(out["ok"][0]) == b"h" and out["odd"] == bad and out["lone"] == bad
+    (tmp_path / "big.txt").write_bytes(b"x" * 50)
+    (tmp_path / "small.txt").write_bytes(b"y")
+    rows = {r.path: (r.text, r.error_code) for r in src.decode_strict(src.read_content(spark, str(tmp_path), max_bytes=10)).collect()}
+    assert rows == {"big.txt": (None, "resource_limit"), "small.txt": ("y", None)}
+
+
+def test_malformed_packages_keep_a_row(spark):
+    body = '<w:tbl><w:tr><w:tc><w:tcPr><w:gridSpan w:val="x"/></w:tcPr><w:p><w:r><w:t>cell</w:t></w:r></w:p></w:tc></w:tr></w:tbl>'
+    good = package({"word/document.xml": f"<w:document {NS}><w:body>{body}</w:body></w:document>"})
+    rows = [("good", good), ("zip", bytearray(b"PK")), ("xml", package({"word/document.xml": "<w:document"})), ("null", None)]
+    parts = ooxml_parts(spark.createDataFrame(rows, "path string, content binary")).cache()
+    assert [(r.doc_id, r.text) for r in of.docx_facts(parts).filter("kind = 'TABLE_CELL'").collect()] == [("good", "cell")]
+    status = {r.path: (r.status, r.first_broken) for r in source_status(parts).collect()}
+    invalid = "NOT_EVALUATED_SOURCE_INVALID"
+    assert status == {"good": ("EVALUATED", None), "zip": (invalid, "package"), "xml": (invalid, "word/document.xml"), "null": (invalid, "package")}
+
+
+def test_traversal_is_found_at_any_depth(spark):
+    paths = ["a/b/../../../x", "a\\..\\..\\x", "../x", "a/../x", "./a/./x", "/x", "C:x", "a/b/../../x"]
+    m = spark.createDataFrame([("r", p, "h", 1) for p in paths], "run_id string, path string, sha256 string, size_bytes long")
+    got = {r.path: r.status for r in rp.verify_artifacts(m, m)[0].collect()}
+    assert [got[p] for p in paths] == ["INVALID_PATH"] * 3 + ["PASS"] * 2 + ["INVALID_PATH"] * 2 + ["PASS"]

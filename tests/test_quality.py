@@ -191,3 +191,15 @@ def test_corpus_projection_and_comparison(spark):
     got = {x.plan_id: x for x in co.compare_corpora(l[0], l[3], r[0], r[3]).collect()}
     assert (got["p"].status, got["p"].corpus_delta, got["p"].pairs, got["p"].median_delta, got["p"].positive, got["p"].equal) == ("COMPARABLE", 7.4, 3, 10.0, 2, 1)
     assert got["q"].status == "NOT_COMPARABLE" and got["q"].pairs is None
+
+
+def test_long_constructs_end_no_job(spark):
+    from tessera.functions import html as fh
+    from tessera.functions import markdown as fm
+    word = "word " * 200_000
+    rows = ["[" + word, "[" + word + "](t)", "``" + word + "``", "![" + word + "](x)", "[a](" + "x" * 1_000_000 + ")", "[" + "!" * 1_000_000, "short [l](t)"]
+    got = [r.t for r in spark.createDataFrame([(m,) for m in rows], "m string").select(fm.inline_text(F.col("m")).alias("t")).collect()]
+    assert got[6] == "short l" and got[1].strip() == word.strip() and got[2].strip() == word.strip() and len(got[0]) > 900_000
+    page = "<p " + "a='b' " * 200_000 + ">text</p>&#9999999;&#x110000;&#0;&#xD800;&#65;"
+    text = spark.createDataFrame([(page,)], "h string").select(fh.strip_tags(F.col("h")).alias("t")).first().t
+    assert text == "text" + "�" * 4 + "A"
