@@ -394,7 +394,7 @@ def _(spark, sf_dir):
     return rp.sets_equal(views.table(spark, sf_dir, "labels").select("doc_id"), views.table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-_MANIFEST = """SELECT regexp_extract(relative_path, '^([^/]*)/', 1) AS run_id, CASE n % 23 WHEN 5 THEN 'a/../' || relative_path WHEN 6 THEN 'a/b/../../../' || relative_path WHEN 7 THEN 'a\..\..\' || relative_path ELSE relative_path END AS path,
+_MANIFEST = r"""SELECT regexp_extract(relative_path, '^([^/]*)/', 1) AS run_id, CASE n % 23 WHEN 5 THEN 'a/../' || relative_path WHEN 6 THEN 'a/b/../../../' || relative_path WHEN 7 THEN 'a\..\..\' || relative_path ELSE relative_path END AS path,
   content_sha256 AS sha256, size_bytes, n FROM hashed"""
 cte("verified", "hashed", f"""SELECT m.run_id, m.path, CASE WHEN starts_with(m.path, '../') OR starts_with(m.path, 'a/../../') OR m.n % 23 IN (6, 7) THEN 'INVALID_PATH' WHEN a.path IS NULL THEN 'MISSING' WHEN a.sha256 = m.sha256 THEN 'PASS' ELSE 'MISMATCH' END AS status
 FROM ({_MANIFEST}) m LEFT JOIN (SELECT regexp_extract(relative_path, '^([^/]*)/', 1) AS run_id, relative_path AS path, sha256_after AS sha256 FROM hashed WHERE n % 19 <> 0) a ON a.run_id = m.run_id AND a.path = m.path""")
