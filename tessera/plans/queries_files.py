@@ -460,12 +460,6 @@ def _(spark, sf_dir):
     return _runs(spark, sf_dir).select("relative_path", "evidence_key", "run_id")
 
 
-@q("write_run_registry", "hashed", f"SELECT relative_path, evidence_key FROM ({_EVIDENCE}) WHERE evidence_key NOT IN (SELECT evidence_key FROM ({_EVIDENCE}) WHERE n % 2 = 0)")
-def _(spark, sf_dir):
-    runs = _runs(spark, sf_dir)
-    return rp.new_runs(runs, runs.filter("n % 2 = 0")).select("relative_path", "evidence_key")
-
-
 _MIME = ["image/png", "image/jpeg", "image/svg+xml", "IMAGE/GIF", "application/octet-stream"]
 _PART = ["word/media/a.png", "word/media/b.jpeg", "word/media/c.svg", "word/media/d.GIF", "word/media/e.bin"]
 

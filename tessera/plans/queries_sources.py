@@ -5,10 +5,9 @@ from ..operators import inventory as inv
 from ..operators import ooxml_facts as of
 from ..sources.files import decode_strict, transcode_utf16_utf8
 from ..sources.ooxml import ooxml_parts
-from ..streaming.convert import convert_requests
 from . import packages as pk
 from . import views
-from .oracle import split, unix
+from .oracle import split
 from .registry import register
 
 
@@ -44,15 +43,6 @@ def _(spark, sf_dir):
         F.expr("CASE WHEN n_chars % 2 = 0 THEN array('[Content_Types].xml', 'Word/document.xml') ELSE array('word/document.xml') END").alias("parts")))
 
 
-@register("convert_stream", f"""SELECT CASE WHEN doc_id % 7 = 6 THEN 'unknown' ELSE doc_id::VARCHAR END AS id, doc_id % 7 NOT IN (5, 6) AS success,
-  CASE WHEN doc_id % 7 = 6 THEN 'invalid_request' WHEN doc_id % 7 = 5 THEN 'unsupported_format' END AS error_code, CASE WHEN doc_id % 7 NOT IN (5, 6) THEN {unix('text')} END AS markdown FROM documents""")
-def _(spark, sf_dir):
-    """Batch twin of the request stream: every document as a request line, some of them broken."""
-    d = views.table(spark, sf_dir, "documents")
-    line = F.expr("to_json(named_struct('id', CAST(doc_id AS STRING), 'text', text, 'sourceFormat', CASE WHEN doc_id % 7 = 5 THEN 'pdf' ELSE 'txt' END))")
-    return convert_requests(d.select(F.when(F.expr("doc_id % 7 = 6"), F.concat(F.lit("x"), line)).otherwise(line).alias("value")))
-
-
 def parts(spark, sf_dir, build):
     d = views.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     return ooxml_parts(pk.packages(d.repartition("path"), build))

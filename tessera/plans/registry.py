@@ -20,4 +20,4 @@ def register(name: str, sql: str = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_corpus, queries_facts, queries_files, queries_harness, queries_render, queries_scores, queries_sources  # noqa: F401
+    from . import queries_corpus, queries_facts, queries_files, queries_harness, queries_io, queries_render, queries_scores, queries_sources  # noqa: F401

@@ -1,4 +1,6 @@
 """Session helpers shared by all operators: runtime settings, co-partitioning, lineage cuts."""
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -37,6 +39,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessera-shared"
+    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and freezes row placement."""
     ensure_checkpoint_dir(df.sparkSession)
