@@ -41,8 +41,8 @@ def with_capability(files: DataFrame) -> DataFrame:
 
 
 def apply_rules(files: DataFrame, overrides: list[tuple[str, str]] = ()) -> DataFrame:
-    """Target per file: the format's default, or an override the format supports."""
-    wanted = F.broadcast(files.sparkSession.createDataFrame(list(overrides), "format string, override string"))
+    """Target per file: the format's default, or an override the format supports; of several for one format the last counts."""
+    wanted = F.broadcast(files.sparkSession.createDataFrame(list(dict(overrides).items()), "format string, override string"))
     rows = with_capability(files).join(wanted, "format", "left")
     ok = F.col("override").isNull() | F.array_contains("allowed", F.col("override"))
     return rows.withColumn("rule_ok", ok).withColumn(
@@ -168,16 +168,18 @@ def collision_suffix(ops: DataFrame, existing: DataFrame) -> DataFrame:
     Claimants of one target are numbered by a distributed sort, so a target wanted by a third of
     all files is not pulled into one task. A suffixed name may be the plain target of another
     operation; such clashes are settled in rounds: the earlier operation keeps the name, the later
-    one and those behind it in its family move on, until no name is wanted twice.
+    one and those behind it in its family move on, until no name is wanted twice. Operations on
+    sheets of one workbook follow each other by ``sheet_index``; what is skipped stays skipped.
     """
-    ordered = [F.lower("target_path"), F.lower("relative_path"), F.col("relative_path")]
+    sheets = [F.col("sheet_index")] if "sheet_index" in ops.columns else []
+    ordered = [F.lower("target_path"), F.lower("relative_path"), F.col("relative_path"), *sheets]
     claims = ops.filter("target_path <> ''")
     numbered = number_rows(claims, ordered, "_n")
     first = numbered.groupBy(F.lower("target_path").alias("_base")).agg(F.min("_n").alias("_first"))
     rows = numbered.withColumn("_base", F.lower("target_path")).join(first, "_base")
     rows = rows.withColumn("_i", F.col("_n") - F.col("_first")).drop("_first")
     named = rows.withColumn("_name", collision_name(F.col("target_path"), F.col("_i")))
-    rank = F.struct(F.lower("relative_path").alias("a"), F.col("relative_path").alias("b"), F.col("_n").alias("n"))
+    rank = F.struct(F.lower("relative_path").alias("a"), F.col("relative_path").alias("b"), *[c.alias("s") for c in sheets], F.col("_n").alias("n"))
     while True:
         wanted = named.groupBy(F.lower("_name").alias("_key")).agg(F.count("*").alias("_c"), F.min(rank).alias("_winner")).filter("_c > 1")
         if wanted.isEmpty():
@@ -194,7 +196,7 @@ def collision_suffix(ops: DataFrame, existing: DataFrame) -> DataFrame:
     there = existing.select(F.lower("target_path").alias("_key")).distinct().withColumn("_there", F.lit(True))
     named = named.join(there, F.lower("_name") == F.col("_key"), "left")
     changed = F.col("_name") != F.col("target_path")
-    status = (F.when(~changed, F.col("status")).when(F.col("_there"), "Conflict")
+    status = (F.when(~changed | (F.col("status") == "Skipped"), F.col("status")).when(F.col("_there"), "Conflict")
               .when((F.col("status") == "Conflict"), F.when(F.col("adapter_available"), "Ready").otherwise("EngineUnavailable"))
               .otherwise(F.col("status")))
     settled = named.select(*[c for c in ops.columns if c not in ("target_path", "status")],
@@ -237,12 +239,31 @@ def plan_worksheets(books: DataFrame, existing: DataFrame, out: str, target: str
     rows = rows.filter(live | F.col("sheet").isNull() | (F.col("sheet.index") == 1))
     rows = rows.withColumn("status", status)
     return rows.select(
-        "relative_path", F.when(live, F.col("sheet.name")).alias("sheet_name"), "target",
+        "relative_path", F.when(live, F.col("sheet.name")).alias("sheet_name"), F.coalesce("sheet.index", F.lit(0)).alias("sheet_index"), "target",
         F.when(live, F.coalesce("path", F.lit(""))).otherwise("").alias("target_path"), "status", message.alias("message"),
         F.when(live, F.col("sheet.visibility")).alias("visibility"),
         ((F.col("status") == "Ready") & F.coalesce(F.col("sheet.visibility") == "visible", F.lit(True))).alias("default_selected"))
 
 
+def plan_batch(files: DataFrame, worksheets: DataFrame, existing: DataFrame, root: str, out: str, overrides=(), available=None) -> DataFrame:
+    """The whole plan: one operation per file, or per sheet of a workbook that goes to CSV or TSV, each with a target of its own.
+
+    ``worksheets(relative_path, worksheets, inspection_error)`` belongs to the workbooks.
+    """
+    plain = plan_operations(files, existing, root, out, overrides, available)
+    to_sheets = F.col("format").isin("Xls", "Xlsx") & F.col("target").isin("Csv", "Tsv") & (F.col("target_path") != "")
+    shared = ["relative_path", "target", "target_path", "status", "message"]
+    single = plain.filter(~to_sheets).select(*shared, "adapter_available", F.lit(None).cast("string").alias("sheet_name"), F.lit(0).alias("sheet_index"))
+    plans = [single]
+    for target in ("Csv", "Tsv"):
+        books = files.join(plain.filter(to_sheets & (F.col("target") == target)).select("relative_path"), "relative_path", "left_semi").join(worksheets, "relative_path", "left")
+        rows = plan_worksheets(books, existing, out, target, available)
+        able = rows["status"].isin("Ready", "Conflict")
+        plans.append(rows.select(*shared, able.alias("adapter_available"), "sheet_name", "sheet_index"))
+    every = plans[0].unionByName(plans[1]).unionByName(plans[2])
+    return collision_suffix(every, existing)
+
+
 def diagnostic_lookup(results: DataFrame) -> DataFrame:
     """Message key: by message, by message as a code, by error code, by status."""
     spark = results.sparkSession

@@ -66,6 +66,26 @@ def test_sheet_names(spark):
     assert {r.relative_path: r.message for r in rows if r.relative_path != "sales.xlsx"} == {"none.xls": "worksheet_none", "bad.xls": "worksheet_inspection_failure"}
 
 
+def test_whole_plan_gives_every_operation_its_own_target(spark):
+    sheet = "array<struct<name:string,index:int,visibility:string,is_empty:boolean>>"
+    names = {"s.xlsx": ["A", "a", "A-2", "E"], "s.xls": ["A"], "t/s.xlsx": ["A", "B"], "none.xlsx": []}
+    books = spark.createDataFrame([(p, [(n, i + 1, "visible", n == "E") for i, n in enumerate(v)], None) for p, v in names.items()],
+                                  f"relative_path string, worksheets {sheet}, inspection_error string")
+    found = files(spark, *names, "s__a.txt", "d.docx", "d.pdf")
+    rows = inv.plan_batch(found, books, no_targets(spark), "/r", "/o", [("Xls", "Csv"), ("Xlsx", "Csv"), ("Xlsx", "Csv")]).collect()
+    targets = [r.target_path.lower() for r in rows if r.target_path]
+    assert len(rows) == 11 and len(set(targets)) == len(targets)
+    order = sorted((r for r in rows if r.target_path), key=lambda r: (r.relative_path.lower(), r.relative_path, r.sheet_index))
+    wanted = []
+    for r in order:
+        stem = r.relative_path.rsplit(".", 1)[0]
+        own = names.get(r.relative_path)
+        earlier = [] if own is None else [n.lower() for n in own[:r.sheet_index - 1]].count(own[r.sheet_index - 1].lower())
+        wanted.append(f"/o/{stem}.md" if own is None else f"/o/{stem}__{own[r.sheet_index - 1]}{f'-{earlier + 1}' if earlier else ''}.csv")
+    assert [r.target_path for r in order] == brute_force_names(wanted)
+    assert {r.status for r in rows if r.sheet_name == "E"} == {"Skipped"} and [r.status for r in rows if r.relative_path == "none.xlsx"] == ["Skipped"]
+
+
 def test_output_validation(spark):
     rows = [("1", "Docx", b"PK", 1, ["[Content_Types].xml", "word/document.xml"], None), ("2", "Docx", b"PK", 1, ["x"], "ooxml_structure_invalid"),
             ("3", "Pdf", b"%PDF-1.7", 1, None, None), ("4", "Pdf", b"nope", 1, None, "pdf_signature_invalid"), ("5", "Markdown", b"\xff\xfe\xff", 1, None, "output_invalid_utf8"),
