@@ -9,8 +9,6 @@ import re
 from ..functions import text as tx
 from ..operators.facts import BLOCK_TAGS, HEADING_TAGS
 from ..operators import markdown_facts as mf
-from ..operators import metrics as mt
-from ..operators import scores as sc
 from ..operators.mutations import EXPECTED
 from . import dims, views
 
@@ -443,6 +441,7 @@ FROM (SELECT *, row_number() OVER o - 1 AS ord, row_number() OVER (PARTITION BY
 WINDOW t AS (PARTITION BY doc_id, arm, tn)""")
 
 # --- comparison --------------------------------------------------------------------------------
+_content = f"kind IN ({', '.join(lit(k) for k in dims.CONTENT_KINDS)})"
 _exact = "IN ('SOURCE_EXACT', 'DERIVED_EXACT')"
 _place = "CASE WHEN kind IN ('HEADING', 'LIST_ITEM') THEN level WHEN kind = 'TABLE_CELL' THEN row_no || ',' || col_no END"
 cte("cs", "src_facts", f"""
@@ -453,7 +452,7 @@ FROM src_facts""")
 cte("co", "out_facts", f"""
 SELECT doc_id, arm, fact_id, kind, ord, {norm('text')} AS norm, {_place} AS place, CASE WHEN kind = 'LINK' THEN {uri('target')} END AS uri FROM out_facts""")
 _items_of = lambda t, key, text_ok, target_ok: f"""
-SELECT {key}, 'token' AS cls, unnest({tokens('norm')}) AS key FROM {t} WHERE {mt.CONTENT} AND {text_ok}
+SELECT {key}, 'token' AS cls, unnest({tokens('norm')}) AS key FROM {t} WHERE {_content} AND {text_ok}
 UNION ALL SELECT {key}, kind, norm FROM {t} WHERE kind IN ('HEADING', 'LIST_ITEM', 'TABLE_CELL', 'LINK') AND {text_ok} AND norm <> ''
 UNION ALL SELECT {key}, 'uri', uri FROM {t} WHERE kind = 'LINK' AND {target_ok} AND uri <> ''"""
 cte("si", "cs", f"SELECT doc_id, cls, key, count(*) AS n FROM ({_items_of('cs', 'doc_id', 'x_text', 'x_target')}) GROUP BY ALL")
@@ -465,25 +464,83 @@ cte("place_pairs", "cs fifo_o", f"""
 SELECT o.doc_id, o.arm, o.kind, s.place IS NOT DISTINCT FROM o.place AS same FROM ({_fifo_s('x_place')}) s
 JOIN fifo_o o ON s.doc_id = o.doc_id AND s.kind = o.kind AND s.norm = o.norm AND s.rn = o.rn""")
 cte("anchors", "cs fifo_o", f"""
-SELECT o.doc_id, o.arm, o.kind, s.ord AS so, o.ord AS oo FROM ({_fifo_s('x_order AND ' + mt.CONTENT)}) s
+SELECT o.doc_id, o.arm, o.kind, s.ord AS so, o.ord AS oo FROM ({_fifo_s('x_order AND ' + _content)}) s
 JOIN fifo_o o ON s.doc_id = o.doc_id AND s.kind = o.kind AND s.norm = o.norm AND s.rn = o.rn""")
 cte("inv", "anchors", """
 SELECT a.doc_id, a.arm, count(*) AS inversions FROM anchors a JOIN anchors b ON a.doc_id = b.doc_id AND a.arm = b.arm AND a.so < b.so AND a.oo > b.oo GROUP BY ALL""")
-_cnt = lambda m: ", ".join(f"count(*) FILTER ({c}) AS {n}" for n, c in m.items())
+# Counts of a pair, written out: s_ and x-prefixed names count source facts, out_ names output facts.
+_SOURCE = """
+    count(*) AS s_all, count(*) FILTER (x_fact) AS s_fact, count(*) FILTER (x_presence) AS s_presence,
+    count(*) FILTER (content) AS t_all, count(*) FILTER (content AND x_text) AS t_exact, count(*) FILTER (content AND norm <> '') AS t_said,
+    count(*) FILTER (content AND norm <> '' AND x_text) AS t_said_exact, count(*) FILTER (content AND norm <> '' AND x_order) AS o_exact,
+    count(*) FILTER (kind = 'HEADING') AS h_all, count(*) FILTER (kind = 'HEADING' AND x_text) AS h_exact, count(*) FILTER (kind = 'HEADING' AND x_place) AS h_place,
+    count(*) FILTER (kind = 'LIST_ITEM') AS l_all, count(*) FILTER (kind = 'LIST_ITEM' AND x_text) AS l_exact, count(*) FILTER (kind = 'LIST_ITEM' AND x_place) AS l_place,
+    count(*) FILTER (kind = 'TABLE_CELL') AS c_all, count(*) FILTER (kind = 'TABLE_CELL' AND x_text) AS c_exact, count(*) FILTER (kind = 'TABLE_CELL' AND x_place) AS c_place,
+    count(*) FILTER (kind = 'TABLE') AS tab_all, count(*) FILTER (kind = 'TABLE' AND x_presence) AS tab_exact,
+    count(*) FILTER (kind = 'IMAGE') AS img_all, count(*) FILTER (kind = 'IMAGE' AND x_presence) AS img_exact,
+    count(*) FILTER (kind = 'LINK') AS lnk_all, count(*) FILTER (kind = 'LINK' AND x_target) AS lnk_exact, count(*) FILTER (kind = 'LINK' AND x_target AND uri <> '') AS uri_exact,
+    count(*) FILTER (kind = 'LINK' AND norm <> '') AS anc_all, count(*) FILTER (kind = 'LINK' AND norm <> '' AND x_text) AS anc_exact"""
+_OUTPUT = """
+    count(*) AS out_all, count(*) FILTER (kind = 'TABLE') AS out_tab, count(*) FILTER (kind = 'IMAGE') AS out_img, count(*) FILTER (kind = 'LINK' AND uri <> '') AS out_uri,
+    count(*) FILTER (kind = 'HEADING') AS out_h, count(*) FILTER (kind = 'LIST_ITEM') AS out_l, count(*) FILTER (kind = 'TABLE_CELL') AS out_c"""
+_MATCHED = """
+    sum(matched) FILTER (cls = 'token') AS m_token, sum(matched) FILTER (cls = 'uri') AS m_uri, sum(matched) FILTER (cls = 'LINK') AS m_anchor,
+    sum(matched) FILTER (cls = 'HEADING') AS m_h, sum(matched) FILTER (cls = 'LIST_ITEM') AS m_l, sum(matched) FILTER (cls = 'TABLE_CELL') AS m_c"""
+_PLACED = """
+    count(*) FILTER (kind = 'HEADING') AS p_h, count(*) FILTER (kind = 'HEADING' AND same) AS e_h, count(*) FILTER (kind = 'LIST_ITEM') AS p_l,
+    count(*) FILTER (kind = 'LIST_ITEM' AND same) AS e_l, count(*) FILTER (kind = 'TABLE_CELL') AS p_c, count(*) FILTER (kind = 'TABLE_CELL' AND same) AS e_c"""
+_NAMES = re.findall(r" AS (\w+)", _SOURCE + _OUTPUT + _MATCHED + _PLACED) + ["src_tokens", "out_tokens", "anchors", "inversions"]
 cte("wide", "pairs cs co overlap place_pairs anchors inv", f"""
-SELECT p.*, {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in ["src_tokens", "out_tokens", *mt.SOURCE_COUNTS, *mt.OUTPUT_COUNTS, *mt.OVERLAPS, "m_token",
-    *[f"{x}_{y}" for x in "pe" for y in mt.PREFIXES.values()], "anchors", "inversions"])}
+SELECT p.*, {", ".join(f"coalesce({n}, 0)::BIGINT AS {n}" for n in _NAMES)}
 FROM pairs p
-LEFT JOIN (SELECT doc_id, sum(len({tokens('norm')})) FILTER ({mt.CONTENT} AND x_text) AS src_tokens, {_cnt(mt.SOURCE_COUNTS)} FROM cs GROUP BY doc_id) s ON s.doc_id = p.doc_id
-LEFT JOIN (SELECT doc_id, arm, sum(len({tokens('norm')})) FILTER ({mt.CONTENT}) AS out_tokens, {_cnt(mt.OUTPUT_COUNTS)} FROM co GROUP BY ALL) o ON o.doc_id = p.doc_id AND o.arm = p.arm
-LEFT JOIN (SELECT doc_id, arm, {", ".join(f"sum(matched) FILTER (cls = '{c}') AS {n}" for n, c in [*mt.OVERLAPS.items(), ('m_token', 'token')])} FROM overlap GROUP BY ALL) m ON m.doc_id = p.doc_id AND m.arm = p.arm
-LEFT JOIN (SELECT doc_id, arm, {", ".join(f"count(*) FILTER (kind = '{k}') AS p_{x}, count(*) FILTER (kind = '{k}' AND same) AS e_{x}" for k, x in mt.PREFIXES.items())} FROM place_pairs GROUP BY ALL) g ON g.doc_id = p.doc_id AND g.arm = p.arm
+LEFT JOIN (SELECT doc_id, sum(len({tokens('norm')})) FILTER (content AND x_text) AS src_tokens, {_SOURCE} FROM (SELECT *, {_content} AS content FROM cs) GROUP BY doc_id) s ON s.doc_id = p.doc_id
+LEFT JOIN (SELECT doc_id, arm, sum(len({tokens('norm')})) FILTER ({_content}) AS out_tokens, {_OUTPUT} FROM co GROUP BY ALL) o ON o.doc_id = p.doc_id AND o.arm = p.arm
+LEFT JOIN (SELECT doc_id, arm, {_MATCHED} FROM overlap GROUP BY ALL) m ON m.doc_id = p.doc_id AND m.arm = p.arm
+LEFT JOIN (SELECT doc_id, arm, {_PLACED} FROM place_pairs GROUP BY ALL) g ON g.doc_id = p.doc_id AND g.arm = p.arm
 LEFT JOIN (SELECT doc_id, arm, count(*) AS anchors FROM anchors GROUP BY ALL) a ON a.doc_id = p.doc_id AND a.arm = p.arm
 LEFT JOIN inv i ON i.doc_id = p.doc_id AND i.arm = p.arm""")
-_duck = lambda e: re.sub(r"\b([01])L\b", r"\1", e).replace(" DIV ", " // ")
-cte("metrics", "wide", "\nUNION ALL ".join(
-    f"SELECT doc_id, format, arm, '{n}' AS name, {_duck(s)} AS status, {_duck(v)} AS value, ({_duck(num)})::BIGINT AS numerator, ({_duck(den)})::BIGINT AS denominator, '{mt.METHOD[n]}' AS method FROM wide"
-    for n, (s, num, den, v) in mt.FORMULAS.items()))
+
+# Metrics, written out: name, method, why it is not evaluated (first reason that holds), numerator, denominator.
+_SURE = "'NOT_EVALUATED_SOURCE_CERTAINTY'"
+_METRICS = [
+    ("evaluation_coverage_exact", "source_fact_certainty_coverage", "NULL", "s_fact", "s_all"),
+    ("text_recall", "unicode_nfc_case_sensitive_token_multiset", f"CASE WHEN t_all > 0 AND t_exact = 0 THEN {_SURE} END", "m_token", "src_tokens"),
+    ("text_precision", "unicode_nfc_case_sensitive_token_multiset", f"CASE WHEN t_exact < t_all THEN {_SURE} END", "m_token", "out_tokens"),
+    ("heading_recall", "exact_normalized_text_one_to_one", f"CASE WHEN h_all > 0 AND h_exact = 0 THEN {_SURE} END", "m_h", "h_exact"),
+    ("heading_precision", "exact_normalized_text_one_to_one", f"CASE WHEN h_exact < h_all THEN {_SURE} END", "m_h", "out_h"),
+    ("heading_level_accuracy", "matched_heading_exact_level",
+     "CASE WHEN h_all = 0 THEN 'NOT_APPLICABLE' WHEN h_place = 0 THEN 'NOT_EVALUATED_SOURCE_EVIDENCE' WHEN p_h = 0 THEN 'NOT_EVALUATED_NO_MATCHED_FACTS' END", "e_h", "p_h"),
+    ("list_item_recall", "exact_normalized_text_one_to_one", f"CASE WHEN l_all > 0 AND l_exact = 0 THEN {_SURE} END", "m_l", "l_exact"),
+    ("list_item_precision", "exact_normalized_text_one_to_one", f"CASE WHEN l_exact < l_all THEN {_SURE} END", "m_l", "out_l"),
+    ("list_level_accuracy", "matched_list_item_exact_level",
+     "CASE WHEN l_all = 0 THEN 'NOT_APPLICABLE' WHEN l_place = 0 THEN 'NOT_EVALUATED_SOURCE_EVIDENCE' WHEN p_l = 0 THEN 'NOT_EVALUATED_NO_MATCHED_FACTS' END", "e_l", "p_l"),
+    ("table_count_recall", "count_only_v0_2", f"CASE WHEN tab_all > 0 AND tab_exact = 0 THEN {_SURE} END", "least(tab_exact, out_tab)", "tab_exact"),
+    ("table_count_precision", "count_only_v0_2", f"CASE WHEN tab_exact < tab_all THEN {_SURE} END", "least(tab_exact, out_tab)", "out_tab"),
+    ("table_cell_recall", "exact_normalized_text_one_to_one", f"CASE WHEN c_all > 0 AND c_exact = 0 THEN {_SURE} END", "m_c", "c_exact"),
+    ("table_cell_precision", "exact_normalized_text_one_to_one", f"CASE WHEN c_exact < c_all THEN {_SURE} END", "m_c", "out_c"),
+    ("table_cell_position_accuracy", "matched_cell_exact_row_column",
+     "CASE WHEN c_all = 0 THEN 'NOT_APPLICABLE' WHEN c_place = 0 THEN 'NOT_EVALUATED_SOURCE_EVIDENCE' WHEN p_c = 0 THEN 'NOT_EVALUATED_NO_MATCHED_FACTS' END", "e_c", "p_c"),
+    ("link_target_recall", "canonical_uri_multiset", f"CASE WHEN lnk_all > 0 AND lnk_exact = 0 THEN {_SURE} END", "m_uri", "uri_exact"),
+    ("link_target_precision", "canonical_uri_multiset", f"CASE WHEN lnk_exact < lnk_all THEN {_SURE} END", "m_uri", "out_uri"),
+    ("link_anchor_text_recall", "exact_normalized_anchor_text", f"CASE WHEN anc_all > 0 AND anc_exact = 0 THEN {_SURE} END", "m_anchor", "anc_exact"),
+    ("image_reference_count_recall", "count_only_v0_3", f"CASE WHEN img_all > 0 AND img_exact = 0 THEN {_SURE} END", "least(img_exact, out_img)", "img_exact"),
+    ("image_reference_count_precision", "count_only_v0_3", f"CASE WHEN img_exact < img_all THEN {_SURE} END", "least(img_exact, out_img)", "out_img"),
+    ("output_nonempty", "source_aware_markdown_semantic_fact_presence", f"CASE WHEN s_all = 0 THEN 'NOT_APPLICABLE' WHEN s_presence = 0 THEN {_SURE} END", "CASE WHEN out_all > 0 THEN 1 ELSE 0 END", "1"),
+    ("content_token_length_ratio", "output_content_tokens/source_content_tokens", f"CASE WHEN t_said_exact < t_said THEN {_SURE} END", "out_tokens", "src_tokens"),
+    ("order_anchor_coverage", "exact_kind_text_anchor", f"CASE WHEN t_said = 0 THEN 'NOT_APPLICABLE' WHEN o_exact = 0 THEN {_SURE} END", "anchors", "o_exact"),
+    ("pairwise_order_accuracy", "pairwise_relative_order",
+     f"CASE WHEN t_said < 2 THEN 'NOT_APPLICABLE' WHEN o_exact < 2 THEN {_SURE} WHEN anchors < 2 THEN 'NOT_EVALUATED_INSUFFICIENT_ANCHORS' END",
+     "anchors * (anchors - 1) // 2 - inversions", "anchors * (anchors - 1) // 2"),
+]
+cte("metrics", "wide", "\nUNION ALL ".join(f"""
+SELECT doc_id, format, arm, '{name}' AS name, coalesce(refused, CASE WHEN den = 0 THEN 'NOT_APPLICABLE' ELSE 'EVALUATED' END) AS status,
+  CASE WHEN refused IS NULL AND den <> 0 THEN num::DOUBLE / den END AS value, CASE WHEN refused IS NULL THEN num ELSE 0 END AS numerator,
+  CASE WHEN refused IS NULL THEN den ELSE 0 END AS denominator, '{method}' AS method
+FROM (SELECT doc_id, format, arm, {refused}::VARCHAR AS refused, ({num})::BIGINT AS num, ({den})::BIGINT AS den FROM wide)""" for name, method, refused, num, den in _METRICS)
+    + f"""
+UNION ALL SELECT doc_id, format, arm, 'duplicate_or_extra_content_count', CASE WHEN t_said_exact < t_said THEN {_SURE} ELSE 'EVALUATED' END,
+  CASE WHEN t_said_exact >= t_said THEN (out_tokens - m_token)::DOUBLE END, CASE WHEN t_said_exact >= t_said THEN out_tokens - m_token ELSE 0 END,
+  CASE WHEN t_said_exact >= t_said THEN out_tokens ELSE 0 END, 'token_multiset_excess_count' FROM wide""")
 cte("findings", "wide cs co pairs", f"""
 SELECT doc_id, format, arm, 'EMPTY_OUTPUT' AS code, 'error' AS severity, NULL AS source_fact_id FROM wide WHERE s_presence > 0 AND out_all = 0
 UNION ALL SELECT doc_id, format, arm, 'EXTRA_OR_DUPLICATED_CONTENT', 'warning', NULL FROM wide WHERE t_said_exact = t_said AND out_tokens > m_token
@@ -500,9 +557,14 @@ UNION ALL SELECT p.doc_id, format, p.arm, 'MISSING_LINK_TARGET', 'warning', s.fa
   ON o.doc_id = p.doc_id AND o.arm = p.arm AND o.uri = s.uri WHERE s.rn > coalesce(o.n, 0)""")
 
 # --- scores ------------------------------------------------------------------------------------
-cte("opportunities", "wide dim_score_families", "SELECT o.*, dimension, primary_metric FROM (" + "\nUNION ALL ".join(
-    f"SELECT doc_id, format, arm, '{f}' AS family, ({_duck(a)})::BIGINT AS source_opportunities, ({_duck(e)})::BIGINT AS evaluable_opportunities FROM wide"
-    for f, (a, e) in sc.OPPORTUNITIES.items()) + ") o JOIN dim_score_families USING (family)")
+_FAMILIES = """
+    ('text', t_all, t_exact), ('extra_content', t_all, t_exact), ('headings', h_all, h_exact), ('extra_headings', h_all, h_exact), ('heading_hierarchy', h_all, h_place),
+    ('lists', l_all, l_exact), ('extra_lists', l_all, l_exact), ('list_hierarchy', l_all, l_place), ('tables', c_all, c_exact), ('extra_tables', c_all, c_exact),
+    ('table_geometry', c_all, c_place), ('links', lnk_all, lnk_exact), ('extra_links', lnk_all, lnk_exact), ('images', img_all, img_exact), ('extra_images', img_all, img_exact),
+    ('reading_order', t_said * (t_said - 1) // 2, o_exact * (o_exact - 1) // 2)"""
+cte("opportunities", "wide dim_score_families", f"""
+SELECT w.doc_id, w.format, w.arm, o.family, o.n_source::BIGINT AS source_opportunities, o.n_evaluable::BIGINT AS evaluable_opportunities, dimension, primary_metric
+FROM wide w, LATERAL (VALUES {_FAMILIES}) AS o(family, n_source, n_evaluable) JOIN dim_score_families d ON d.family = o.family""")
 _ok = "(m.status = 'EVALUATED' AND m.value BETWEEN 0 AND 1)"
 cte("families", "opportunities metrics", f"""
 SELECT doc_id, format, arm, dimension, family, status, CASE WHEN status = 'EVALUATED' THEN value * 100 END AS score,
@@ -512,7 +574,7 @@ FROM (SELECT o.*, m.value, CASE
     WHEN source_opportunities = 0 THEN CASE WHEN dimension = 'noise' AND coalesce({_ok}, false) AND m.denominator > 0 THEN 'EVALUATED' ELSE 'NOT_APPLICABLE' END
     WHEN evaluable_opportunities = 0 THEN 'NOT_EVALUATED_SOURCE_CERTAINTY' WHEN NOT coalesce({_ok}, false) THEN 'NOT_EVALUATED' ELSE 'EVALUATED' END AS status
   FROM opportunities o LEFT JOIN metrics m ON m.doc_id = o.doc_id AND m.arm = o.arm AND m.name = o.primary_metric)""")
-_gap = sc.GAP
+_gap = "(status <> 'EVALUATED' OR (source_opportunities > 0 AND evaluable_opportunities < source_opportunities))"
 cte("dimensions", "families", f"""
 SELECT doc_id, format, arm, dimension, CASE WHEN af = 0 THEN 'NOT_APPLICABLE' WHEN ef = 0 THEN 'NOT_EVALUATED' WHEN gap THEN 'PARTIAL_EVIDENCE' ELSE 'EVALUATED' END AS status,
     score, coverage, af AS applicable_families, ef AS evaluated_families
