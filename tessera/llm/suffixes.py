@@ -14,8 +14,9 @@ bytes. Only suffixes that can matter are put in order:
    smaller places are read off.
 
 Anchors with very many occurrences are counted by partial aggregation, and those with very many
-contexts are first thinned by the half context that any match must share, then compared by window
-hashes in a shuffle, so no group is ever gathered in one task.
+contexts are split by the halves that a match must share; halves that are still too many are compared by
+halving ranges of beginnings and counting hashes of the bytes that a range shares. No group is ever
+gathered in one task.
 
 Null texts count as empty; texts shorter than LENGTH lose nothing. Rows of equal key and text are
 one copy when the first is kept. Extra columns are carried along.
@@ -32,7 +33,7 @@ LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM                # bytes before an anchor that strings around it reach
 SPAN = LENGTH - GRAM + 1            # places in a string where its anchor may be
 BLOCK = 1 << 20                     # bytes of a text worked on at once
-HOT, CONTEXTS = 2048, 1024          # occurrences, contexts of one anchor hash that a task takes
+HOT, CONTEXTS = 16384, 4096        # occurrences, contexts of one anchor hash that a task takes
 BUFFER = 1 << 18                    # bytes of contexts put in order at once
 NONE = -(1 << 63)                   # stands for a null key
 
@@ -86,22 +87,33 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(hashes)
 
 
-def _anchor_rows(batches):
+ANCHORS = "_id bigint, _sig bigint, at bigint, second bigint, last bigint, n bigint, h bigint, context bigint"
+
+
+def anchor_runs(data: bytes) -> list[np.ndarray]:
+    """Anchors of a text as columns at, second, last, n, h and context.
+
+    Anchors of one context that lie no further apart than LENGTH are one run, as in texts that
+    repeat themselves; the contexts of a run cover its bytes without a gap.
+    """
     from xxhash import xxh3_64_intdigest
+    at, h = anchors(np.frombuffer(data, np.uint8))
+    context = np.array([xxh3_64_intdigest(data[max(0, p - LEFT):p + LENGTH], min(p, LEFT)) for p in at.tolist()], np.uint64).view(np.int64)
+    order = np.lexsort((at, context, h))
+    at, h, context = at[order], h[order], context[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (np.diff(at) > LENGTH)
+    first = np.nonzero(new)[0]
+    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    return [at[first], at[np.minimum(first + 1, last)], at[last], last - first + 1, h[first], context[first]]
+
+
+def _anchor_rows(batches):
     for batch in batches:
-        rows, at, hashes, contexts = [], [], [], []
-        for i, text in enumerate(batch.column(2).to_pylist()):
-            data = text.encode()
-            a, h = anchors(np.frombuffer(data, np.uint8))
-            rows.append(np.full(len(a), i))
-            at.append(a)
-            hashes.append(h)
-            contexts += [xxh3_64_intdigest(data[max(0, p - LEFT):p + LENGTH], min(p, LEFT)) for p in a.tolist()]
-        which = pa.array(np.concatenate(rows).astype(np.int64)) if rows else pa.array([], pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(which), batch.column(1).take(which), pa.array(np.concatenate(at) if at else [], pa.int64()),
-             pa.array(np.concatenate(hashes) if hashes else [], pa.int64()), pa.array(np.array(contexts, np.uint64).view(np.int64))],
-            names=["_id", "_sig", "at", "h", "context"])
+        runs = [anchor_runs(text.encode()) for text in batch.column(2).to_pylist()]
+        which = pa.array(np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs]))
+        columns = [pa.array(np.concatenate([r[k] for r in runs]) if runs else [], pa.int64()) for k in range(6)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names=["_id", "_sig", "at", "second", "last", "n", "h", "context"])
 
 
 # Groups of one anchor hash -----------------------------------------------------------------------
@@ -126,24 +138,32 @@ def by_group(batches, keys: list[str], rows: int):
 
 
 def _compare_contexts(first_stays: bool):
-    """From anchors sorted by hash, context and place: matching anchors, and one of each context to look at."""
+    """From runs sorted by hash, context and place: matched spans, and one run of each context to look at."""
     def run(batches):
         for t in by_group(batches, ["h"], 1 << 14):
-            h, context = t.column("h").to_numpy(), t.column("context").to_numpy()
+            h, context, n = (t.column(c).to_numpy() for c in ("h", "context", "n"))
             new_h = np.concatenate(([True], h[1:] != h[:-1]))
             new_c = new_h | np.concatenate(([True], context[1:] != context[:-1]))
             run_of, group_of = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-            copies = np.bincount(run_of)[run_of]
+            copies = np.bincount(run_of, n)[run_of]
             kinds = np.bincount(group_of[new_c])[group_of]
-            matched = (copies > 1) & ~(new_c if first_stays else False)
+            begin = t.column("at").to_numpy()
+            if first_stays:                        # of the first run, the anchors after its first
+                begin = np.where(new_c, t.column("second").to_numpy(), begin)
+            matched = (copies > 1) & ~(new_c & (n == 1) if first_stays else False)
             look = new_c & (kinds > 1)
             for what, rows in ((0, np.nonzero(matched)[0]), (1, np.nonzero(look)[0])):
                 part = t.take(pa.array(rows))
-                yield from part.append_column("kinds", pa.array(kinds[rows], pa.int64())).append_column("what", pa.array(np.full(len(rows), what), pa.int32())).select(
-                    ["_id", "_sig", "at", "h", "kinds", "what"]).to_batches()
+                more = {"kinds": kinds[rows], "start": np.maximum(begin[rows] - LEFT, 0), "end": part.column("last").to_numpy() + LENGTH, "what": np.full(len(rows), what)}
+                for k, v in more.items():
+                    part = part.append_column(k, pa.array(v, pa.int64()))
+                yield from part.select(COMPARED).to_batches()
     return run
 
 
+COMPARED = ["_id", "_sig", "at", "h", "kinds", "start", "end", "what"]
+
+
 # Suffixes in contexts ----------------------------------------------------------------------------
 
 def _table(seed: int) -> tuple[np.ndarray, int, int]:
@@ -227,60 +247,75 @@ def _suffixes(first_stays: bool):
 SPANS = "_id bigint, _sig bigint, start bigint, end bigint"
 
 
-def _contexts(batches):
-    for batch in batches:
-        out = {n: [] for n in ("_id", "_sig", "h", "kinds", "at", "start", "bytes")}
-        for i, sig, text, looks in zip(*(batch.column(k).to_pylist() for k in range(4))):
-            data = text.encode()
-            for x in looks:
-                p = x["at"]
-                for n, v in zip(out, (i, sig, x["h"], x["kinds"], p, max(0, p - LEFT), data[max(0, p - LEFT):p + LENGTH])):
-                    out[n].append(v)
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((n, pa.int64()) for n in list(out)[:-1]), ("bytes", pa.binary())]))
+def _contexts(limit: int):
+    """Contexts by group ``h``; those of an anchor hash with more than ``limit`` contexts as two halves.
 
+    A string that begins up to LEFT / 2 before its anchor shares the bytes from the anchor on that
+    all such strings have; any other one has LEFT / 2 + 1 bytes before it. A half's group is the hash of
+    those bytes, so halves that share them with no other one can be left out.
+    """
+    half = LEFT // 2
 
-def _wide_windows(batches):
-    """(place, two window hashes) of all strings around an anchor, on the sides that may match."""
-    for batch in batches:
-        out = [[] for _ in range(5)]
-        for i, sig, at, start, data, right, left in zip(*(batch.column(k).to_pylist() for k in range(7))):
-            mid = at - LEFT // 2
-            places = np.arange(len(data) - LENGTH + 1)
-            places = places[((places + start >= mid) & right) | ((places + start <= mid) & left)]
-            if not len(places):
-                continue
-            raw = np.frombuffer(data, np.uint8)
-            for o, v in zip(out, (np.full(len(places), i), np.full(len(places), sig), places + start, *(window_hashes(raw, places, s).view(np.int64) for s in (0, 1)))):
-                o.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o) if o else [], pa.int64()) for o in out], names=["_id", "_sig", "start", "w0", "w1"])
+    def run(batches):
+        from xxhash import xxh3_64_intdigest
+        names = ["_id", "_sig", "h", "side", "lo", "hi", "at", "start", "bytes"]
+        signed = lambda v: v - (1 << 64) if v >> 63 else v
+        for batch in batches:
+            out = {n: [] for n in names}
+            for i, sig, text, looks in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = text.encode()
+                for x in looks:
+                    p, h = x["at"], x["h"]
+                    if x["kinds"] <= limit:
+                        rows = [(h, 0, 0, LEFT, max(0, p - LEFT), p + LENGTH)]
+                    else:
+                        rows, seed = [], h % (1 << 64)
+                        if p + LENGTH - half <= len(data):
+                            rows.append((signed(xxh3_64_intdigest(data[p:p + LENGTH - half], seed)), 1, 0, half, max(0, p - half), p + LENGTH))
+                        if p > half:
+                            rows.append((signed(xxh3_64_intdigest(data[p - half - 1:p + GRAM], seed ^ 1)), 2, half + 1, LEFT, max(0, p - LEFT), p + LENGTH - half - 1))
+                    for group, side, lo, hi, start, end in rows:
+                        for n, v in zip(names, (i, sig, group, side, lo, hi, p, start, data[start:end])):
+                            out[n].append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((n, pa.int64()) for n in names[:-1]), ("bytes", pa.binary())]))
+    return run
 
 
 def _wide_spans(contexts: DataFrame, first_stays: bool) -> DataFrame:
-    """Spans for anchor hashes with more contexts than one task should take.
+    """Spans for groups with more contexts than one task should take.
 
-    A string that begins up to LEFT / 2 before the anchor shares the bytes from the anchor on that
-    all such strings have; any other one shares LEFT / 2 bytes before it. Only contexts that share
-    such a half with another one go on; their windows are counted by hash.
+    A string may begin ``lo`` to ``hi`` bytes before the anchor. For such a range, all strings share
+    their common bytes, and the bytes they cover together are a match as a whole if another
+    context has them. Ranges are halved from level to level; a context leaves when it shares its
+    common bytes with no other one. Of contexts with one cover only the first goes on, as it stands
+    for all of them. Rows only meet in counts by hash.
     """
-    half = LEFT // 2
-    before = F.col("at") - F.col("start")                          # bytes of context before the anchor
-    rows = contexts.select(
-        "_id", "_sig", "at", "start", "bytes", "h",
-        F.when(F.length("bytes") - before >= LENGTH - half, F.xxhash64("h", F.lit(0), F.expr(f"substring(bytes, cast(at - start as int) + 1, {LENGTH - half})"))).alias("right"),
-        F.when(before >= half, F.xxhash64("h", F.lit(1), F.expr(f"substring(bytes, cast(at - start as int) + 1 - {half}, {half + GRAM})"))).alias("left"))
-    sides = rows.select(F.explode(F.array("right", "left")).alias("side")).filter("side is not null")
-    shared = keep(sides.groupBy("side").count().filter("count > 1").select("side"))
-    for side in ("right", "left"):
-        mark = shared.select(F.col("side").alias(side), F.lit(True).alias(f"_{side}"))
-        rows = rows.join(mark, side, "left")
-    rows = rows.select("_id", "_sig", "at", "start", "bytes", F.coalesce("_right", F.lit(False)).alias("r"), F.coalesce("_left", F.lit(False)).alias("l"))
-    windows = keep(rows.filter("r or l").mapInArrow(_wide_windows, "_id bigint, _sig bigint, start bigint, w0 bigint, w1 bigint").distinct())
-    place = F.struct("_id", "_sig", "start")
-    classes = keep(windows.groupBy("w0", "w1").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"))
-    hits = windows.join(classes, ["w0", "w1"])
-    if first_stays:
-        hits = hits.filter(place != F.col("first"))
-    return hits.select("_id", "_sig", "start", (F.col("start") + LENGTH).alias("end"))
+    def part(before, after):                                       # bytes around the anchor
+        return F.substring("bytes", (F.col("before") - before + 1).cast("int"), (before + after).cast("int"))
+
+    def named(prefix: str, data):
+        return {f"{prefix}0": F.xxhash64("h", "lo", "hi", data), f"{prefix}1": F.xxhash64(data, "hi", "lo", "h")}
+
+    lo, hi, place = F.col("lo"), F.col("hi"), F.struct("_id", "_sig", "at")
+    rows = contexts.select("_id", "_sig", "at", "h", "bytes", (F.col("at") - F.col("start")).alias("before"), "lo", "hi")
+    rows = rows.withColumn("after", F.length("bytes") - F.col("before"))
+    found = contexts.sparkSession.createDataFrame([], SPANS)
+    while not rows.isEmpty():
+        fits = (lo <= F.col("before")) & (LENGTH - hi <= F.col("after"))
+        whole = (hi <= F.col("before")) & (LENGTH - lo <= F.col("after"))
+        level = rows.filter(fits).withColumns(named("s", part(lo, LENGTH - hi)))
+        level = keep(level.withColumns({k: F.when(whole, v) for k, v in named("c", part(hi, LENGTH - lo)).items()}))
+        shared = keep(level.groupBy("s0", "s1").agg(F.count("*").alias("n")).filter("n > 1").select("s0", "s1"))
+        covers = keep(level.filter("c0 is not null").groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(place).alias("c_first")).filter("n > 1").drop("n"))
+        level = level.join(shared, ["s0", "s1"]).join(covers, ["c0", "c1"], "left")
+        later = F.coalesce(place != F.col("c_first"), F.lit(False))
+        matched = later if first_stays else F.col("c_first").isNotNull()
+        level = keep(level.withColumns({"matched": matched, "later": later}).drop("s0", "s1", "c0", "c1", "c_first"))
+        found = found.unionByName(level.filter("matched").select("_id", "_sig", (F.col("at") - hi).alias("start"), (F.col("at") + LENGTH - lo).alias("end")))
+        middle = F.floor((lo + hi) / 2)
+        halves = F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi")))
+        rows = level.filter(~F.col("later") & (lo < hi)).select("*", F.explode(halves).alias("_range")).withColumns({"lo": F.col("_range.lo"), "hi": F.col("_range.hi")}).drop("_range", "matched", "later")
+    return found
 
 
 # The operator ------------------------------------------------------------------------------------
@@ -293,34 +328,37 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def repeated_spans(named: DataFrame, first_stays: bool = False) -> DataFrame:
     """(_id, _sig, start, end): byte spans, possibly overlapping, that repeat; ``named`` comes from ``keyed``."""
     texts = named.select("_id", "_sig", "_text")
-    found = keep(texts.mapInArrow(_anchor_rows, "_id bigint, _sig bigint, at bigint, h bigint, context bigint"))
+    found = keep(texts.mapInArrow(_anchor_rows, ANCHORS))
     hot = keep(found.groupBy("h").count().filter(F.col("count") > HOT).select("h"))
 
-    cold = found.join(hot, "h", "left_anti").select("_id", "_sig", "at", "h", "context")
     order = ["h", "context", "_id", "_sig", "at"]
-    cold = keep(cold.repartition("h").sortWithinPartitions(*order)
-                .mapInArrow(_compare_contexts(first_stays), "_id bigint, _sig bigint, at bigint, h bigint, kinds bigint, what int"))
+    cold = found.join(hot, "h", "left_anti").select("_id", "_sig", "at", "second", "last", "n", "h", "context")
+    cold = keep(cold.repartition("h").sortWithinPartitions(*order).mapInArrow(_compare_contexts(first_stays), ", ".join(f"{c} bigint" for c in COMPARED)))
 
     often = found.join(hot, "h", "left_semi")
     place = F.struct("_id", "_sig", "at")
-    groups = keep(often.groupBy("h", "context").agg(F.count("*").alias("copies"), F.min(place).alias("first")))
+    groups = keep(often.groupBy("h", "context").agg(F.sum("n").alias("copies"), F.min(place).alias("first")))
     kinds = keep(groups.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     matched = often.join(groups.filter("copies > 1").select("h", "context", "first"), ["h", "context"])
-    if first_stays:
-        matched = matched.filter(place != F.col("first"))
-    whole = cold.filter("what = 0").select("_id", "_sig", "at").unionByName(matched.select("_id", "_sig", "at"))
-    direct = whole.select("_id", "_sig", F.greatest(F.lit(0), F.col("at") - LEFT).alias("start"), (F.col("at") + LENGTH).alias("end"))
+    begin = F.col("at")
+    if first_stays:                                # of the first run, the anchors after its first
+        first = place == F.col("first")
+        matched, begin = matched.filter(~first | (F.col("n") > 1)), F.when(first, F.col("second")).otherwise(begin)
+    often = matched.select("_id", "_sig", F.greatest(F.lit(0), begin - LEFT).alias("start"), (F.col("last") + LENGTH).alias("end"))
+    direct = cold.filter("what = 0").select("_id", "_sig", "start", "end").unionByName(often)
 
     look = cold.filter("what = 1").select("_id", "_sig", "at", "h", "kinds")
     look = look.unionByName(groups.join(kinds, "h").select("first._id", "first._sig", "first.at", "h", "kinds"))
     per_text = look.groupBy("_id", "_sig").agg(F.collect_list(F.struct("at", "h", "kinds")).alias("looks"))      # bounded by the text
     one_each = texts.join(per_text, ["_id", "_sig"]).select("_id", "_sig", "_text", "looks")
-    columns = "_id bigint, _sig bigint, h bigint, kinds bigint, at bigint, start bigint, bytes binary"
-    contexts = one_each.mapInArrow(_contexts, columns)
-    wide = keep(contexts.filter(F.col("kinds") > CONTEXTS))
-    narrow = contexts.filter(F.col("kinds") <= CONTEXTS).select("h", "_id", "_sig", "start", "bytes")
-    near = narrow.repartition("h").sortWithinPartitions("h", "_id", "_sig", "start").mapInArrow(_suffixes(first_stays), SPANS)
-    return direct.unionByName(keep(near)).unionByName(_wide_spans(wide, first_stays))
+    contexts = keep(one_each.mapInArrow(_contexts(CONTEXTS), "_id bigint, _sig bigint, h bigint, side bigint, lo bigint, hi bigint, at bigint, start bigint, bytes binary"))
+    halves = contexts.filter("side > 0")
+    sizes = keep(halves.groupBy("h").count().filter("count > 1"))
+    halves = halves.join(sizes, "h")
+    columns = ["h", "_id", "_sig", "start", "bytes"]
+    narrow = contexts.filter("side = 0").select(columns).unionByName(halves.filter(F.col("count") <= CONTEXTS).select(columns))
+    near = keep(narrow.repartition("h").sortWithinPartitions("h", "_id", "_sig", "start").mapInArrow(_suffixes(first_stays), SPANS))
+    return direct.unionByName(near).unionByName(_wide_spans(keep(halves.filter(F.col("count") > CONTEXTS)), first_stays))
 
 
 def cut(named: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
