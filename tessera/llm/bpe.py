@@ -10,9 +10,9 @@ Null and empty texts have no ids; repeated rows are encoded one by one; other co
 import hashlib
 import heapq
 import os
-import tempfile
 from functools import lru_cache
 from itertools import chain
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vocab
-from .common import whole_text
+from .common import keep, whole_text
 
 WORDS = 1 << 16          # words in the automaton: bounds the driver's work and the shipped file
 WORD_BYTES = 32          # longer words are merged
+LONG = 256               # bytes of a word beyond which it is merged alone
 COUNTS = 1 << 17         # distinct words a task holds before it passes its partial counts on
 CACHE = 1 << 18          # words a worker remembers before it starts anew
 
@@ -34,21 +35,67 @@ CACHE = 1 << 18          # words a worker remembers before it starts anew
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: join the adjacent pair of lowest rank, leftmost first, until none is left."""
+    if word in ranks:
+        return [ranks[word]]
     if len(word) > 64:
         return _merge_long(word, ranks)
+    never, get = len(ranks) + 1, ranks.get
     parts = [word[i:i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        best, at = None, -1
-        for i in range(len(parts) - 1):
-            r = ranks.get(parts[i] + parts[i + 1])
-            if r is not None and (best is None or r < best):
-                best, at = r, i
-        if best is None:
+    pairs = [get(word[i:i + 2], never) for i in range(len(word) - 1)]
+    while pairs:
+        best = min(pairs)
+        if best == never:
             break
+        at = pairs.index(best)
         parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        del pairs[at]
+        if at:
+            pairs[at - 1] = get(parts[at - 1] + parts[at], never)
+        if at < len(pairs):
+            pairs[at] = get(parts[at] + parts[at + 1], never)
     return [ranks[p] for p in parts]
 
 
+def merge_many(words: list[bytes], path: str) -> list[bytes]:
+    """Packed ids of many words, merged side by side: in each round every word joins all places of its
+    pair of lowest rank. Pairs that a join makes rank behind it, so the rounds equal single steps."""
+    of_byte, keys, ids = vocab.merge_table(path)
+    none = np.int64(1 << 40)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    symbol = of_byte[np.frombuffer(b"".join(words), np.uint8)]
+    word = np.repeat(np.arange(len(words)), sizes)
+    rank = np.full(len(symbol), none)              # of the pair that begins at a place
+    stale = np.arange(len(symbol))
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(symbol):
+        right = np.minimum(stale + 1, len(symbol) - 1)
+        key = symbol[stale] << 20 | symbol[right]
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        rank[stale] = np.where((keys[at] == key) & (word[stale] == word[right]) & (right > stale), ids[at], none)
+        starts = np.concatenate(([0], np.nonzero(word[1:] != word[:-1])[0] + 1))
+        best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(word))))
+        over = best == none
+        join = (rank == best) & ~over
+        after = np.concatenate(([False], join[:-1]))
+        if (join & after).any():                   # a pair of equal halves may overlap itself: every other place
+            index = np.arange(len(join))
+            join &= (index - np.maximum.accumulate(np.where(join & ~after, index, 0))) % 2 == 0
+            after = np.concatenate(([False], join[:-1]))
+        symbol = np.where(join, rank, symbol)
+        done.append((word[over], symbol[over]))
+        live = ~after & ~over
+        symbol, word, rank = symbol[live], word[live], rank[live]
+        new = np.nonzero(join[live])[0]            # the pairs on both sides of a join have changed
+        stale = np.concatenate((new, np.maximum(new - 1, 0)))
+    if not done:
+        return [b""] * len(words)
+    owner, symbol = (np.concatenate(x) for x in zip(*done))
+    order = np.argsort(owner, kind="stable")
+    data = symbol[order].astype("<i4").tobytes()
+    ends = np.cumsum(np.bincount(owner, minlength=len(words))) * 4
+    return [data[a:b] for a, b in zip([0, *ends.tolist()], ends.tolist())]
+
+
 def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same for long words, with a heap of pairs over linked parts."""
     n = len(word)
@@ -128,7 +175,7 @@ class Automaton:
     """The compiled file, mapped into memory; looks up many words at once."""
 
     def __init__(self, path: str):
-        data = np.memmap(path, np.int64, "r")
+        data = np.asarray(np.memmap(path, np.int64, "r"))        # a plain view: slices of it cost less
         self.root, sizes, at = int(data[0]), data[1:7], 7
         parts = []
         for n in map(int, sizes):
@@ -161,6 +208,15 @@ class Automaton:
     def ids_at(self, index: int) -> list[int]:
         return self.ids[self.bounds[index]:self.bounds[index + 1]].tolist()
 
+    def packed(self, index: np.ndarray) -> list[bytes]:
+        """Packed ids at many indices."""
+        begin = self.bounds[index]
+        size = self.bounds[index + 1] - begin
+        ends = np.cumsum(size)
+        data = self.ids[np.repeat(begin - (ends - size), size) + np.arange(size.sum())].astype("<i4").tobytes()
+        cuts = [0, *(4 * ends).tolist()]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 @lru_cache(maxsize=2)
 def automaton(name: str) -> Automaton:
@@ -202,31 +258,37 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def lexicon(docs: DataFrame, text: str = "text", path: str = None, words: int = WORDS) -> str:
-    """Compile the ``words`` most frequent words and ship the file; returns its name on executors."""
+    """Compile at most ``words`` of the most frequent words and ship the file; returns its name on executors."""
     sc = docs.sparkSession.sparkContext
     path = path or vocab.default_path()
     _, ranks, _ = vocab.load(path)
     fit = (F.octet_length("word").between(1, WORD_BYTES)) & ~F.contains(F.col("word"), F.lit(b"\0")) & (F.col("word") != F.lit(vocab.SPECIAL.encode()))
-    top = word_counts(docs, text).filter(fit).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
+    counts = keep(word_counts(docs, text).filter(fit))
+    # Words by size of their count, a few hundred rows; the lexicon ends where the next size would exceed it.
+    size = F.floor(F.log2("n") * 16)
+    room, least = words, None
+    for r in counts.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["size"]
+    top = counts.filter(size >= least).select("word").collect() if least is not None else []
     data = compile_words([(w := bytes(r.word), merge(w, ranks)) for r in top])
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:20]}.bin"
-    with tempfile.TemporaryDirectory() as folder:        # only the source of Spark's own file copy
-        file = os.path.join(folder, name)
-        with open(file, "wb") as f:
+    file = os.path.join(SparkFiles.getRootDirectory(), name)       # Spark's own folder; its file server ships the copy
+    if not os.path.exists(file):
+        with open(f"{file}.part", "wb") as f:
             f.write(data)
-        local = os.path.join(SparkFiles.getRootDirectory(), name)
-        if not os.path.exists(local):
-            os.replace(file, local)
-        sc.addFile(local)
+        os.replace(f"{file}.part", file)
+    sc.addFile(file)
     return name
 
 
 class Words(dict):
-    """Ids by word: bounded memory of the automaton's and the merged answers."""
+    """Ids of a word as packed integers: bounded memory of the automaton's and the merged answers."""
 
     def __init__(self, name: str, path: str):
         super().__init__()
-        self.fsa = automaton(name)
+        self.fsa, self.path = automaton(name), path
         _, self.ranks, self.special = vocab.load(path)
 
     def learn(self, words) -> None:
@@ -234,11 +296,17 @@ class Words(dict):
             self.clear()
         new = [w for w in words if w not in self]
         raw = [w.encode() for w in new]
-        for w, b, at in zip(new, raw, self.fsa.find(raw).tolist()):
-            if w == vocab.SPECIAL:
-                self[w] = [self.special]
-            else:
-                self[w] = self.fsa.ids_at(at) if at >= 0 else merge(b, self.ranks)
+        at = self.fsa.find(raw)
+        known, rest = np.nonzero(at >= 0)[0], np.nonzero(at < 0)[0].tolist()
+        self.update(zip((new[k] for k in known.tolist()), self.fsa.packed(at[known])))
+        short = [k for k in rest if len(raw[k]) <= LONG]
+        self.update(zip((new[k] for k in short), merge_many([raw[k] for k in short], self.path)))
+        for k in rest:
+            if len(raw[k]) > LONG:
+                ids = merge(raw[k], self.ranks)
+                self[new[k]] = pack(f"<{len(ids)}i", *ids)
+        if vocab.SPECIAL in self:
+            self[vocab.SPECIAL] = pack("<i", self.special)
 
 
 def encode(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text", path: str = None) -> DataFrame:
@@ -252,9 +320,9 @@ def encode(docs: DataFrame, name: str, key: str = "doc_id", text: str = "text",
             words = words if words is not None else Words(name, path)
             pieces = [_pieces(t) for t in batch.column(1).to_pylist()]
             words.learn(set(chain.from_iterable(pieces)))
-            ids = [np.fromiter(chain.from_iterable(map(words.__getitem__, p)), np.int32) for p in pieces]
-            bounds = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-            flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+            ids = [b"".join(map(words.__getitem__, p)) for p in pieces]
+            bounds = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+            flat = np.frombuffer(b"".join(ids), np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))], names=[key, "ids"])
 
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))]))
@@ -266,7 +334,23 @@ def decode(encoded: DataFrame, ids: str = "ids", to: str = "text", path: str = N
 
     @F.arrow_udf(T.StringType())
     def texts(lists: pa.Array) -> pa.Array:
-        table, _, _ = vocab.load(path)
-        return pa.array([b"".join([table[i] for i in (x or ())]).decode("utf-8", "replace") for x in lists.to_pylist()], pa.string())
+        blob, begin, size = byte_table(path)
+        lists = lists.fill_null([]) if lists.null_count else lists
+        bounds, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        out = []
+        for a, b in zip(bounds, bounds[1:]):
+            own = flat[a:b]
+            n = size[own]
+            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out.append(blob[at].tobytes().decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
 
     return encoded.withColumn(to, texts(F.col(ids)))
+
+
+@lru_cache(maxsize=2)
+def byte_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens' bytes in a row, with the start and length of each id."""
+    table, _, _ = vocab.load(path)
+    size = np.fromiter(map(len, table), np.int64, len(table))
+    return np.frombuffer(b"".join(table), np.uint8), np.cumsum(size) - size, size

@@ -41,6 +41,26 @@ def load(path: str) -> tuple[list[bytes], dict[bytes, int], int]:
     return table, {t: i for i, t in enumerate(table) if i != special}, special
 
 
+@lru_cache(maxsize=2)
+def merge_table(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Id of each byte; sorted keys left << 20 | right of the merges, and the ids they give.
+
+    A merged token's id grows with its place in the list of merges, so ids serve as ranks.
+    """
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    letters, vocab = byte_letters(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    of_byte = np.zeros(256, np.int64)
+    for c, b in letters.items():
+        of_byte[b] = vocab[c]
+    keys = np.array([vocab[a] << 20 | vocab[b] for a, b in pairs], np.int64)
+    ids = np.array([vocab[a + b] for a, b in pairs], np.int64)
+    assert (np.diff(ids) > 0).all()
+    order = np.argsort(keys)
+    return of_byte, keys[order], ids[order]
+
+
 @lru_cache(maxsize=1)
 def splitter():
     import regex

@@ -65,6 +65,17 @@ def test_long_words_merge_like_short_ones():
         assert bpe.merge(w, ranks) == bpe._merge_long(w, ranks)
 
 
+def test_words_merge_side_by_side_like_alone(library):
+    path = vocab.default_path()
+    _, ranks, _ = vocab.load(path)
+    rng = random.Random(5)
+    words = [bytes(rng.choice(b"aaabeth \xc3\xa9\xff\x00") for _ in range(rng.randint(1, 40))) for _ in range(3000)] + [b"a" * n for n in range(1, 60)]
+    assert [list(np.frombuffer(x, "<i4")) for x in bpe.merge_many(words, path)] == [bpe.merge(w, ranks) for w in words]
+    assert bpe.merge_many([], path) == []
+    tokens = [t for t in vocab.load(path)[0][:-1]]
+    assert [list(np.frombuffer(x, "<i4")) for x in bpe.merge_many(tokens, path)] == [[i] for i in range(len(tokens))]
+
+
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert bpe.encode(none, bpe.lexicon(none)).count() == 0
