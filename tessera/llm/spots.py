@@ -23,15 +23,22 @@ from .common import keep, whole_text
 
 ANCHORS, SHARE, CHAIN = 64, 0.05, 2      # anchors kept, share of documents that hold one, content words in a chain
 WIDTH = 512                              # keys in a bucket of neighbours
-COUNTS = 1 << 17                         # distinct words a task holds before it passes its counts on
+COUNTS = 1 << 19                         # distinct words a task holds before it passes its counts on
+
+
+def _word_hash(word: str) -> int:
+    from xxhash import xxh64_intdigest
+    h = xxh64_intdigest(word)
+    return h - (1 << 64) if h >> 63 else h
 
 
 def _document_counts(batches):
+    """(h, n): documents that hold a word, by its hash, which is shorter than the word in a shuffle."""
     from collections import Counter
     seen: Counter = Counter()
 
     def out():
-        rows = pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, schema=pa.schema([("word", pa.string()), ("n", pa.int64())]))
+        rows = pa.RecordBatch.from_arrays([pa.array([_word_hash(w) for w in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["h", "n"])
         seen.clear()
         return rows
 
@@ -43,12 +50,28 @@ def _document_counts(batches):
     yield out()
 
 
+def _words_of(hashes: frozenset):
+    """The words behind hashes; a task stops looking when it has met them all."""
+    def run(batches):
+        left, found = set(hashes), []
+        for batch in batches:
+            for text in batch.column(0).to_pylist() if left else ():
+                for w in set(text.lower().split()):
+                    h = _word_hash(w)
+                    if h in left:
+                        left.discard(h)
+                        found.append(w)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["word"])
+    return run
+
+
 def common_words(docs: DataFrame, text: str = "text", words: int = ANCHORS, share: float = SHARE) -> frozenset:
     """Words of at least ``share`` of the documents that have text, the most common ``words`` of them."""
     texts = docs.select(whole_text(text).alias("t")).filter("t <> ''")
     least = share * texts.count()
-    counts = texts.mapInArrow(_document_counts, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return frozenset(r.word for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(words).collect())
+    counts = texts.mapInArrow(_document_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    top = frozenset(r.h for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(words).collect())
+    return frozenset(r.word for r in texts.mapInArrow(_words_of(top), "word string").distinct().collect()) if top else top
 
 
 def signatures(text: str, anchors: frozenset, chain: int = CHAIN) -> np.ndarray:
