@@ -155,7 +155,7 @@ END = iter(())
 # Alignment ---------------------------------------------------------------------------------------
 
 class Slot:
-    """All siblings of one kind: their nodes, own text and slots of their children."""
+    """All siblings of one kind: their nodes, own text and slots of their children; noise and all in it stays out."""
 
     __slots__ = ("kind", "nodes", "slots")
 
@@ -164,7 +164,7 @@ class Slot:
         groups: dict[str, list[Node]] = {}
         for node in nodes:
             for item in node.items:
-                if not isinstance(item, str) and item.tag in BLOCK and not (item.noise and item.tag in NOISE):
+                if not isinstance(item, str) and item.tag in BLOCK and not item.noise:
                     groups.setdefault(item.kind, []).append(item)
         self.slots = [Slot(k, v) for k, v in groups.items()]
 
@@ -295,8 +295,6 @@ def wrappers(pages: DataFrame) -> DataFrame:
             out = {"host": [], "path": [], "text": [], "chars": []}
             for host, html, pivot in zip(*(b.column(k).to_pylist() for k in range(3))):
                 for path, slot in tree_match(Slot("html", [parse(html)]), _pivot(pivot))[1]:
-                    if any(n.noise for n in slot.nodes):
-                        continue
                     text, free = own_text(slot)
                     for k, v in zip(out, (host, path, text, free)):
                         out[k].append(v)

@@ -23,6 +23,18 @@ def test_wrapper_finds_the_varying_slot(spark):
     assert wrapper.main_text(df.limit(0)).count() == 0
 
 
+def test_comments_longer_than_the_article(spark):
+    page = "<html><body><article><h1>Title {i}</h1><p>{a}</p></article><div class=comments>{c}</div><div><p>{b}</p></div><div id=related><p>{c}</p></div></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(i=i, a=f"story {i} " * 5, b=f"note {i}", c=f"<p>reader {i} says</p>" * 40)) for i in range(12)]
+    # No article element, and comments of the same kind as the story.
+    other = "<html><body><div><p>{a}</p></div><div id=comments><p>{c}</p></div></body></html>"
+    rows += [(100 + i, f"http://o.example/{i}", other.format(a=f"story {i} " * 5, c=f"reader {i} " * 90)) for i in range(12)]
+    got = {r.page_id: r.text for r in wrapper.main_text(tune(spark).createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(12):
+        story = " ".join([f"story {i}"] * 5)
+        assert got[i] == f"Title {i}\n{story}" and got[100 + i] == story
+
+
 def test_blocks_and_odd_markup():
     text = lambda page: "\n".join(wrapper.blocks([wrapper.parse(page)]))
     assert text("<p>a<b>b</b> c<br>d<p>e&nbsp;f &copy &#65;") == "ab c d\ne f © A"
