@@ -2,8 +2,9 @@
 
 Each page is parsed into a tree; siblings of one kind form one iterated slot. Every page of a host
 is aligned with the host's pivot page by simple tree matching, and matched nodes are counted over
-all pages: how often, how many characters outside links, and how many pages share the same text. A
-node whose text hardly ever changes is template. The main slot is the deepest node that holds most
+all pages: how often, how many characters outside links, and how many pages share the same text.
+Copies and near copies count once: of pages whose longest varying text is the same, one is counted. A
+text that a node hardly ever changes is template, on the pages that have that text there. The main slot is the deepest node that holds most
 of the varying text outside noise elements; an ``article`` or ``main`` element is preferred. A
 page's text is what stands in the nodes matched with the main slot, without template nodes and
 noise; where nothing matches, the page's own largest candidate is used.
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from .common import keep
 
-TEMPLATE, PAGES = 0.9, 10            # share of a host's pages with one text, and pages needed, to call a node template
+TEMPLATE, PAGES = 0.9, 10            # share of a host's distinct pages with one text, and pages needed, to call that text template
 MAIN = 0.5                           # share of the varying text that the main slot holds
 
 # HTML element groups.
@@ -224,9 +225,15 @@ def own_text(slot: Slot) -> tuple[str, int]:
     return " ".join("".join(whole).split()), free
 
 
+def text_hash(text: str) -> int:
+    from xxhash import xxh64_intdigest
+    h = xxh64_intdigest(text)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def induce(stats: list[dict]) -> dict:
-    """Main slot and template paths of a host, from counts of its aligned nodes."""
-    constant = {s["path"] for s in stats if s["pages"] >= PAGES and s["top"] >= TEMPLATE * s["pages"]}
+    """Main slot and template paths of a host with the hashes of their texts, from counts of its aligned nodes."""
+    constant = {s["path"]: s["t"] for s in stats if s["pages"] >= PAGES and s["top"] >= TEMPLATE * s["pages"]}
     mass: dict[str, int] = {}
     for s in stats:
         if s["path"] not in constant:
@@ -238,7 +245,13 @@ def induce(stats: list[dict]) -> dict:
     named = [p for p in good if p.rsplit("/", 1)[1].split(".")[0] in ("article", "main")]
     deep = [p for p in good if p.rsplit("/", 1)[1].split(".")[0] in ("body", "div", "section", "td", "html")]
     main = max(named or deep, key=lambda p: p.count("/"), default="")
-    return {"main": main, "template": sorted(p for p in constant if p.startswith(main + "/"))}
+    return {"main": main, "template": sorted((p, t) for p, t in constant.items() if p.startswith(main + "/"))}
+
+
+def is_template(slot: Slot, paths: dict[int, str], template: dict[str, int]) -> bool:
+    """Whether all text of a slot and of those below it is the host's constant text there."""
+    text = own_text(slot)[0]
+    return (not text or template.get(paths.get(id(slot))) == text_hash(text)) and all(is_template(s, paths, template) for s in slot.slots)
 
 
 def own_candidate(root: Node) -> list[Node]:
@@ -258,10 +271,12 @@ def extract(page: str, pivot: list | None, wrapper: dict | None) -> str:
     root = parse(page)
     chosen, template = [], set()
     if pivot and wrapper and wrapper["main"]:
-        for path, slot in tree_match(Slot("html", [root]), pivot)[1]:
+        pairs = tree_match(Slot("html", [root]), pivot)[1]
+        paths = {id(slot): path for path, slot in pairs}
+        for path, slot in pairs:
             if path == wrapper["main"]:
                 chosen = slot.nodes
-            elif path in wrapper["template"]:
+            elif path in wrapper["template"] and is_template(slot, paths, wrapper["template"]):
                 template.update(id(n) for n in slot.nodes)
     return "\n".join(blocks(chosen or own_candidate(root), lambda n: n.noise or id(n) in template))
 
@@ -279,7 +294,7 @@ def host_of(url: str):
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pivot, main, template) from rows of page_id, host and html; counts cover all pages."""
+    """(host, pivot, main, template) from rows of page_id, host and html; counts cover all distinct pages."""
     import json
 
     @F.arrow_udf(T.StringType())
@@ -292,22 +307,31 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
     def aligned(batches):
         for b in batches:
-            out = {"host": [], "path": [], "text": [], "chars": []}
-            for host, html, pivot in zip(*(b.column(k).to_pylist() for k in range(3))):
+            out = {"host": [], "page": [], "path": [], "t": [], "size": [], "chars": []}
+            for host, page, html, pivot in zip(*(b.column(k).to_pylist() for k in range(4))):
                 for path, slot in tree_match(Slot("html", [parse(html)]), _pivot(pivot))[1]:
                     text, free = own_text(slot)
-                    for k, v in zip(out, (host, path, text, free)):
+                    for k, v in zip(out, (host, page, path, text_hash(text), len(text), free)):
                         out[k].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("host", pa.string()), ("path", pa.string()), ("text", pa.string()), ("chars", pa.int64())]))
-
-    nodes = pages.join(pivots, "host").select("host", "html", "pivot").mapInArrow(aligned, "host string, path string, text string, chars bigint")
-    by_text = nodes.groupBy("host", "path", F.xxhash64("text").alias("t"), (F.length("text") > 0).alias("some")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    by_node = by_text.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.max(F.when(F.col("some"), F.col("n")).otherwise(0)).alias("top"), F.sum("chars").alias("chars"))
-    per_host = by_node.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "top", "chars")).alias("stats"))     # as many rows as the pivot has nodes
-
-    @F.arrow_udf("struct<main:string,template:array<string>>")
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([(k, pa.string() if k in ("host", "path") else pa.int64()) for k in out]))
+
+    rows = pages.join(pivots, "host").select("host", F.xxhash64("html").alias("page"), "html", "pivot")
+    found = rows.mapInArrow(aligned, "host string, page bigint, path string, t bigint, size bigint, chars bigint")
+    nodes = keep(found.groupBy("host", "page", "path").agg(*(F.min(c).alias(c) for c in ("t", "size", "chars"))))      # equal pages once
+    varying = keep(nodes.groupBy("host", "path").agg((F.min("t") != F.max("t")).alias("varies")).filter("varies"))
+    longest = F.max(F.when(F.col("varies"), F.struct("size", "path", "t"))).alias("content")
+    contents = nodes.join(varying, ["host", "path"], "left").groupBy("host", "page").agg(longest)
+    one_each = keep(contents.groupBy("host", "content").agg(F.min("page").alias("page")).select("host", "page"))
+    by_text = nodes.join(one_each, ["host", "page"]).groupBy("host", "path", "t", (F.col("size") > 0).alias("some")).agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    top = F.max(F.when(F.col("some"), F.struct("n", "t")))
+    by_node = by_text.groupBy("host", "path").agg(F.sum("n").alias("pages"), F.coalesce(top["n"], F.lit(0)).alias("top"), top["t"].alias("t"), F.sum("chars").alias("chars"))
+    per_host = by_node.groupBy("host").agg(F.collect_list(F.struct("path", "pages", "top", "t", "chars")).alias("stats"))     # as many rows as the pivot has nodes
+
+    @F.arrow_udf("struct<main:string,template:array<struct<path:string,t:bigint>>>")
     def induced(stats: pa.Array) -> pa.Array:
-        return pa.array([induce(s) for s in stats.to_pylist()], pa.struct([("main", pa.string()), ("template", pa.list_(pa.string()))]))
+        found = [induce(s) for s in stats.to_pylist()]
+        rows = [{"main": w["main"], "template": [{"path": p, "t": t} for p, t in w["template"]]} for w in found]
+        return pa.array(rows, pa.struct([("main", pa.string()), ("template", pa.list_(pa.struct([("path", pa.string()), ("t", pa.int64())])))]))
 
     return per_host.select("host", induced("stats").alias("w")).join(pivots, "host").select("host", "pivot", "w.main", "w.template")
 
@@ -320,6 +344,6 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     @F.arrow_udf(T.StringType())
     def texts(html: pa.Array, pivot: pa.Array, main: pa.Array, template: pa.Array) -> pa.Array:
         columns = (x.to_pylist() for x in (html, pivot, main, template))
-        return pa.array([extract(h, _pivot(p) if p else None, {"main": m or "", "template": frozenset(t or ())}) for h, p, m, t in zip(*columns)], pa.string())
+        return pa.array([extract(h, _pivot(p) if p else None, {"main": m or "", "template": {x["path"]: x["t"] for x in t or ()}}) for h, p, m, t in zip(*columns)], pa.string())
 
     return rows.join(found, "host", "left").select(F.col("page_id").alias(key), F.col("url").alias(url), texts("html", "pivot", "main", "template").alias("text"))

@@ -35,6 +35,24 @@ def test_comments_longer_than_the_article(spark):
         assert got[i] == f"Title {i}\n{story}" and got[100 + i] == story
 
 
+def test_copies_of_one_article_are_no_template(spark):
+    page = "<html><body><article><h1>{h}</h1><p>{a}</p><div class=by>{by}</div><div class=box>Box<p>{b}</p></div></article></body></html>"
+    same = "one hot story " * 20
+    rows = [(i, f"http://h.example/{i}", page.format(h=f"Headline {i % 60}", a=same, by="All rights", b="same box")) for i in range(95)]
+    rows += [(100 + i, f"http://h.example/o{i}", page.format(h=f"Other {i}", a=f"story {i} " * 20, by="All rights", b=f"box {i}")) for i in range(5)]
+    # Many stories: the constant line goes, but not the one page's own text in its place.
+    rows += [(200 + i, f"http://m.example/{i}", page.format(h=f"Title {i}", a=f"tale {i} " * 20, by="All rights" if i else "By a reader", b=f"box {i}")) for i in range(20)]
+    rows += [(300 + i, f"http://m.example/c{i}", page.format(h=f"Copy {i}", a=same, by="All rights", b="box")) for i in range(300)]
+    got = {r.page_id: r.text.split("\n") for r in wrapper.main_text(tune(spark).createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    for i in range(95):
+        assert got[i] == [f"Headline {i % 60}", same.strip(), "All rights", "Box", "same box"]
+    for i in range(5):
+        assert got[100 + i][:2] == [f"Other {i}", " ".join([f"story {i}"] * 20)]
+    for i in range(20):
+        assert got[200 + i] == [f"Title {i}", " ".join([f"tale {i}"] * 20), *([] if i else ["By a reader"]), "Box", f"box {i}"]
+    assert all(got[300 + i] == [f"Copy {i}", same.strip(), "Box", "box"] for i in range(300))
+
+
 def test_blocks_and_odd_markup():
     text = lambda page: "\n".join(wrapper.blocks([wrapper.parse(page)]))
     assert text("<p>a<b>b</b> c<br>d<p>e&nbsp;f &copy &#65;") == "ab c d\ne f © A"
