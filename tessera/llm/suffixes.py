@@ -141,6 +141,9 @@ def _compare_contexts(first_stays: bool):
     """From runs sorted by hash, context and place: matched spans, and one run of each context to look at."""
     def run(batches):
         for t in by_group(batches, ["h"], 1 << 14):
+            if first_stays:                        # rows of equal key and text are one copy
+                key = np.stack([t.column(c).to_numpy() for c in ("h", "context", "_id", "_sig", "at")], 1)
+                t = t.filter(pa.array(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))))
             h, context, n = (t.column(c).to_numpy() for c in ("h", "context", "n"))
             new_h = np.concatenate(([True], h[1:] != h[:-1]))
             new_c = new_h | np.concatenate(([True], context[1:] != context[:-1]))

@@ -72,6 +72,16 @@ def test_repeated_rows_null_keys_and_empty_tables(spark):
     assert suffixes.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, suffixes.HOT])
+def test_equal_rows_alone_are_one_copy(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
+    rng = random.Random(9)
+    t, other = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(90)) for _ in range(2))
+    df = tune(spark).createDataFrame([(1, t), (1, t), (2, other), (2, other), (3, t)], "doc_id bigint, text string")
+    got = sorted((r.doc_id, r._cut.n_removed) for r in suffixes.deduplicate(df, first_stays=True).collect())
+    assert got == [(1, 0), (1, 0), (2, 0), (2, 0), (3, len(t))]
+
+
 def test_anchors_do_not_depend_on_blocks(monkeypatch):
     data = np.frombuffer(random.Random(6).randbytes(9000), np.uint8)
     whole = suffixes.anchors(data)
