@@ -7,6 +7,9 @@ count once. A bucket is compared in one task and yields a star per linked group,
 bucket that holds more than ``BUCKET`` fingerprints is cut into a grid of chunk pairs, so that any
 two still meet.
 
+``one_of_each`` takes near copies as texts whose sets of five-word shingles have a Jaccard index of
+0.8 or more; candidates share one of BANDS bands of least hashes and are compared by whole sets.
+
 Null, empty and wordless texts have fingerprint zero and link like any other; null keys are kept.
 """
 from itertools import combinations
@@ -20,6 +23,8 @@ from pyspark.sql import types as T
 from .common import components, keep, whole_text
 
 WORDS, DISTANCE, BLOCKS, BUCKET, SEED = 4, 4, 6, 1024, 42
+SHINGLE, LIKE = 5, (4, 5)            # words of a shingle, likeness (as a fraction) of near copies
+ROWS, BANDS, CHUNK = 8, 32, 512      # hashes in a band, bands, texts in a chunk of a grid
 
 
 def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
@@ -142,11 +147,117 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(names, "fp").select(key, "fp", "component_id")
 
 
+# Near copies by shingle sets -----------------------------------------------------------------------
+
+def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; a text with fewer words is one shingle."""
+    from xxhash import xxh64_intdigest
+    parts = text.encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    line = memoryview(b" ".join(parts))
+    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    last = ends[min(words, len(parts)) - 1:].tolist()
+    return np.unique(np.array([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts.tolist(), last)], np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A signed key of each band of ROWS least hashes; sets of likeness s share one with 1 - (1 - s^ROWS)^BANDS."""
+    from xxhash import xxh64_intdigest
+    if not len(hashes):
+        return []
+    rng = np.random.default_rng(SEED)
+    mix, odd = (rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[at:at + 512, None] ^ mix) * odd).min(axis=0), out=least)
+    keys = [xxh64_intdigest(least[k * ROWS:(k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def sketch(text: Column) -> Column:
+    """A hash of the whole shingle set, zero for none, and its band keys."""
+    @F.arrow_udf("struct<fp:bigint,bands:array<bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        from xxhash import xxh64_intdigest
+        sets = [shingle_hashes(t) for t in texts.to_pylist()]
+        fps = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(fps), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "bands"])
+    return run(text)
+
+
+def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links from each member of a linked group to its first member; two sets link at Jaccard 0.8 or more."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    _, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    held = np.zeros(codes.max() + 1, bool)
+    left, found = np.arange(len(sets)), []
+    while len(left) > 1:
+        root, left = left[0], left[1:]
+        front = [root]
+        while front and len(left):
+            k = front.pop()
+            own = codes[begin[k]:begin[k] + sizes[k]]
+            held[own] = True
+            both = np.add.reduceat(held[codes].astype(np.int64), begin)[left]
+            held[own] = False
+            near = both * (LIKE[0] + LIKE[1]) >= LIKE[0] * (sizes[k] + sizes[left])
+            found += [(int(x), int(root)) for x in left[near]]
+            front.extend(left[near])
+            left = left[~near]
+    return found
+
+
+def _verified(batches):
+    """(u, v) of sets that are alike, from texts sorted by cell."""
+    cell, members = None, {}
+
+    def out():
+        fps = list(members)
+        pairs = alike([members[f] for f in fps]) if len(fps) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([fps[p[k]] for p in pairs], pa.int64()) for k in (0, 1)], names=["u", "v"])
+
+    for batch in batches:
+        for *key, fp, text in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != cell:
+                yield out()
+                cell, members = key, {}
+            if fp not in members:
+                members[fp] = shingle_hashes(text)
+    yield out()
+
+
+def similar_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """(fp, group): sets linked by Jaccard 0.8 or more; ``prints`` has the sketch of each row of ``docs``.
+
+    Sets that share a band are candidates. Texts of a linked set of candidates meet, in a grid of
+    chunk pairs where there are many, and are compared by their whole sets.
+    """
+    place = ["_near_id", "_near_sig"]
+    classes = keep(prints.groupBy("fp").agg(F.first("bands").alias("bands"), F.min(F.struct(*place)).alias("first")))
+    rows = classes.select("fp", F.explode("bands").alias("_key"))
+    shared = keep(rows.groupBy("_key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("_key", "low"))
+    roots = components(rows.join(shared, "_key").filter("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")))
+    members = keep(roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()))
+    sizes = keep(members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("n")))
+    places = keep(members.join(sizes, "root").join(classes.select("fp", "first"), "fp").select("root", "n", "fp", *(f"first.{c}" for c in place)))
+    texts = docs.select(*place, "_near_text").join(places, place).withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("n")))
+    texts = texts.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    cell = ["root", "_low", "_high"]
+    texts = texts.select("root", F.least("_own", "_other").cast("bigint").alias("_low"), F.greatest("_own", "_other").cast("bigint").alias("_high"), "fp", "_near_text")
+    found = texts.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_verified, "u bigint, v bigint")
+    linked = components(found).withColumnRenamed("node", "fp")
+    return keep(classes.select("fp").join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("group")))
+
+
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest key, then text hash."""
+    """The rows of ``docs`` that stay: of each group of near copies the one with the smallest key, then text hash."""
     names = {"_near_id": F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)), "_near_sig": F.xxhash64(whole_text(text))}
     named = docs.withColumns(names)
-    prints = keep(named.select("_near_id", "_near_sig", fingerprint(whole_text(text)).alias("fp")))
-    best = prints.join(groups(prints), "fp").groupBy("group").agg(F.min(F.struct("_near_id", "_near_sig")).alias("b"))
+    prints = keep(named.select("_near_id", "_near_sig", sketch(whole_text(text)).alias("s")).select("_near_id", "_near_sig", "s.fp", "s.bands"))
+    found = similar_groups(named.withColumn("_near_text", whole_text(text)), prints)
+    best = prints.join(found, "fp").groupBy("group").agg(F.min(F.struct("_near_id", "_near_sig")).alias("b"))
     best = keep(best.select("b._near_id", "b._near_sig"))
     return named.join(best, ["_near_id", "_near_sig"], "left_semi").dropDuplicates(["_near_id", "_near_sig"]).select(*docs.columns)

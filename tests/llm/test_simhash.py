@@ -75,6 +75,36 @@ def test_documents(spark):
     assert none.count() == 0
 
 
+def test_one_of_each_is_by_five_word_jaccard(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CHUNK", 4)      # grids of chunks are used as well
+    rng = random.Random(7)
+    rows = []
+    for g in range(25):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 200))]
+        for k in range(6):
+            own = list(base)
+            for _ in range(rng.randint(0, 5)):
+                own[rng.randrange(len(own))] = f"x{rng.randrange(5000)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(900, "four words are one"), (901, "Four  words are ONE"), (902, "other words are one"), (903, None), (904, " ")]
+
+    def shingles(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    sets, root = {i: shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+    pairs = [(a, b) for a in sets for b in sets if a < b and (len(sets[a] & sets[b]) * 10 >= len(sets[a] | sets[b]) * 8)]
+    for a, b in pairs:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = simhash.one_of_each(tune(spark).createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(r.doc_id for r in got) == sorted({find(i) for i in root}) and len(got) < 120
+
+
 def test_long_chain(spark):
     n = 300
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "u bigint, v bigint")
