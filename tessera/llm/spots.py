@@ -2,8 +2,8 @@
 
 Anchors are the corpus' most common words, by the share of documents that hold them. A signature is
 an anchor followed by its chain: the next CHAIN content words after it. A fingerprint is the sorted
-set of a document's signature hashes, eight hexadecimal digits each. A text with words but without
-chains is hashed as a whole. Likeness is the Jaccard index of two sets; it is not worked out where
+set of a document's signature hashes, eight hexadecimal digits each. A text without chains has
+chains of all its words if it has LONG or more, and is hashed as a whole otherwise. Likeness is the Jaccard index of two sets; it is not worked out where
 their sizes alone keep it below a threshold. ``similar`` partitions fingerprints by set length.
 
 Null and empty texts have the empty fingerprint; two empty ones are alike. Repeated rows are
@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import keep, whole_text
 
-ANCHORS, SHARE, CHAIN = 64, 0.05, 2      # anchors kept, share of documents that hold one, content words in a chain
+SHARE, CHAIN = 0.05, 2                   # share of documents that hold an anchor, content words in a chain
+LONG = 20                                # words from which a text without chains has chains of all its words
 WIDTH = 512                              # keys in a bucket of neighbours
 COUNTS = 1 << 19                         # distinct words a task holds before it passes its counts on
 
@@ -65,12 +66,12 @@ def _words_of(hashes: frozenset):
     return run
 
 
-def common_words(docs: DataFrame, text: str = "text", words: int = ANCHORS, share: float = SHARE) -> frozenset:
-    """Words of at least ``share`` of the documents that have text, the most common ``words`` of them."""
+def common_words(docs: DataFrame, text: str = "text", share: float = SHARE) -> frozenset:
+    """All words of at least ``share`` of the documents that have text."""
     texts = docs.select(whole_text(text).alias("t")).filter("t <> ''")
     least = share * texts.count()
     counts = texts.mapInArrow(_document_counts, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    top = frozenset(r.h for r in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "h").limit(words).collect())
+    top = frozenset(r.h for r in counts.filter(F.col("n") >= least).collect())
     return frozenset(r.word for r in texts.mapInArrow(_words_of(top), "word string").distinct().collect()) if top else top
 
 
@@ -88,6 +89,8 @@ def signatures(text: str, anchors: frozenset, chain: int = CHAIN) -> np.ndarray:
             seen += 1
         elif seen + chain <= len(content):
             spots.add(f"{w}\0" + " ".join(content[seen:seen + chain]))
+    if not spots and len(words) >= LONG:
+        spots = {" ".join(words[k:k + chain + 1]) for k in range(len(words) - chain)}
     spots = spots or {" ".join(words)}
     return np.unique(np.fromiter((xxh32_intdigest(s, 0) for s in spots), np.uint32, len(spots)))
 

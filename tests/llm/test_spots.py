@@ -55,6 +55,15 @@ def test_chains_follow_anchors():
     assert len(spots.signatures("no anchor at all", frozenset())) == 1
 
 
+def test_every_common_word_is_an_anchor_and_long_texts_have_chains(spark):
+    common = [f"c{k}" for k in range(100)]
+    rows = [(i, " ".join(common) + f" own{i}") for i in range(60)]
+    assert spots.common_words(tune(spark).createDataFrame(rows, "doc_id bigint, text string")) == frozenset(common)
+    words = [f"w{k}" for k in range(40)]
+    own, new = (spots.signatures(" ".join(w), frozenset(["the"])) for w in (words, words[:-1] + ["x"]))
+    assert len(own) == 38 and spots.jaccard(own, new) > 0.9
+
+
 def test_pruned_pairs_equal_all_pairs(spark):
     rng = random.Random(3)
     base = [t.split() for t in texts(8, 4)] + [[f"w{k}" if k % 3 else "the" for k in range(70)]]
