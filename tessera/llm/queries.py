@@ -4,7 +4,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audit, bpe, langid, lattice, packing, quality, simhash, spots, suffixes, toxicity, wrapper
+from . import audit, bpe, langid, lattice, negatives, packing, quality, simhash, spots, suffixes, toxicity, wrapper
 from .common import keep, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,9 +81,15 @@ def op10_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op11_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), label=label)
+
+
 @query
 def op13_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-ORACLES["op13_audit"] = audit.SQL
+ORACLES |= {"op11_negatives": negatives.SQL, "op13_audit": audit.SQL}
