@@ -24,6 +24,29 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def scan(items: Column, start: Column, step, out, out_type: str, piece: int = 256) -> Column:
+    """``out(state, x)`` of every item, with the state that ``step`` folds from left to right.
+
+    Appending to a growing array copies it, so results grow in pieces: a list of n items costs about
+    n * piece / 2 copies instead of n * n / 2.
+    """
+    count = F.size(items)
+    cuts = F.when(count > 0, F.sequence(F.lit(0), F.floor((count - 1) / piece).cast("int"))).otherwise(F.array().cast("array<int>"))
+    pieces = let(items, lambda xs: F.transform(cuts, lambda k: F.slice(xs, k * piece + 1, F.lit(piece))))
+    empty = F.array().cast(f"array<{out_type}>")
+
+    def one(acc, x):
+        return F.struct(step(acc["state"], x).alias("state"), F.array_append(acc["out"], out(acc["state"], x)).alias("out"))
+
+    def whole(acc, xs):
+        return let(F.aggregate(xs, F.struct(acc["state"].alias("state"), empty.alias("out")), one),
+                   lambda done: F.struct(done["state"].alias("state"), F.array_append(acc["out"], done["out"]).alias("out")))
+
+    begin = F.struct(start.alias("state"), F.array().cast(f"array<array<{out_type}>>").alias("out"))
+    return F.flatten(F.aggregate(pieces, begin, whole)["out"])
+
+
+
 @F.pandas_udf(StringType())
 def _compose(s: pd.Series) -> pd.Series:
     return s.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")

@@ -1,15 +1,20 @@
 """Facts of Markdown outputs: a line table, block boundaries by running windows, one grouping.
 
 Dialect: ATX and setext headings, paragraphs, nested lists, pipe tables, fences, indented code,
-quotes, raw HTML blocks, rules; inline rules are in ``functions.markdown``. Code and raw HTML
-blocks yield nothing.
+quotes, raw HTML blocks, rules, link reference definitions; inline rules are in
+``functions.markdown``. Code, raw HTML blocks and definitions yield nothing by themselves.
+
+References are resolved by an equi-join of labels inside a document. Definitions and the pieces of
+text that name their labels come from one line table, so the join is a window over (document, label):
+nothing is read twice and nothing moves. A piece then carries the definitions it names, not all of
+its document.
 """
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import markdown as md
-from ..functions.text import NOT_WS, unix_newlines
+from ..functions.text import NOT_WS, let, scan, unix_newlines
 from ..session import by_document
 
 # --- fixed values: tags that start a raw HTML block --------------------------------------------
@@ -48,9 +53,10 @@ def _real_fences(lines: Column) -> Column:
 def markdown_lines(arms: DataFrame) -> DataFrame:
     """Lines of ``arms(doc_id, arm, markdown)``, each marked when it is a real code fence."""
     lines = F.split(unix_newlines(F.col("markdown")), "\n")
-    rows = arms.select("doc_id", "arm", lines.alias("lines"), _real_fences(lines).alias("fences"))
-    rows = rows.select("doc_id", "arm", "fences", F.posexplode("lines").alias("no", "raw"))
-    return rows.select("doc_id", "arm", "no", "raw",
+    rows = arms.select("doc_id", "arm", F.col("markdown").rlike(md.MAY_DEFINE).alias("defines"),
+                       lines.alias("lines"), _real_fences(lines).alias("fences"))
+    rows = rows.select("doc_id", "arm", "defines", "fences", F.posexplode("lines").alias("no", "raw"))
+    return rows.select("doc_id", "arm", "defines", "no", "raw",
                        F.coalesce(F.array_contains("fences", F.col("no")), F.lit(False)).alias("fence"))
 
 
@@ -61,16 +67,17 @@ def _blocks(lines: DataFrame) -> DataFrame:
     rows = lines.select(
         "*", (F.col("fence") | (F.sum(F.col("fence").cast("int")).over(so_far) % 2 == 1)).alias("code"))
     text = F.regexp_replace("raw", QUOTE, "")
-    rows = rows.select("doc_id", "arm", "no", "code", text.alias("line"),
+    rows = rows.select("doc_id", "arm", "defines", "no", "code", text.alias("line"),
                        (F.col("raw").rlike(QUOTE)).alias("quoted"))
     line = F.col("line")
+    rows = _with_definitions(rows, doc)
     indent = F.length(F.regexp_extract(line, r"^([ \t]*)", 1))
     blank = ~line.rlike(NOT_WS)
     rows = rows.select(
         "*", indent.alias("indent"), blank.alias("blank"),
         (F.lag("line").over(doc)).alias("prev"), (F.lead("line").over(doc)).alias("next"))
     plain_before = (F.coalesce(F.col("prev").rlike(NOT_WS), F.lit(False))
-                    & ~F.col("prev").startswith("    ") & ~F.col("prev").rlike(ATX) & ~F.col("prev").rlike(RULE) & ~F.col("prev").rlike(ITEM))
+                    & ~F.lag("defined", 1, False).over(doc) & ~F.col("prev").startswith("    ") & ~F.col("prev").rlike(ATX) & ~F.col("prev").rlike(RULE) & ~F.col("prev").rlike(ITEM))
     number = F.regexp_extract(line, ITEM, 2)
     item = (line.rlike(ITEM) & ~line.rlike(RULE)
             & ~(plain_before & ((number.rlike("^[0-9]") & ~number.isin("1.", "1)"))
@@ -78,6 +85,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
     head = (line.contains("|") & ~line.rlike(DELIMITER) & F.col("next").rlike(DELIMITER)
             & F.col("next").contains("|"))
     raw_kind = (F.when(F.col("code"), "code").when(F.col("blank"), "blank")
+                .when(F.col("defined"), "definition")
                 .when(line.rlike(ATX), "atx")
                 .when(line.rlike(UNDERLINE) & plain_before, "underline")
                 .when(line.rlike(RULE), "rule").when(item, "item").when(head, "head")
@@ -92,7 +100,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
     # text returns to the margin after a break.
     html_event = F.when(kind == "blank", 0).when((kind != "code") & line.rlike(HTML_START), 1)
     table_event = F.when(kind == "head", F.col("no")).when(kind != "plain", -1)
-    margin = ((kind.isin("atx", "rule", "head", "underline") & (F.col("indent") < 2))
+    margin = ((kind.isin("atx", "rule", "head", "underline", "definition") & (F.col("indent") < 2))
               | ((kind == "plain") & (F.col("indent") < 2)
                  & ~F.coalesce(F.col("prev").rlike(NOT_WS), F.lit(False)))
               | ((kind == "code") & (F.col("indent") < 2) & F.lag("code", 1, False).over(doc).eqNullSafe(False)))
@@ -110,6 +118,7 @@ def _blocks(lines: DataFrame) -> DataFrame:
     delimiter = (F.col("table") >= 0) & (F.col("no") == F.col("table") + 1)
     block = (F.when((kind == "code") | (kind == "blank") | (F.col("html") == 1) | indented, None)
              .when(kind == "rule", None)
+             .when(kind == "definition", F.when(F.col("definition").isNotNull(), "definition"))
              .when(kind == "atx", "heading")
              .when(delimiter, None)
              .when((kind == "head") | ((F.col("table") >= 0) & (kind == "plain")), "row")
@@ -122,37 +131,66 @@ def _blocks(lines: DataFrame) -> DataFrame:
               & ~F.coalesce(F.lag("block").over(doc) == "text", F.lit(False)))
     first = F.when(F.col("block") == "text", F.last(F.when(starts, F.col("no")), ignorenulls=True).over(so_far))
     return rows.withColumn("start", (
-        F.when(F.col("block").isin("heading", "row"), F.col("no"))
+        F.when(F.col("block").isin("heading", "row", "definition"), F.col("no"))
         .when(F.col("block") == "item", F.col("owner"))
         .when(F.col("block") == "underline", F.lag("no").over(doc)).otherwise(first)))
 
 
+def _with_definitions(rows: DataFrame, doc) -> DataFrame:
+    """Add ``defined``, true on lines of link reference definitions, and ``definition`` where one begins.
+
+    A definition can't interrupt a paragraph: the last line before its run of definitions that is none
+    decides. A title may follow on a line of its own.
+    """
+    line, may = F.col("line"), F.col("defines") & ~F.col("code")
+    opens = F.coalesce(may & line.rlike(md.DEFINITION) & line.rlike(r"^ {0,3}\[[^\]]*[^\]\s]"), F.lit(False))
+    untitled = F.col("_opens") & (F.regexp_extract(line, md.DEFINITION, 3) == "")
+    rows = rows.withColumn("_opens", opens).withColumn("_untitled", untitled)
+    title = F.coalesce(may & line.rlike(md.TITLE_LINE), F.lit(False)) & F.lag("_untitled", 1, False).over(doc)
+    rows = rows.withColumn("_part", F.col("_opens") | title)
+    paragraph = line.rlike(NOT_WS) & ~F.col("code") & ~line.rlike(ATX) & ~line.rlike(RULE) & ~line.rlike(UNDERLINE)
+    above = F.last(F.when(~F.col("_part"), paragraph), ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, -1))
+    after = F.when(F.col("_untitled") & F.lead("_part").over(doc) & ~F.lead("_opens").over(doc), F.lead("line").over(doc))
+    rows = rows.withColumn("defined", F.col("_part") & ~F.coalesce(above, F.lit(False)))
+    return rows.withColumn("definition", F.when(F.col("defined") & F.col("_opens"), md.definition_of(line, after))).drop("_opens", "_untitled", "_part")
+
+
 def _with_levels(blocks: DataFrame) -> DataFrame:
-    """Add the nesting level of list items, by a fold over runs of equal indentation.
+    """Add the nesting level of list items: the open items whose content begins at or before its indent.
 
-    Only the places where the indentation changes go through the fold; a flat list has one.
+    A list's rows are folded once, in one array, by a scan that carries the stack of open items; its
+    cost grows with the length of the list. Rows outside lists and flat lists need no scan.
     """
-    listed = W.partitionBy("doc_id", "arm", "list_no").orderBy("start")
-    so_far = listed.rowsBetween(W.unboundedPreceding, 0)
-    shape = F.struct("indent", "content")
     is_item = F.col("first_block") == "item"
-    change = is_item & ~F.lag(shape).over(listed).eqNullSafe(shape)
-    rows = blocks.withColumn("_new", change)
-    rows = rows.select(
-        "*", F.sum(F.col("_new").cast("int")).over(so_far).alias("_run"),
-        F.collect_list(F.when(F.col("_new"), shape)).over(
-            listed.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_runs"))
-    start = F.struct(F.array().cast("array<int>").alias("stack"), F.array().cast("array<int>").alias("levels"))
+    row = F.struct("start", *[c for c in blocks.columns if c not in ("doc_id", "arm", "start")])
+    lists = blocks.groupBy("doc_id", "arm", F.when(is_item, F.col("list_no")).alias("_list"), F.when(~is_item, F.col("start")).alias("_alone")).agg(
+        F.sort_array(F.collect_list(row)).alias("_rows"))
+    outer = lambda stack, x: F.filter(stack, lambda c: c <= x["indent"])
+    nested = scan(F.col("_rows"), F.array().cast("array<int>"),
+                  lambda stack, x: F.concat(outer(stack, x), F.array(x["content"])), lambda stack, x: F.size(outer(stack, x)), "int")
+    indents = F.transform("_rows", lambda x: x["indent"])
+    levels = (F.when(F.col("_alone").isNotNull(), F.array(F.lit(None).cast("int")))
+              .when(F.array_min(indents) == F.array_max(indents), F.transform("_rows", lambda x: F.lit(0))).otherwise(nested))
+    zipped = let(levels, lambda n: F.transform("_rows", lambda x, i: F.struct(x.alias("row"), F.element_at(n, (i + 1).cast("int")).alias("level"))))
+    return lists.select("doc_id", "arm", F.explode(zipped).alias("z")).select("doc_id", "arm", "z.row.*", "z.level")
 
-    def step(state, r):
-        outer = F.filter(state["stack"], lambda c: c <= r["indent"])
-        return F.struct(F.concat(outer, F.array(r["content"])).alias("stack"),
-                        F.concat(state["levels"], F.array(F.size(outer))).alias("levels"))
 
-    levels = F.aggregate("_runs", start, step)["levels"]
-    rows = rows.withColumn("_level", F.when(F.col("_new"), F.try_element_at(levels, F.col("_run").cast("int"))))
-    return rows.withColumn("level", F.when(is_item, F.last("_level", ignorenulls=True).over(so_far))).drop(
-        "_new", "_run", "_runs", "_level")
+def _with_defined(pieces: DataFrame) -> DataFrame:
+    """Add ``defined``, the definitions a piece names; rows of definitions go.
+
+    The equi-join of labels is a window over (document, label): of several definitions of one label the
+    first wins, wherever it stands.
+    """
+    keys = (F.when(F.col("definition").isNotNull(), F.array("definition.key"))
+            .when(F.col("defines") & F.col("raw").contains("["), md.label_keys(F.col("raw"))))
+    rows = pieces.withColumn("_key", F.explode_outer(keys))
+    label = W.partitionBy("doc_id", "arm", "_key").orderBy("start").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumn("_found", F.first(F.when(F.col("_key").isNotNull(), F.col("definition")), ignorenulls=True).over(label))
+    entry = F.struct("_key", F.struct("_found.target", "_found.title"))
+    others = [c for c in pieces.columns if c not in ("doc_id", "arm", "start", "col", "definition", "defines")]
+    rows = rows.filter("definition IS NULL").groupBy("doc_id", "arm", "start", "col").agg(
+        *[F.first(c).alias(c) for c in others], F.collect_list(F.when(F.col("_found").isNotNull(), entry)).alias("_entries"))
+    return rows.withColumn("defined", F.when(F.size("_entries") > 0, F.map_from_entries("_entries"))).drop("_entries")
 
 
 def _cells(row: Column) -> Column:
@@ -168,7 +206,7 @@ def markdown_facts(arms: DataFrame) -> DataFrame:
     content = (F.when(F.col("block") == "heading", F.regexp_extract(line, ATX, 2))
                .when(F.col("block") == "row", line)
                .when(F.col("kind") == "item", F.regexp_extract(line, ITEM, 4))
-               .when(F.col("block") == "underline", None)
+               .when(F.col("block").isin("underline", "definition"), None)
                .otherwise(F.trim(line)))
     rows = rows.withColumn("content_text", F.trim(content))
     is_item = F.col("kind") == "item"
@@ -182,6 +220,7 @@ def markdown_facts(arms: DataFrame) -> DataFrame:
         F.max(F.when(is_item, F.col("content"))).alias("content"),
         F.max(F.when(is_item, F.col("list_no"))).alias("list_no"),
         F.max(F.when(is_item, F.regexp_extract(line, ITEM, 2).rlike("[0-9]"))).alias("ordered"),
+        F.max("definition").alias("definition"), F.max("defines").alias("defines"),
         F.sort_array(F.collect_list(F.when(F.col("content_text").isNotNull(), F.struct("no", "content_text")))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["content_text"]), "\n")
     grouped = grouped.withColumn("raw", F.regexp_replace(text, r"\\\n", "\n")).drop("parts")
@@ -198,18 +237,26 @@ def markdown_facts(arms: DataFrame) -> DataFrame:
         .when(F.col("first_block") == "item", F.array(piece("LIST_ITEM", F.lit(0), F.col("raw"))))
         .when((F.col("first_block") == "heading") | (F.col("setext") == 1),
               F.array(piece("HEADING", F.lit(0), F.col("raw"))))
+        .when(F.col("first_block") == "definition", F.array(piece("DEFINITION", F.lit(0), empty)))
         .otherwise(F.array(piece("TEXT_BLOCK", F.lit(0), F.col("raw")))))
-    rows = blocks.select("doc_id", "arm", "start", "table", "level", "ordered",
+    rows = blocks.select("doc_id", "arm", "start", "table", "level", "ordered", "definition", "defines",
                          F.coalesce("atx_level", "setext_level").alias("heading_level"),
                          F.explode(pieces).alias("p")).select("*", "p.*").drop("p")
-    refs = F.transform(md.references(F.coalesce("raw", F.lit(""))), lambda t, i: F.struct(
-        F.when(t.startswith("!"), "IMAGE").otherwise("LINK").alias("kind"),
-        (i + 1).cast("int").alias("at"), md.label_text(t).alias("text"),
+    rows = _with_defined(rows)
+    raw = F.coalesce("raw", F.lit(""))
+    # References and bare links take the longer scan; everything else the short one.
+    rich = F.col("defined").isNotNull() | raw.rlike(md.URL_HINT)
+    rows = rows.withColumn("items", F.when(rich, md.rich_items(raw, F.col("defined"))))
+    plain = F.transform(md.references(raw), lambda t: F.struct(
+        F.when(t.startswith("!"), "IMAGE").otherwise("LINK").alias("kind"), md.label_text(t).alias("text"),
         md.target_of(t).alias("target"), md.title_of(t).alias("title")))
+    found = F.when(F.col("items").isNotNull(), md.rich_references(F.col("items"))).otherwise(plain)
+    refs = F.transform(found, lambda r, i: F.struct(
+        r["kind"].alias("kind"), (i + 1).cast("int").alias("at"), r["text"].alias("text"), r["target"].alias("target"), r["title"].alias("title")))
     none = F.lit(None).cast("string")
+    text = F.when(F.col("items").isNotNull(), md.rich_text(F.col("items"))).otherwise(md.inline_text(F.col("raw")))
     own = F.struct(F.col("kind").alias("kind"), F.lit(0).alias("at"),
-                   F.when(F.col("kind") != "TABLE", md.inline_text(F.col("raw"))).alias("text"),
-                   none.alias("target"), none.alias("title"))
+                   F.when(F.col("kind") != "TABLE", text).alias("text"), none.alias("target"), none.alias("title"))
     rows = rows.select("doc_id", "arm", "start", "table", "col", "level", "ordered", "heading_level",
                        F.explode(F.concat(F.array(own), refs)).alias("f")).select("*", "f.*").drop("f")
 

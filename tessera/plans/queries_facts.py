@@ -55,6 +55,27 @@ def q_markdown_facts(spark, sf_dir):
     return flat(views.output_facts(spark, sf_dir), "n_rows", "n_cols")
 
 
+# What was written, not how it reads: the twin knows every link from the page it came from.
+WRITTEN_LINKS = f"""
+SELECT doc_id, n, style, CASE style WHEN 0 THEN text WHEN 1 THEN text || ' ' || n WHEN 2 THEN n || ' ' || text ELSE bare END AS text,
+  CASE style WHEN 3 THEN bare ELSE target END AS target, CASE style WHEN 0 THEN 'late ' || n WHEN 1 THEN 'early' END AS title
+FROM (SELECT doc_id, n, n % 4 AS style, text, target, regexp_replace({lit(views.SITE)} || target, '[?!.,:]$', '') AS bare,
+        regexp_extract({lit(views.SITE)} || target, '[?!.,:]$') AS cut
+      FROM (SELECT doc_id, text, target, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS n FROM html_s WHERE kind = 'LINK'))"""
+
+
+@register("markdown_references", query("html_s", f"""
+SELECT doc_id, 2 * n AS ord, 'TEXT_BLOCK' AS kind, CASE style WHEN 3 THEN 'see ' || {lit(views.SITE)} || raw || ' ok' ELSE text END AS text, NULL AS target, NULL AS title
+FROM (SELECT w.*, l.target AS raw FROM ({WRITTEN_LINKS}) w JOIN (
+  SELECT doc_id, target, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS n FROM html_s WHERE kind = 'LINK') l USING (doc_id, n))
+UNION ALL SELECT doc_id, 2 * n + 1, 'LINK', text, target, title FROM ({WRITTEN_LINKS})"""))
+def q_markdown_references(spark, sf_dir):
+    """Reference links and bare links of whole pages, resolved."""
+    f = views.reference_facts(spark, sf_dir)
+    a = lambda k: F.element_at("attributes", k).alias(k)
+    return f.select("doc_id", "ord", "kind", "text", a("target"), a("title"))
+
+
 @register("controlled_mutations", query("arms", "SELECT doc_id, format, arm, markdown, expected_code FROM arms"))
 def q_controlled_mutations(spark, sf_dir):
     return views.arms(spark, sf_dir)

@@ -7,7 +7,8 @@ from ..operators import metrics as mt
 from ..operators import scores as sc
 from ..session import cut_lineage
 from . import dims, views
-from .oracle import lit, query
+from .oracle import lit, norm, query, uri
+from .queries_facts import WRITTEN_LINKS
 from .registry import register
 from .views import view
 
@@ -61,6 +62,26 @@ for _name, _names in SUBSETS.items():
     _subset(_name, _names)
 
 
+@register("link_metrics_references", query("html_s", f"""
+SELECT * FROM (WITH src AS (SELECT doc_id, {norm('text')} AS t, {uri('target')} AS u FROM html_s WHERE kind = 'LINK'),
+out AS (SELECT doc_id, {norm('text')} AS t, {uri('target')} AS u FROM ({WRITTEN_LINKS})),
+sizes AS (SELECT doc_id, count(*) FILTER (u <> '') AS targets, count(*) AS links, count(*) FILTER (t <> '') AS said FROM src GROUP BY doc_id),
+made AS (SELECT doc_id, count(*) FILTER (u <> '') AS targets FROM out GROUP BY doc_id),
+uris AS (SELECT doc_id, sum(least(a.n, b.n)) AS m FROM (SELECT doc_id, u, count(*) AS n FROM src WHERE u <> '' GROUP BY ALL) a JOIN (SELECT doc_id, u, count(*) AS n FROM out GROUP BY ALL) b USING (doc_id, u) GROUP BY doc_id),
+texts AS (SELECT doc_id, sum(least(a.n, b.n)) AS m FROM (SELECT doc_id, t, count(*) AS n FROM src WHERE t <> '' GROUP BY ALL) a JOIN (SELECT doc_id, t, count(*) AS n FROM out GROUP BY ALL) b USING (doc_id, t) GROUP BY doc_id),
+long AS (
+  SELECT p.doc_id, unnest(['link_target_recall', 'link_target_precision', 'link_anchor_text_recall']) AS name,
+    unnest([coalesce(uris.m, 0), coalesce(uris.m, 0), coalesce(texts.m, 0)]) AS num, unnest([coalesce(sizes.targets, 0), coalesce(made.targets, 0), coalesce(sizes.said, 0)]) AS den
+  FROM (SELECT page_id * 4 + 1 AS doc_id FROM pages) p LEFT JOIN sizes USING (doc_id) LEFT JOIN made USING (doc_id) LEFT JOIN uris USING (doc_id) LEFT JOIN texts USING (doc_id))
+SELECT doc_id, name, CASE WHEN den = 0 THEN 'NOT_APPLICABLE' ELSE 'EVALUATED' END AS status, CASE WHEN den > 0 THEN CAST(num AS DOUBLE) / den END AS value,
+  CAST(num AS BIGINT) AS numerator, CAST(den AS BIGINT) AS denominator FROM long)"""))
+def q_link_metrics_references(spark, sf_dir):
+    """Link metrics where the output names its links by reference or writes them bare."""
+    s, o = mt.comparable(views.html_source_facts(spark, sf_dir), views.reference_facts(spark, sf_dir))
+    pairs = views.html_corpus(spark, sf_dir).select("doc_id", F.lit("html").alias("format"), F.lit("refs").alias("arm"))
+    return mt.metrics(pairs, s, o, names=SUBSETS["link_metrics"]).select("doc_id", "name", "status", "value", "numerator", "denominator")
+
+
 @register("all_metrics", query("metrics", f"SELECT {METRIC_COLS} FROM metrics"))
 def q_all_metrics(spark, sf_dir):
     return all_metrics(spark, sf_dir)

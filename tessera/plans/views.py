@@ -285,3 +285,41 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @view
 def output_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown_facts(arms(spark, sf_dir))
+
+
+@view
+def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of the pages, numbered from 0 inside their page."""
+    rows = html_source_facts(spark, sf_dir).filter("kind = 'LINK'")
+    nth = (F.row_number().over(W.partitionBy("doc_id").orderBy("ord")) - 1).cast("int")
+    return rows.select("doc_id", nth.alias("n"), "text", F.element_at("attributes", "target").alias("target"))
+
+
+SITE = "https://www.example.org"
+
+
+@view
+def reference_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as Markdown of its links alone: full, collapsed and shortcut references and bare links.
+
+    Definitions stand before and after their use; a second one of the same label must not count.
+    """
+    text, n = tx.escape_markdown(F.col("text")), F.col("n").cast("string")
+    target = F.concat(F.lit("<"), F.col("target"), F.lit(">"))
+    c = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    style = F.col("n") % 4
+    own = (F.when(style == 0, c("[", text, "][Ref ", n, "]")).when(style == 1, c("[", text, " ", n, "][]"))
+           .when(style == 2, c("[", n, " ", text, "]")).otherwise(c("see ", SITE, F.col("target"), " ok")))
+    before = F.when(style == 1, c("[", text, "  ", n, "]: ", target, " 'early'")).otherwise("")
+    after = (F.when(style == 0, c("[rEF\t", n, "]: ", target, "\n  \"late ", n, "\""))
+             .when(style == 2, c("[", n, "  ", text, "]: ", target, "\n[", n, " ", text, "]: /second")).otherwise(""))
+    parts = F.sort_array(F.collect_list(F.struct("n", own.alias("own"), before.alias("before"), after.alias("after"))))
+    lines = lambda field: F.filter(F.transform(parts, lambda x: x[field]), lambda x: x != "")
+    return page_links(spark, sf_dir).groupBy("doc_id").agg(F.concat(
+        F.array_join(lines("before"), "\n"), F.lit("\n\n"), F.array_join(lines("own"), "\n\n"), F.lit("\n\n"), F.array_join(lines("after"), "\n")).alias("markdown")
+    ).select("doc_id", F.lit("refs").alias("arm"), "markdown")
+
+
+@view
+def reference_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return markdown_facts(reference_arms(spark, sf_dir))

@@ -203,3 +203,88 @@ def test_long_constructs_end_no_job(spark):
     page = "<p " + "a='b' " * 200_000 + ">text</p>&#9999999;&#x110000;&#0;&#xD800;&#65;"
     text = spark.createDataFrame([(page,)], "h string").select(fh.strip_tags(F.col("h")).alias("t")).first().t
     assert text == "text" + "�" * 4 + "A"
+
+
+REFERENCES = """See [Foo  Bar], [text][foo bar], [x][], [nope] and [nope][foo bar] ![pic][img].
+
+[foo bar]: <http://a.b/c d> "Ti\\"tle"
+[FOO BAR]: /second
+[img]: i.png 'P'
+[x]: not a definition
+
+para
+[para]: /not-a-def
+
+[a][b][baz] [foo][] ![X] [![alt][img]][baz] \\[baz] `[baz]` [*em* q](u) [see ![k](z.png)] [para]
+
+[baz]: /baz
+  (in parens)
+
+* item [baz] www.example.com/a_b_c, then http://x.y/z).
+* (https://en.wiki.org/w/A_(b)) mailto:joe@ex.com tel:+123 nohttp://x.y [in http://l.k/ t] http://bad/ http://ok.com?a=1&b=2
+
+*http://em.ph/x* after [open http://no.link/ here
+
+> [q]: /quoted
+
+[q] and [B][q]
+===
+
+```
+[code]: /no
+```
+[code]
+"""
+
+
+def test_references_and_bare_links(spark):
+    rows = markdown_facts(spark.createDataFrame([(1, "a", REFERENCES)], "doc_id bigint, arm string, markdown string")).orderBy("ord").collect()
+    got = [(r.kind, r.text, *((r.attributes or {}).get(k) for k in ("target", "title"))) for r in rows]
+    block = lambda text, kind="TEXT_BLOCK": (kind, text, None, None)
+    assert got == [
+        block("See Foo  Bar, text, [x][], [nope] and nope pic."),
+        ("LINK", "Foo  Bar", "http://a.b/c d", 'Ti"tle'), ("LINK", "text", "http://a.b/c d", 'Ti"tle'), ("LINK", "nope", "http://a.b/c d", 'Ti"tle'), ("IMAGE", "pic", "i.png", "P"),
+        block("[x]: not a definition"), block("para\n[para]: /not-a-def"),
+        block("[a]b [foo][] ![X] alt [baz] [baz] em q [see k] [para]"),
+        ("LINK", "b", "/baz", "in parens"), ("LINK", "alt", "/baz", "in parens"), ("IMAGE", "alt", "i.png", "P"), ("LINK", "em q", "u", None), ("IMAGE", "k", "z.png", None),
+        block("item baz www.example.com/a_b_c, then http://x.y/z).", "LIST_ITEM"),
+        ("LINK", "baz", "/baz", "in parens"), ("LINK", "www.example.com/a_b_c", "http://www.example.com/a_b_c", None), ("LINK", "http://x.y/z", "http://x.y/z", None),
+        block("(https://en.wiki.org/w/A_(b)) joe@ex.com +123 nohttp://x.y [in http://l.k/ t] http://bad/ http://ok.com?a=1&b=2", "LIST_ITEM"),
+        ("LINK", "https://en.wiki.org/w/A_(b)", "https://en.wiki.org/w/A_(b)", None), ("LINK", "joe@ex.com", "mailto:joe@ex.com", None), ("LINK", "+123", "tel:+123", None),
+        ("LINK", "http://ok.com?a=1&b=2", "http://ok.com?a=1&b=2", None),
+        block("http://em.ph/x after [open http://no.link/ here"), ("LINK", "http://em.ph/x", "http://em.ph/x", None),
+        block("q and B", "HEADING"), ("LINK", "q", "/quoted", None), ("LINK", "B", "/quoted", None), block("[code]")]
+
+
+def test_definitions_stay_in_their_document_and_many_are_cheap(spark):
+    n = 3000
+    text = "\n\n".join(f"see [ref {i}] ok" for i in range(n)) + "\n\n" + "\n".join(f"[REF {i}]: /t{i}" for i in range(n))
+    rows = [(1, "a", "[k]: /one"), (2, "a", "[k]"), (1, "b", "[k]\n\n[k]: /two"), (3, "a", text)]
+    got = markdown_facts(spark.createDataFrame(rows, "doc_id bigint, arm string, markdown string")).filter("kind = 'LINK'").collect()
+    links = sorted((r.doc_id, r.arm, r.text, r.attributes["target"]) for r in got)
+    assert links == sorted([(1, "b", "k", "/two")] + [(3, "a", f"ref {i}", f"/t{i}") for i in range(n)])
+
+
+def test_list_levels_against_a_stack_and_a_long_list(spark):
+    rng = random.Random(11)
+    docs, want = [], {}
+    for d in range(40):
+        lines, stack, levels, indent = [], [], [], 0
+        for i in range(rng.randint(1, 25)):
+            indent = max(0, min(indent + rng.choice([-4, -3, -2, -1, 0, 0, 1, 2, 3]), 12)) if i else 0
+            gap = rng.randint(1, 4)
+            stack = [c for c in stack if c <= indent]
+            levels.append(len(stack))
+            stack.append(indent + 1 + gap)
+            lines.append(" " * indent + "*" + " " * gap + f"w{i}")
+        docs.append((d, "a", "\n".join(lines)))
+        want[d] = levels
+    n = 100_000
+    docs.append((99, "a", "\n".join("* a" if i % 2 == 0 else "    * b" for i in range(n))))
+    facts = markdown_facts(spark.createDataFrame(docs, "doc_id bigint, arm string, markdown string").repartition(8, "doc_id"))
+    levels = facts.filter("kind = 'LIST_ITEM'").select("doc_id", "ord", F.element_at("attributes", "level").cast("int").alias("level"))
+    got = defaultdict(list)
+    for r in levels.filter("doc_id < 99").orderBy("doc_id", "ord").collect():
+        got[r.doc_id].append(r.level)
+    assert dict(got) == want
+    assert levels.filter("doc_id = 99").agg(F.count("*").alias("n"), F.sum("level").alias("s"), F.sum(F.expr("level * (ord % 2)")).alias("odd")).first()[:] == (n, n // 2, n // 2)
