@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..plans.dims import AVAILABLE_ADAPTERS, RESERVED_NAMES, SAFE_COPY_FORMATS, dim
 from ..session import cut_lineage
+from .naming import free_indexes
 from .numbering import number_rows
 
 MAX_NAME = 200
@@ -167,8 +168,9 @@ def collision_suffix(ops: DataFrame, existing: DataFrame) -> DataFrame:
 
     Claimants of one target are numbered by a distributed sort, so a target wanted by a third of
     all files is not pulled into one task. A suffixed name may be the plain target of another
-    operation; such clashes are settled in rounds: the earlier operation keeps the name, the later
-    one and those behind it in its family move on, until no name is wanted twice. Operations on
+    operation; ``naming`` finds the next free ones without rounds over claimants. Only names cut to
+    ``MAX_NAME`` can then still meet those of another family; they are settled in rounds: the earlier
+    operation keeps the name, the later one and those behind it in its family move on. Operations on
     sheets of one workbook follow each other by ``sheet_index``; what is skipped stays skipped.
     """
     sheets = [F.col("sheet_index")] if "sheet_index" in ops.columns else []
@@ -178,6 +180,10 @@ def collision_suffix(ops: DataFrame, existing: DataFrame) -> DataFrame:
     first = numbered.groupBy(F.lower("target_path").alias("_base")).agg(F.min("_n").alias("_first"))
     rows = numbered.withColumn("_base", F.lower("target_path")).join(first, "_base")
     rows = rows.withColumn("_i", F.col("_n") - F.col("_first")).drop("_first")
+    plan = [F.lower("relative_path").alias("_path"), *[c.alias("_sheet") for c in sheets]]
+    rows = rows.select("*", *plan)
+    order = ["_path", "relative_path", *["_sheet" for _ in sheets], "_n"]
+    rows = cut_lineage(free_indexes(rows, order, MAX_NAME).drop("_path", "_sheet"))
     named = rows.withColumn("_name", collision_name(F.col("target_path"), F.col("_i")))
     rank = F.struct(F.lower("relative_path").alias("a"), F.col("relative_path").alias("b"), *[c.alias("s") for c in sheets], F.col("_n").alias("n"))
     while True:

@@ -231,29 +231,54 @@ _SAFE_SHEETS = ["Summary", "Sales_2026", "_CON", "Trailing", "Données", "summar
 cte("books", "files", f"""SELECT *, n % 11 = 0 AS failed, n % 13 = 0 AS uninspected, CASE WHEN n % 13 = 0 THEN 0 ELSE n % 4 END AS cnt, starts_with(relative_path, '../') AS unsafe,
   regexp_replace(relative_path, '\\.[^./]*$', '') AS stem FROM (SELECT relative_path, {_hex(1, 6)} AS n FROM files WHERE regexp_matches(lower(relative_path), '\\.xlsx?$'))""")
 cte("sheet_ops", "books existing", f"""
-SELECT relative_path, NULL AS sheet_name, 'Csv' AS target, '' AS target_path, 'Failed' AS status, CASE WHEN unsafe THEN 'OperationUnsafeSource' ELSE 'worksheet_inspection_failure' END AS message, NULL AS visibility, false AS default_selected
+SELECT relative_path, NULL AS sheet_name, 'Csv' AS target, '' AS target_path, 'Failed' AS status, CASE WHEN unsafe THEN 'OperationUnsafeSource' ELSE 'worksheet_inspection_failure' END AS message, NULL AS visibility, false AS default_selected, 0 AS sheet_index
   FROM books WHERE failed OR unsafe
-UNION ALL SELECT relative_path, NULL, 'Csv', '', 'Skipped', 'worksheet_none', NULL, false FROM books WHERE NOT failed AND NOT unsafe AND NOT uninspected AND cnt = 0
+UNION ALL SELECT relative_path, NULL, 'Csv', '', 'Skipped', 'worksheet_none', NULL, false, 0 FROM books WHERE NOT failed AND NOT unsafe AND NOT uninspected AND cnt = 0
 UNION ALL SELECT relative_path, sheet_name, 'Csv', path, status, CASE status WHEN 'Conflict' THEN 'OperationTargetExists' WHEN 'Skipped' THEN 'worksheet_empty'
-    ELSE CASE WHEN visibility <> 'visible' THEN 'worksheet_hidden' ELSE 'OperationReady' END END, visibility, status = 'Ready' AND coalesce(visibility, 'visible') = 'visible'
+    ELSE CASE WHEN visibility <> 'visible' THEN 'worksheet_hidden' ELSE 'OperationReady' END END, visibility, status = 'Ready' AND coalesce(visibility, 'visible') = 'visible', sheet_index
 FROM (SELECT s.*, CASE WHEN e.k IS NOT NULL THEN 'Conflict' WHEN is_empty THEN 'Skipped' ELSE 'Ready' END AS status FROM (
-    SELECT relative_path, NULL AS sheet_name, '{OUT}/' || stem || '.csv' AS path, NULL AS visibility, false AS is_empty FROM books WHERE NOT failed AND NOT unsafe AND uninspected
+    SELECT relative_path, NULL AS sheet_name, '{OUT}/' || stem || '.csv' AS path, NULL AS visibility, false AS is_empty, 0 AS sheet_index FROM books WHERE NOT failed AND NOT unsafe AND uninspected
     UNION ALL SELECT relative_path, {strings(views.SHEET_NAMES)}[(n + i) % 6 + 1], '{OUT}/' || stem || '__' || safe || CASE WHEN rn > 1 THEN '-' || rn ELSE '' END || '.csv',
-      CASE WHEN (n + i) % 4 = 0 THEN CASE WHEN i % 2 = 0 THEN 'hidden' ELSE 'veryHidden' END ELSE 'visible' END, (n + i) % 5 = 0
+      CASE WHEN (n + i) % 4 = 0 THEN CASE WHEN i % 2 = 0 THEN 'hidden' ELSE 'veryHidden' END ELSE 'visible' END, (n + i) % 5 = 0, i + 1
     FROM (SELECT *, row_number() OVER (PARTITION BY relative_path, lower(safe) ORDER BY i) AS rn FROM (SELECT *, {strings(_SAFE_SHEETS)}[(n + i) % 6 + 1] AS safe FROM (
       SELECT *, unnest(range(cnt)) AS i FROM books WHERE NOT failed AND NOT unsafe AND NOT uninspected)))) s
   LEFT JOIN (SELECT DISTINCT lower(target_path) AS k FROM existing) e ON lower(s.path) = e.k)""")
 
 
-@q("plan_worksheets", "sheet_ops", "SELECT * FROM sheet_ops")
+@q("plan_worksheets", "sheet_ops", "SELECT * EXCLUDE (sheet_index) FROM sheet_ops")
 def _(spark, sf_dir):
     books = views.files(spark, sf_dir).join(views.worksheets(spark, sf_dir), "relative_path")
     return inv.plan_worksheets(books, views.existing_targets(spark, sf_dir), OUT).drop("sheet_index")
 
 
-@register("plan_batch")
-def _(spark, sf_dir):
-    """Files and sheets in one plan; greedy naming is beyond SQL, so tests hold it against a plain loop."""
+# Names are given out one claim after the other; only claims that can meet another one are walked.
+cte("batch", "ops sheet_ops", f"""
+SELECT *, regexp_replace(target_path, '\\.[^./]*$', '') AS stem, {_ext('target_path')} AS ext FROM (
+  SELECT relative_path, target, target_path, status, message, adapter_available, NULL AS sheet_name, 0 AS sheet_index, format IN ('Xls', 'Xlsx') AND target IN ('Csv', 'Tsv') AND target_path <> '' AS book
+  FROM ops) WHERE NOT book
+UNION ALL SELECT *, regexp_replace(target_path, '\\.[^./]*$', ''), {_ext('target_path')} FROM (
+  SELECT relative_path, target, target_path, status, message, status IN ('Ready', 'Conflict') AS adapter_available, sheet_name, sheet_index, true AS book
+  FROM sheet_ops SEMI JOIN (SELECT relative_path FROM ops WHERE format IN ('Xls', 'Xlsx') AND target = 'Csv' AND target_path <> '') USING (relative_path))""")
+cte("contested", "batch", """
+SELECT *, row_number() OVER (ORDER BY lower(relative_path), relative_path, sheet_index) AS n FROM (
+  SELECT *, count(*) OVER (PARTITION BY lower(target_path)) AS c FROM batch WHERE target_path <> '')
+WHERE c > 1 OR lower(regexp_replace(stem, '-[0-9]+$', '') || ext) IN (SELECT lower(target_path) FROM batch WHERE target_path <> '')""")
+
+
+@q("plan_batch", "batch contested existing", """
+SELECT relative_path, target, name AS target_path, message, adapter_available, sheet_name,
+  CASE WHEN name = target_path OR status = 'Skipped' THEN status WHEN lower(name) IN (SELECT lower(target_path) FROM existing) THEN 'Conflict'
+    WHEN status = 'Conflict' THEN CASE WHEN adapter_available THEN 'Ready' ELSE 'EngineUnavailable' END ELSE status END AS status
+FROM (SELECT b.*, coalesce(w.name, b.target_path) AS name FROM batch b LEFT JOIN contested c USING (relative_path, sheet_index) LEFT JOIN (
+  WITH RECURSIVE walk AS (
+    SELECT 0::BIGINT AS n, []::VARCHAR[] AS used, NULL::VARCHAR AS name
+    UNION ALL SELECT n, list_append(used, lower(name)), name FROM (
+      SELECT c.n, w.used, CASE WHEN NOT list_contains(w.used, lower(c.target_path)) THEN c.target_path
+        ELSE c.stem || '-' || list_filter(range(2, len(w.used) + 3), lambda k: NOT list_contains(w.used, lower(c.stem || '-' || k || c.ext)))[1] || c.ext END AS name
+      FROM walk w JOIN contested c ON c.n = w.n + 1))
+  SELECT n, name FROM walk) w ON w.n = c.n)""")
+def _(spark, sf_dir):
+    """Files and sheets in one plan, each with a name of its own."""
     return inv.plan_batch(views.files(spark, sf_dir), views.worksheets(spark, sf_dir), views.existing_targets(spark, sf_dir), ROOT, OUT, OVERRIDES).drop("sheet_index")
 
 

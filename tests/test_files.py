@@ -1,6 +1,7 @@
 """Planning, reports, sources, sinks, packages, streams."""
 import io
 import json
+import random
 import zipfile
 
 import pytest
@@ -48,6 +49,45 @@ def test_collisions_match_the_greedy_meaning(spark, paths):
     assert [got[p] for p in order] == brute_force_names(["/o/" + p.rsplit(".", 1)[0] + ".md" for p in order])
 
 
+def test_names_against_the_greedy_loop(spark):
+    rng = random.Random(8)
+    for trial in range(4):
+        stems = ["a", "a-2", "a-3", "a-2-2", "a-2-2-2", "a-4", "b", "b-2", "a-02", "a-1", "A-2", "c", "c-2.x", "-2", ""]
+        paths = sorted({f"{rng.choice(['', 'p/', 'q/'])}{rng.randint(0, 99)}{rng.choice('xyz')}" for _ in range(120)})
+        targets = {p: f"/o/{rng.choice(stems)}.md" for p in paths}
+        ops = spark.createDataFrame([(p, t, "Ready", True) for p, t in targets.items()], "relative_path string, target_path string, status string, adapter_available boolean")
+        got = {r.relative_path: r.target_path for r in inv.collision_suffix(ops, no_targets(spark)).collect()}
+        order = sorted(paths, key=lambda p: (p.lower(), p))
+        assert [got[p] for p in order] == brute_force_names([targets[p] for p in order]), trial
+
+
+def test_long_chains_take_no_more_rounds(spark, monkeypatch):
+    """Every child comes first and every claimant has to go past all of them."""
+    from tessera.operators import naming
+    from tessera.session import cut_lineage
+    cuts = []
+    for module in (inv, naming):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: cuts.append(1) or cut_lineage(df))
+    counts = []
+    for n in (6, 400):
+        paths = [f"a{i:04}" for i in range(n)] + [f"b{i:04}" for i in range(n)]
+        targets = [f"/o/x-{i + 2}.md" for i in range(n)] + ["/o/x.md"] * n
+        ops = spark.createDataFrame([(p, t, "Ready", True) for p, t in zip(paths, targets)], "relative_path string, target_path string, status string, adapter_available boolean")
+        cuts.clear()
+        got = {r.relative_path: r.target_path for r in inv.collision_suffix(ops, no_targets(spark)).collect()}
+        assert [got[p] for p in paths] == brute_force_names(targets)
+        counts.append(len(cuts))
+    assert counts[0] == counts[1]
+
+
+def test_names_cut_to_length_still_differ(spark):
+    stem = "n" * 196
+    targets = [f"/o/{stem}{x}.md" for x in ("a", "b", "a", "b", "a")]
+    ops = spark.createDataFrame([(f"p{i}", t, "Ready", True) for i, t in enumerate(targets)], "relative_path string, target_path string, status string, adapter_available boolean")
+    got = [r.target_path for r in inv.collision_suffix(ops, no_targets(spark)).orderBy("relative_path").collect()]
+    assert len({t.lower() for t in got}) == 5 and got[:2] == targets[:2] and all(len(t) <= 3 + inv.MAX_NAME for t in got)
+
+
 def test_plan_precedence(spark):
     ops = inv.plan_operations(files(spark, "x.zip", "../e.txt", "c.txt", "w.doc", "t.TXT", "i.png"), no_targets(spark, "/o/C.md"), "/r", "/o")
     got = {r.relative_path: (r.status, r.target) for r in ops.collect()}
