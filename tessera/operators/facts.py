@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import html, markdown
-from ..functions.text import NOT_WS, WS, collapse_ws, is_blank, trim_ws, unix_newlines
+from ..functions import html
+from ..functions.text import collapse_ws, unix_newlines
+from .html_tree import page_nodes
 from .numbering import number_in_group
 
 def no_map() -> Column:
@@ -50,126 +51,47 @@ def page_text_facts(pages: DataFrame) -> DataFrame:
         F.lit("page"), F.col("page").cast("string"), F.lit("extraction"), F.lit("content-order")))
 
 
-# --- fixed values: tags that end an open paragraph ---------------------------------------------
-BLOCK_TAGS = ["address", "article", "aside", "blockquote", "body", "center", "dd", "details",
-              "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer",
-              "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li",
-              "main", "menu", "nav", "ol", "p", "pre", "search", "section", "summary", "table",
-              "tbody", "td", "tfoot", "th", "thead", "tr", "ul"]
 HEADING_TAGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 
 
-def html_tokens(pages: DataFrame) -> DataFrame:
-    """Tag and text tokens of ``pages(doc_id, html)`` with the element that owns each of them."""
-    tok = F.col("tok")
-    rows = pages.select("doc_id", F.posexplode(
-        F.regexp_extract_all("html", F.lit(html.TAG_STREAM), F.lit(0))).alias("pos", "tok"))
-    raw_element = tok.rlike(r"(?is)^<(script|style|template)\b")
-    is_tag = tok.rlike("^</?[A-Za-z]") & ~raw_element
-    rows = rows.select(
-        "doc_id", "pos", "tok",
-        F.when(is_tag, F.lower(F.regexp_extract(tok, "^</?([A-Za-z][A-Za-z0-9]*)", 1))).alias("tag"),
-        F.when(is_tag, tok.startswith("</")).alias("closing"),
-        F.when(tok.rlike(r"(?is)^<(script|style)\b"),
-               F.regexp_extract(tok, r"(?is)^<[a-z]+[^>]*>(.*)</", 1))
-        .when(~tok.startswith("<") | (tok == "<"), html.decode_entities(tok)).alias("piece"))
-
-    def opens(*tags):
-        return F.col("tag").isin(*tags) & ~F.col("closing")
-
-    def closes(*tags):
-        return F.col("tag").isin(*tags) & F.col("closing")
-
-    def depth(*tags):
-        return F.sum(F.when(opens(*tags), 1).when(closes(*tags), -1).otherwise(0)).over(page)
-
-    def owner(start, stop, window):
-        """Position of the element that is open here, -1 or null when there is none."""
-        event = F.when(start, F.col("pos")).when(stop, -1)
-        return F.last(event, ignorenulls=True).over(window)
-
-    page = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    in_list = W.partitionBy("doc_id", "list_depth").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    in_table = W.partitionBy("doc_id", "table_depth").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.select(
-        "*",
-        depth("ul", "ol").alias("list_depth"), depth("table").alias("table_depth"),
-        owner(opens("p"), F.col("tag").isin(BLOCK_TAGS), page).alias("p"),
-        owner(opens(*HEADING_TAGS), closes(*HEADING_TAGS), page).alias("h"),
-        owner(opens("a"), closes("a"), page).alias("a"))
-    rows = rows.withColumn("li", owner(opens("li"), closes("li") | opens("ul", "ol"), in_list))
-    rows = rows.select(
-        "*",
-        owner(opens("td", "th"), F.col("tag").isin("td", "th", "tr", "table", "thead", "tbody", "tfoot"),
-              in_table).alias("cell"),
-        owner(opens("table"), F.lit(False), in_table).alias("tbl"),
-        F.sum(opens("tr").cast("int")).over(in_table).alias("tr_seen"),
-        F.sum(opens("td", "th").cast("int")).over(in_table).alias("cell_seen"))
-    return rows.select(
-        "*",
-        F.last(F.when(opens("table"), F.col("tr_seen")), ignorenulls=True).over(in_table).alias("tr_base"),
-        F.last(F.when(opens("tr"), F.col("cell_seen")), ignorenulls=True).over(in_table).alias("cell_base"))
-
-
 def html_facts(pages: DataFrame) -> DataFrame:
-    """Headings, paragraphs, list items, tables, cells, links and images of HTML pages."""
-    t = html_tokens(pages)
-    pos, tag = F.col("pos"), F.col("tag")
-    opening = F.coalesce(~F.col("closing"), F.lit(False))
-    # Containers seen from the outside: the element's own start has already set its owner.
-    in_cell = (F.coalesce(F.col("cell"), F.lit(-1)) >= 0) | (F.col("table_depth") > 1)
-    in_item = (F.coalesce(F.col("li"), F.lit(-1)) >= 0) | (F.col("list_depth") > 1)
-    is_cell = opening & tag.isin("td", "th") & F.col("tbl").isNotNull()
-    row = F.when(is_cell, F.greatest(F.col("tr_seen") - F.col("tr_base") - 1, F.lit(0)))
-    column = F.when(is_cell, F.col("cell_seen") - F.coalesce(F.col("cell_base"), F.lit(0)) - 1)
-    kind = (F.when(opening & tag.isin(HEADING_TAGS) & ~in_item & ~in_cell, "HEADING")
-            .when(opening & (tag == "p") & ~in_item & ~in_cell, "TEXT_BLOCK")
-            .when(opening & (tag == "li") & ~in_cell, "LIST_ITEM")
-            .when(opening & (tag == "table"), "TABLE")
-            .when(is_cell, "TABLE_CELL")
-            .when(opening & (tag == "a"), "LINK")
-            .when(opening & (tag == "img"), "IMAGE"))
-    t = t.select(
-        "doc_id", "pos", "tag", "piece", "p", "h", "a", "li", "cell", "tbl",
-        kind.alias("kind"), row.alias("row"), column.alias("column"),
-        (opening & (tag == "tr")).cast("int").alias("is_tr"),
-        F.greatest(F.col("list_depth") - 1, F.lit(0)).alias("level"),
-        F.when(kind == "LINK", html.attribute(F.col("tok"), "href"))
-        .when(kind == "IMAGE", html.attribute(F.col("tok"), "src")).alias("target"),
-        F.when(kind == "IMAGE", html.attribute(F.col("tok"), "alt")).alias("alt"))
-
-    def item(owner, piece=None, meta=None, rows=None, columns=None):
-        meta_type = "struct<kind:string,tag:string,row:int,column:int,level:int,tbl:int,target:string,alt:string>"
-        as_int = lambda c: (F.lit(None) if c is None else c).cast("int")
-        return F.struct(
-            owner.cast("int").alias("owner"),
-            F.when(F.lit(piece is not None), F.struct(pos.alias("pos"), F.col("piece").alias("piece")))
-            .alias("piece"),
-            (F.lit(None) if meta is None else meta).cast(meta_type).alias("meta"),
-            as_int(rows).alias("rows"), as_int(columns).alias("columns"))
-
-    meta = F.struct("kind", "tag", "row", "column", "level", "tbl", "target", "alt")
-    wanted = F.col("kind").isNotNull() & ~(F.col("kind").isin("LINK", "IMAGE") & F.col("target").isNull())
-    has_text = F.col("piece").isNotNull()
-    items = F.array(
-        item(F.when(wanted, pos), meta=meta),
-        item(F.when(F.col("kind") == "TABLE_CELL", F.col("tbl")), columns=F.col("column") + 1),
-        item(F.when(F.col("is_tr") == 1, F.col("tbl")), rows=F.lit(1)),
-        *[item(F.when(has_text & (F.col(o) >= 0), F.col(o)), piece=True)
-          for o in ("p", "h", "a", "li", "cell")])
-    items = F.filter(items, lambda i: i["owner"].isNotNull())
-    grouped = (
-        t.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*")
-        .groupBy("doc_id", "owner").agg(
-            F.max("meta").alias("m"), F.sum("rows").alias("rows"), F.max("columns").alias("columns"),
-            F.sort_array(F.collect_list("piece")).alias("pieces"))
-        .filter(F.col("m").isNotNull()))
-    # Items and cells join their text runs by a space, the rest is plain text content.
-    runs = F.transform("pieces", lambda x: x["piece"])
-    text = (F.when(F.col("m.kind").isin("LIST_ITEM", "TABLE_CELL"), collapse_ws(F.array_join(runs, " ")))
-            .when(F.col("m.kind").isin("HEADING", "TEXT_BLOCK", "LINK"), collapse_ws(F.array_join(runs, "")))
+    """Headings, paragraphs, list items, tables, cells, links and images of ``pages(doc_id, html)``.
+
+    The element tree gives every text the elements it belongs to; what an element says is put
+    together by one grouping.
+    """
+    tokens, nodes = page_nodes(F.col("html"))
+    rows = pages.select("doc_id", tokens.alias("tokens"), nodes.alias("nodes"))
+    named = F.transform("nodes", lambda n: F.struct(n.alias("n"), F.element_at("tokens", n["tok"] + 1).alias("token")))
+    rows = rows.select("doc_id", F.explode(named).alias("x")).select("doc_id", "x.n.*", "x.token")
+    tag, token = F.col("tag"), F.col("token")
+    kind = (F.when(tag.isin(HEADING_TAGS) & (F.col("inside") == 0), "HEADING")
+            .when((tag == "p") & (F.col("inside") == 0), "TEXT_BLOCK")
+            .when((tag == "li") & (F.col("inside") < 2), "LIST_ITEM")
+            .when(tag == "table", "TABLE").when(tag.isin("td", "th"), "TABLE_CELL")
+            .when(tag == "a", "LINK").when(tag == "img", "IMAGE"))
+    rows = rows.withColumn("kind", kind)
+    target = (F.when(F.col("kind") == "LINK", html.attribute(token, "href")).when(F.col("kind") == "IMAGE", html.attribute(token, "src")))
+    rows = rows.withColumn("target", target).filter(tag.isNull() | (F.col("kind").isNotNull() & (~F.col("kind").isin("LINK", "IMAGE") | F.col("target").isNotNull())))
+    alt = F.when(F.col("kind") == "IMAGE", html.attribute(token, "alt"))
+    meta = F.when(tag.isNotNull(), F.struct("kind", "tag", "tok", F.col("row"), F.col("col").alias("column"), "level", "tbl", F.col("n_rows").alias("rows"),
+                                            F.col("n_cols").alias("columns"), "target", alt.alias("alt")))
+    script = token.rlike(r"(?is)^<(script|style)\b")
+    piece = F.when(script, F.regexp_extract(token, r"(?is)^<[a-z]+[^>]*>(.*)</", 1)).otherwise(html.decode_entities(token))
+    said = F.when(tag.isNull(), F.struct(F.col("id").alias("run"), F.col("tok").alias("at"), piece.alias("piece")))
+    owners = F.when(tag.isNull(), F.col("owners")).otherwise(F.array("id"))
+    rows = rows.select("doc_id", owners.alias("owners"), meta.alias("meta"), said.alias("said"))
+    grouped = (rows.select("doc_id", F.explode("owners").alias("owner"), "meta", "said")
+               .groupBy("doc_id", "owner").agg(F.max("meta").alias("m"), F.sort_array(F.collect_list("said")).alias("said"))
+               .filter(F.col("m").isNotNull()))
+    # Items and cells join their texts by a space, the rest is plain text content.
+    whole = F.array_join(F.transform("said", lambda x: x["piece"]), "")
+    apart = F.array_join(F.transform("said", lambda x, i: F.when(
+        (i > 0) & (x["run"] != F.element_at("said", F.greatest(i, F.lit(1)))["run"]), F.concat(F.lit(" "), x["piece"])).otherwise(x["piece"])), "")
+    text = (F.when(F.col("m.kind").isin("LIST_ITEM", "TABLE_CELL"), collapse_ws(apart))
+            .when(F.col("m.kind").isin("HEADING", "TEXT_BLOCK", "LINK"), collapse_ws(whole))
             .when(F.col("m.kind") == "IMAGE", F.col("m.alt")))
-    facts = grouped.select("doc_id", "owner", "rows", "columns", "m.*", text.alias("text"))
+    facts = grouped.select("doc_id", "owner", "m.*", text.alias("text"))
     facts = facts.filter((F.col("text") != "") | ~F.col("kind").isin("HEADING", "TEXT_BLOCK", "LIST_ITEM"))
     # Cells follow their table at once; links inside them keep their own place.
     place = [F.when(F.col("kind") == "TABLE_CELL", F.col("tbl")).otherwise(F.col("owner")),
@@ -201,6 +123,6 @@ def html_facts(pages: DataFrame) -> DataFrame:
         .when(F.col("kind") == "LINK", F.create_map(F.lit("target"), F.col("target")))
         .when(F.col("kind") == "IMAGE", F.create_map(F.lit("source"), F.col("target"))))
     rows = facts.select("doc_id", fact_id.alias("fact_id"), "kind", "text", "ord",
-                        F.concat(F.lit("html/"), F.col("tag"), F.lit("["), F.col("owner"), F.lit("]"))
+                        F.concat(F.lit("html/"), F.col("tag"), F.lit("["), F.col("tok"), F.lit("]"))
                         .alias("location"), attributes.alias("attributes"))
     return source_rows(rows, "SOURCE_EXACT", F.col("attributes"))
