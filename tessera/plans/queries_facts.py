@@ -6,7 +6,9 @@ from ..functions import text as tx
 from ..functions import url
 from ..operators import match
 from ..operators.facts import page_text_facts, txt_facts
+from ..sources.ooxml import ooxml_parts, source_status
 from . import dims, views
+from . import packages as pk
 from .oracle import collapse, lit, norm, query, tokens, unix, uri
 from .registry import register
 
@@ -127,11 +129,16 @@ FROM (SELECT f.relative_path, CASE WHEN lower(regexp_extract(f.relative_path, '\
           THEN 'NOT_EVALUATED_SOURCE_UNSUPPORTED' WHEN size_bytes < 200 AND ends_with(lower(f.relative_path), 'x') THEN 'NOT_EVALUATED_SOURCE_INVALID' ELSE 'EVALUATED' END AS source_status,
         CASE WHEN starts_with(f.relative_path, 'web/') THEN 'NOT_EVALUATED_OUTPUT_UNSUPPORTED' ELSE 'EVALUATED' END AS markdown_status FROM files f)"""))
 def q_evaluation_status(spark, sf_dir):
-    """Unsupported formats stay in the result; tiny OOXML files stand in for unreadable packages."""
+    """Unsupported formats stay in the result; office files are opened, and those cut short are invalid."""
     f = views.files(spark, sf_dir)
-    staged = f.select(
+    office = views.named_documents(spark, sf_dir).filter(F.lower("relative_path").rlike("(?:docx|xlsx|pptx)$"))
+    texts = office.select(F.col("relative_path").alias("path"), "text", (F.octet_length("text") < 200).alias("cut"))
+    made = pk.packages(texts.repartition("path"), pk.word_package).join(texts.select("path", "cut"), "path")
+    content = F.when(F.col("cut"), F.expr("substring(content, 1, cast(length(content) / 2 as int))")).otherwise(F.col("content"))
+    opened = source_status(ooxml_parts(made.select("path", content.alias("content")))).select(F.col("path").alias("relative_path"), (F.col("status") == "EVALUATED").alias("opened"))
+    staged = f.join(opened, "relative_path", "left").select(
         "relative_path", F.lower(F.regexp_extract("relative_path", r"\.([^./]*)$", 1)).alias("extension"),
-        F.expr("size_bytes >= 200 OR NOT lower(relative_path) LIKE '%x'").alias("readable"),
+        F.coalesce("opened", F.lit(True)).alias("readable"),
         F.when(F.col("relative_path").startswith("web/"), "html").otherwise("md").alias("output_extension"))
     return evaluation_status(staged)
 

@@ -67,17 +67,22 @@ def pick(values: list[str], index: Column) -> Column:
 
 
 @view
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inventory rows of all documents and pages under known extensions and odd names."""
+def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(relative_path, text)``: all documents under known extensions and odd names."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id")
     folder = (F.when(n % 41 == 40, F.lit("_converted/")).when(n % 43 == 42, F.lit("../"))
               .otherwise(F.concat(F.col("source"), F.lit("/"))))
     name = F.concat(F.when(n % 37 == 36, F.lit("~$d")).when(n % 5 == 4, F.lit("D")).otherwise(F.lit("d")),
                     F.floor(n / len(EXTENSIONS)))
-    docs = d.select(F.concat(folder, name, pick(EXTENSIONS, n % len(EXTENSIONS))).alias("relative_path"),
-                    F.octet_length("text").cast("bigint").alias("size_bytes"),
-                    F.sha2(F.encode("text", "UTF-8"), 256).alias("content_sha256"))
+    return d.select(F.concat(folder, name, pick(EXTENSIONS, n % len(EXTENSIONS))).alias("relative_path"), "text")
+
+
+@view
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inventory rows of all documents and pages."""
+    docs = named_documents(spark, sf_dir).select("relative_path", F.octet_length("text").cast("bigint").alias("size_bytes"),
+                                                 F.sha2(F.encode("text", "UTF-8"), 256).alias("content_sha256"))
     p = table(spark, sf_dir, "pages")
     k = F.col("page_id")
     pages = p.select(F.concat(F.lit("web/p"), k, pick([".html", ".htm", ".HTML"], k % 3)).alias("relative_path"),
