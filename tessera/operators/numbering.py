@@ -43,3 +43,18 @@ def number_rows(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return (placed.withColumn("_part", part).join(offsets, "_part")
             .withColumn(name, (F.col("_before") + local + 1).cast("bigint"))
             .drop("_place", "_part", "_before"))
+
+
+def running_total(df: DataFrame, order: list[Column], weight: str, name: str) -> DataFrame:
+    """Sum of ``weight`` up to and with each row in a total order.
+
+    Rows are range-partitioned and sorted as in ``number_rows``; each range adds the total of the ranges
+    before it (one row per partition).
+    """
+    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_place", 33))
+    sums = placed.groupBy("_part").agg(F.sum(weight).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sums.select("_part", before.alias("_before")))
+    local = F.sum(weight).over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
+    return placed.withColumn("_local", local).join(offsets, "_part").withColumn(name, F.col("_before") + F.col("_local")).drop("_place", "_part", "_before", "_local")

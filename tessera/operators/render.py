@@ -135,14 +135,14 @@ def _alpha(n: Column) -> Column:
     return F.when(n <= 26, letter).otherwise(F.concat(F.char(F.lit(96) + F.floor((n - 1) / 26)), letter))
 
 
-def list_marker(index: Column) -> Column:
-    """Marker of the item at 0-based ``index`` of its list, with the trailing space."""
-    n = F.col("start") + index
-    kind = F.col("marker")
+def list_marker(item: Column, index: Column) -> Column:
+    """Marker of an item at 0-based ``index`` of its list, with the trailing space."""
+    n = item["start"] + index
+    kind = item["marker"]
     ordinal = (F.when(kind == "lower_alpha", _alpha(n)).when(kind == "upper_alpha", F.upper(_alpha(n)))
                .when(kind == "lower_roman", _roman(n)).when(kind == "upper_roman", F.upper(_roman(n)))
                .otherwise(n.cast("string")))
-    return (F.when(F.col("label").isNotNull(), F.concat(tx.trim_ws(F.col("label")), F.lit(" ")))
+    return (F.when(item["label"].isNotNull(), F.concat(tx.trim_ws(item["label"]), F.lit(" ")))
             .when(kind == "bullet", F.lit("* ")).otherwise(F.concat(ordinal, F.lit(". "))))
 
 
@@ -152,40 +152,45 @@ def _indented(paragraph: Column, first: Column, rest: Column) -> Column:
         F.when(i == 0, first).when(t == "", F.lit("")).otherwise(rest), t, F.lit("\n"))), "")
 
 
+OPEN = "struct<index:int,width:int>"
+
+
+def _item_text(item: Column, indent: Column, mark: Column) -> Column:
+    outer = F.repeat(F.lit(" "), indent)
+    prefix, rest = F.concat(outer, mark), F.concat(outer, F.repeat(F.lit(" "), F.length(mark)))
+    paragraphs = item["paragraphs"]
+    first = F.when((F.size(paragraphs) == 0) | (paragraphs[0] == ""), F.concat(prefix, F.lit("\n"))).otherwise(
+        _indented(paragraphs[0], prefix, rest))
+    more = F.transform(F.slice(paragraphs, 2, F.greatest(F.size(paragraphs), F.lit(1))), lambda p: F.concat(F.lit("\n"), _indented(p, rest, rest)))
+    return F.concat(first, F.array_join(more, ""))
+
+
 def render_lists(items: DataFrame) -> DataFrame:
     """Lists from items in reading order.
 
     ``items(doc_id, list_id, ord, depth, marker, start, label, paragraphs)``; the depth starts at
-    0. An item is indented by the marker widths of its ancestors: at each outer depth, the
-    ancestor is the last item seen there. The plan has one window column per depth that occurs.
+    0. One scan over a list carries the open item of every depth, with its place among its siblings and
+    the width of its marker: an item is indented by the widths of those around it, and a new one at an
+    outer depth closes what is open below. Depths without an open item add nothing. The depth is found
+    while reading, so the plan is the same for every list.
     """
-    deepest = items.agg(F.max("depth")).first()[0] or 0
-    read = W.partitionBy("doc_id", "list_id").orderBy("ord")
-    before = read.rowsBetween(W.unboundedPreceding, 0)
-    # The parent of an item is the last item one level up, so siblings share (parent, depth).
-    rows = items
-    parent = F.lit(-1)
-    for d in range(deepest):
-        last = F.last(F.when(F.col("depth") == d, F.col("ord")), ignorenulls=True).over(before)
-        parent = F.when(F.col("depth") == d + 1, last).otherwise(parent)
-    rows = rows.withColumn("parent", parent)
-    sibling = F.row_number().over(W.partitionBy("doc_id", "list_id", "parent", "depth").orderBy("ord")) - 1
-    rows = rows.withColumn("mark", list_marker(sibling))
-    indent = F.lit(0)
-    for d in range(deepest):
-        width = F.last(F.when(F.col("depth") == d, F.length("mark")), ignorenulls=True).over(before)
-        indent = indent + F.when(F.col("depth") > d, width).otherwise(0)
-    rows = rows.withColumn("outer", F.repeat(F.lit(" "), indent.cast("int")))
-    prefix = F.concat("outer", "mark")
-    rest = F.concat(F.col("outer"), F.repeat(F.lit(" "), F.length("mark")))
-    paragraphs = F.col("paragraphs")
-    first = F.when((F.size(paragraphs) == 0) | (paragraphs[0] == ""), F.concat(prefix, F.lit("\n"))).otherwise(
-        _indented(paragraphs[0], prefix, rest))
-    more = F.array_join(F.transform(
-        F.slice(paragraphs, 2, F.greatest(F.size(paragraphs), F.lit(1))),
-        lambda p: F.concat(F.lit("\n"), _indented(p, rest, rest))), "")
-    rows = rows.withColumn("md", F.concat(first, more))
-    return rows.groupBy("doc_id", "list_id").agg(joined("ord", "md").alias("md"))
+    read = F.sort_array(F.collect_list(F.struct("ord", *[F.col(c).cast("int").alias(c) for c in ("depth", "start")], "marker", "label", "paragraphs")))
+    lists = items.groupBy("doc_id", "list_id").agg(read.alias("items"))
+    none = F.struct(F.lit(-1).alias("index"), F.lit(0).alias("width")).cast(OPEN)
+    around = lambda stack, x: F.slice(stack, 1, x["depth"])
+    index = lambda stack, x: F.when(F.size(stack) > x["depth"], F.try_element_at(stack, x["depth"] + 1)["index"] + 1).otherwise(0)
+
+    def step(stack, x):
+        own = F.array(tx.let(index(stack, x), lambda i: F.struct(i.alias("index"), F.length(list_marker(x, i)).alias("width"))).cast(OPEN))
+        outer = around(stack, x)
+        return F.concat(outer, F.array_repeat(none, x["depth"] - F.size(outer)), own)
+
+    def out(stack, x):
+        indent = F.aggregate(around(stack, x), F.lit(0), lambda n, o: n + o["width"])
+        return tx.let(list_marker(x, index(stack, x)), lambda mark: _item_text(x, indent, mark))
+
+    bodies = tx.scan(F.col("items"), F.array().cast(f"array<{OPEN}>"), step, out, "string")
+    return lists.select("doc_id", "list_id", F.array_join(bodies, "").alias("md"))
 
 
 def table_is_complex(cells: DataFrame) -> DataFrame:

@@ -178,6 +178,18 @@ def test_html_ownership(spark):
     assert rows[4].attributes["level"] == "1" and rows[7].attributes == {"rows": "2", "columns": "2"}
 
 
+def test_exact_median_by_rank(spark):
+    import statistics
+    rng = random.Random(2)
+    groups = {"odd": [rng.uniform(-5, 5) for _ in range(501)], "even": [rng.gauss(0, 1e6) for _ in range(500)], "hot": [0.0] * 900 + [rng.random() for _ in range(100)], "one": [3.5], "two": [1.0, 2.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("none", None), ("odd", None), (None, 7.0)]
+    df = spark.createDataFrame(rows, "plan_id string, delta double").repartition(7)
+    got = {r.plan_id: r.median for r in co.exact_median(df, ["plan_id"], "delta").collect()}
+    assert got == {**{k: 0.5 * a + 0.5 * b for k, vs in groups.items() for a, b in [(statistics.median_low(vs), statistics.median_high(vs))]}, None: 7.0}
+    full = {r.plan_id: r for r in co.paired_delta_summary(df, ["plan_id"]).collect()}
+    assert full["two"].median_delta == 1.5 and full["none"].median_delta is None and full["none"].pairs == 1 and full["hot"].equal == 900
+
+
 def test_corpus_projection_and_comparison(spark):
     plan = spark.createDataFrame([("p", "1", "txt", "s", i) for i in (1, 2)] + [("p", "1", "html", "t", 3)] + [("q", "1", "txt", "s", 9)],
                                  "plan_id string, plan_version string, format string, stratum string, doc_id bigint")
