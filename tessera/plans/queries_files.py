@@ -1,10 +1,14 @@
 """Queries on the inventory: scan, formats, rules, routes, paths, plans, worksheets, reports, evidence."""
+import os
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import inventory as inv
 from ..operators import reports as rp
 from ..operators.render import number_assets
+from ..session import scratch
+from ..sources.files import local_path, scan_folder
 from . import dims, views
 from .oracle import cte, lit, query, strings, values
 from .registry import register
@@ -112,10 +116,28 @@ def q(name, needs, sql):
     return register(name, query(needs, sql))
 
 
-@q("scan_inventory", "files", """SELECT relative_path, size_bytes FROM files
-WHERE NOT starts_with(regexp_extract(relative_path, '([^/]*)$', 1), '~$') AND NOT starts_with(lower(relative_path), '_converted/') AND lower(relative_path) <> 'web/p0.html'""")
+_TREE = "regexp_replace(relative_path, '^[.][.]/', '__/')"
+
+
+def _write_tree(batches):
+    for batch in batches:
+        for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            with open(path, "wb") as f:
+                f.write((text or "").encode())
+        yield batch.select(["path"])
+
+
+@q("scan_inventory", "files", f"""SELECT t AS relative_path, size_bytes, 0::BIGINT AS n_errors FROM (SELECT *, {_TREE} AS t FROM files)
+WHERE NOT starts_with(regexp_extract(t, '([^/]*)$', 1), '~$') AND NOT starts_with(lower(t), '_converted/') AND lower(t) <> 'web/p0.html'""")
 def _(spark, sf_dir):
-    return inv.scan_filter(views.files(spark, sf_dir), "_converted", "web/P0.html").select("relative_path", "size_bytes")
+    """All documents and pages written as a tree of files, then scanned; no page is followed out of the tree."""
+    root = scratch(spark)
+    tree = views.named_files(spark, sf_dir).select(F.concat(F.lit(local_path(root) + "/"), F.expr(_TREE)).alias("path"), "text")
+    tree.mapInArrow(_write_tree, "path string").write.format("noop").mode("overwrite").save()
+    found, errors = scan_folder(spark, root, True, "_converted", "web/P0.html")
+    n = errors.agg(F.count("*").alias("n_errors"), F.lit(1).alias("_one"))
+    return found.withColumn("_one", F.lit(1)).join(F.broadcast(n), "_one").select("relative_path", "size_bytes", "n_errors")
 
 
 @q("detect_format", "detected", "SELECT relative_path, format FROM detected")

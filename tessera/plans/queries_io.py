@@ -64,16 +64,21 @@ def _(spark, sf_dir):
     return back.select("workbook", "sheet", F.col("value").alias("line"))
 
 
-@register("write_report_json", """SELECT doc_id, lang AS format, CASE WHEN n_chars % 3 = 0 THEN 'Failed' ELSE 'Succeeded' END AS status, (SELECT count(*) FROM documents) AS total, (SELECT count(*) FROM documents WHERE n_chars % 3 = 0) AS errors FROM documents""")
+@register("write_report_json", """SELECT doc_id, lang AS source_format, CASE WHEN n_chars % 3 = 0 THEN 'Failed' ELSE 'Succeeded' END AS status, 'primary:' || source || '/' || doc_id AS artifact,
+  (SELECT count(*) FROM documents WHERE n_chars % 3 = 0) AS errors FROM documents""")
 def _(spark, sf_dir):
+    """One nested report of all documents, read back line by line."""
     path = scratch(spark)
-    items = views.table(spark, sf_dir, "documents").selectExpr("doc_id", "lang AS format", "CASE WHEN n_chars % 3 = 0 THEN 'Failed' ELSE 'Succeeded' END AS status")
-    counts = items.agg(F.count("*").alias("total"))
-    sinks.write_report_json(spark.createDataFrame([("batch",)], "report string"), counts, items.filter("status = 'Failed'").select("doc_id"), items, path)
-    head = spark.read.schema("report string, total bigint").json(f"{path}/header")
-    failed = spark.read.schema("doc_id bigint").json(f"{path}/errors").agg(F.count("*").alias("errors"))
-    rows = spark.read.schema("doc_id bigint, format string, status string").json(f"{path}/items")
-    return rows.crossJoin(F.broadcast(head.select("total").crossJoin(F.broadcast(failed))))
+    items = views.table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "lang AS source_format", "CASE WHEN n_chars % 3 = 0 THEN 'Failed' ELSE 'Succeeded' END AS status", "array(named_struct('kind', 'primary', 'relativePath', concat(source, '/', doc_id))) AS artifacts")
+    counts = items.agg(F.count("*").alias("total"), F.count_if(F.col("status") == "Failed").alias("failed"))
+    errors = items.filter("status = 'Failed'").select(F.col("doc_id").cast("string").alias("relative_path"), F.lit("No access to this folder.").alias("message"))
+    sinks.write_report_json(spark.createDataFrame([("1.0",)], "schema_version string"), counts, errors, items, path)
+    rows = sinks.read_report_items(spark, path, "docId bigint, sourceFormat string, status string, artifacts array<struct<kind:string,relativePath:string>>")
+    failed = sinks.read_report_items(spark, path, "message string").agg(F.count("*").alias("errors"), F.lit(1).alias("_one"))
+    joined = rows.withColumn("_one", F.lit(1)).join(F.broadcast(failed), "_one")
+    return joined.select(F.col("docId").alias("doc_id"), F.col("sourceFormat").alias("source_format"), "status",
+                         F.concat_ws(":", F.col("artifacts")[0]["kind"], F.col("artifacts")[0]["relativePath"]).alias("artifact"), "errors")
 
 
 @register("write_run_registry", query("hashed", f"SELECT relative_path, evidence_key FROM ({_EVIDENCE})"))

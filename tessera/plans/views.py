@@ -78,19 +78,20 @@ def named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(folder, name, pick(EXTENSIONS, n % len(EXTENSIONS))).alias("relative_path"), "text")
 
 
+@view
+def named_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(relative_path, text)`` of all documents and pages."""
+    k = F.col("page_id")
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("web/p"), k, pick([".html", ".htm", ".HTML"], k % 3)).alias("relative_path"), F.col("html").alias("text"))
+    return named_documents(spark, sf_dir).unionByName(pages)
+
+
 @view
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inventory rows of all documents and pages."""
-    docs = named_documents(spark, sf_dir).select("relative_path", F.octet_length("text").cast("bigint").alias("size_bytes"),
-                                                 F.sha2(F.encode("text", "UTF-8"), 256).alias("content_sha256"))
-    p = table(spark, sf_dir, "pages")
-    k = F.col("page_id")
-    pages = p.select(F.concat(F.lit("web/p"), k, pick([".html", ".htm", ".HTML"], k % 3)).alias("relative_path"),
-                     F.octet_length("html").cast("bigint").alias("size_bytes"),
-                     F.sha2(F.encode("html", "UTF-8"), 256).alias("content_sha256"))
-    return docs.unionByName(pages).select(
+    return named_files(spark, sf_dir).select(
         F.concat(F.lit(ROOT + "/"), "relative_path").alias("source_path"), "relative_path",
-        "size_bytes", "content_sha256")
+        F.octet_length("text").cast("bigint").alias("size_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("content_sha256"))
 
 
 @view

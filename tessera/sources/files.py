@@ -1,8 +1,13 @@
 """Readers: file inventory, strict text, run results, lab logs, manifests, quality profiles."""
+import os
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.inventory import scan_filter
+from ..session import scratch
 
 
 def _relative(root: str):
@@ -18,6 +23,83 @@ def scan_inventory(spark: SparkSession, root: str, recursive: bool = True, exclu
     return scan_filter(rows, excluded_directory, excluded_file, recursive)
 
 
+LISTED = "kind string, path string, size_bytes bigint, message string"
+ENTRIES = 8192
+# What a scan says about a root or folder it can't use.
+MISSING, LINKED, DENIED = "Selected folder does not exist.", "Selected folder is a reparse point.", "No access to this folder."
+
+
+def local_path(path: str) -> str:
+    return re.sub("^file:/*", "/", path)
+
+
+def _entries(folder: str, is_root: bool):
+    """Files, folders and errors of one folder; links are neither followed nor listed."""
+    if is_root and os.path.islink(folder):
+        yield "error", folder, None, LINKED
+        return
+    try:
+        with os.scandir(folder) as found:
+            for e in found:
+                if e.is_symlink():
+                    continue
+                if e.is_dir(follow_symlinks=False):
+                    yield "folder", e.path, None, None
+                elif e.is_file(follow_symlinks=False):
+                    yield "file", e.path, e.stat(follow_symlinks=False).st_size, None
+    except OSError as e:
+        gone = is_root and isinstance(e, (FileNotFoundError, NotADirectoryError))
+        yield "error", folder, None, MISSING if gone else DENIED
+
+
+def _lister(is_root: bool):
+    names = [c.split(" ")[0] for c in LISTED.split(", ")]
+
+    def batch(rows):
+        columns = list(zip(*rows)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string()))], names=names)
+
+    def run(batches):
+        rows = []
+        for folders in batches:
+            for folder in folders.column(0).to_pylist():
+                for row in _entries(folder, is_root):
+                    rows.append(row)
+                    if len(rows) >= ENTRIES:                  # a folder may hold any number of files
+                        yield batch(rows)
+                        rows = []
+        yield batch(rows)
+    return run
+
+
+def scan_folder(spark: SparkSession, root: str, recursive: bool = True, excluded_directory: str = None,
+                excluded_file: str = None) -> tuple[DataFrame, DataFrame]:
+    """``files(source_path, relative_path, size_bytes)`` below a folder all executors reach, and ``errors(relative_path, message)``.
+
+    One job lists all folders of a level, each folder in a task; what it finds is written, and its
+    folders are the next level. A missing root, a root that is a link and folders that can't be read
+    become error rows, and the rest is still scanned. For stores that only Spark reads, see
+    ``scan_inventory``.
+    """
+    root, out, level = local_path(root).rstrip("/"), scratch(spark), 0
+    frontier = spark.createDataFrame([(root,)], "path string")
+    relative = F.expr(f"substring(path, {len(root) + 2})")
+    while True:
+        frontier.repartition("path").mapInArrow(_lister(level == 0), LISTED).write.parquet(f"{out}/level={level}")
+        if not recursive:
+            break
+        found = spark.read.schema(LISTED).parquet(f"{out}/level={level}").filter("kind = 'folder'")
+        if excluded_directory:
+            found = found.filter(F.lower(relative) != excluded_directory.lower().strip("/"))
+        frontier, level = found.select("path"), level + 1
+        if frontier.isEmpty():
+            break
+    rows = spark.read.schema(LISTED + ", level int").parquet(out)
+    files = rows.filter("kind = 'file'").select(F.col("path").alias("source_path"), relative.alias("relative_path"), "size_bytes")
+    errors = rows.filter("kind = 'error'").select(relative.alias("relative_path"), "message")
+    return scan_filter(files, excluded_directory, excluded_file, recursive), errors
+
+
 def read_content(spark: SparkSession, root: str, max_bytes: int = 512 << 20) -> DataFrame:
     """``(path, content, error_code)`` of all files; a larger one is not opened and says resource_limit."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)

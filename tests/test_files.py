@@ -168,11 +168,63 @@ def test_sinks(spark, tmp_path):
     runs = spark.createDataFrame([("k1",), ("k2",)], "evidence_key string")
     sinks.append_run_registry(runs, spark.createDataFrame([("k1",)], "evidence_key string"), str(tmp_path / "reg"))
     assert [r.evidence_key for r in spark.read.parquet(str(tmp_path / "reg")).collect()] == ["k2"]
+
+
+def report_of(path):
+    return json.loads("".join(p.read_text() for p in sorted(path.glob("part-*"))))
+
+
+def test_one_published_report(spark, tmp_path):
+    header = spark.createDataFrame([("1.0", None)], "schema_version string, product_name string")
+    counts = spark.createDataFrame([(3, 1)], "total int, not_processed int")
+    errors = spark.createDataFrame([("z", "no access"), ("a", 'say "x"')], "relative_path string, message string")
+    items = spark.createDataFrame([(f"f{i:04}", "Failed" if i % 2 else "Succeeded", [("primary", f"o{i}", None)]) for i in range(2000)],
+                                  "source_relative_path string, status string, artifacts array<struct<kind:string,relativePath:string,sha256:string>>").repartition(7)
+    path = tmp_path / "report"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_report_json(header, counts, errors, items, str(path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = report_of(path)
+    assert len(list(path.glob("part-*"))) > 1 and list(got) == ["schemaVersion", "counts", "scanErrors", "items"] and got["counts"] == {"total": 3, "notProcessed": 1}
+    assert got["scanErrors"] == [{"relativePath": "a", "message": 'say "x"'}, {"relativePath": "z", "message": "no access"}]
+    assert [i["sourceRelativePath"] for i in got["items"]] == [f"f{i:04}" for i in range(2000)] and got["items"][3] == {
+        "sourceRelativePath": "f0003", "status": "Failed", "artifacts": [{"kind": "primary", "relativePath": "o3"}]}
+    with pytest.raises(FileExistsError):
+        sinks.write_report_json(header, counts, errors, items, str(path))
+    assert report_of(path) == got
+
+
+def test_failing_report_leaves_nothing_and_blocks_nothing(spark, tmp_path):
     one = spark.createDataFrame([(1,)], "n int")
-    sinks.write_report_json(one.withColumnRenamed("n", "h"), one, one, one, str(tmp_path / "report"))
-    assert spark.read.json(str(tmp_path / "report/header")).first().asDict() == {"h": 1, "n": 1}
-    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
-        sinks.write_report_json(one.withColumnRenamed("n", "h"), one, one, one, str(tmp_path / "report"))
+    broken = one.select(F.raise_error(F.lit("lost")).cast("string").alias("x"))
+    path = tmp_path / "report"
+    with pytest.raises(Exception, match="lost"):
+        sinks.write_report_json(one, one, one, broken, str(path))
+    assert not list(tmp_path.iterdir())
+    sinks.write_report_json(one.select(), one, one.limit(0), one.limit(0), str(path))
+    assert report_of(path) == {"counts": {"n": 1}, "scanErrors": [], "items": []} and [p.name for p in tmp_path.iterdir()] == ["report"]
+
+
+def test_scan_keeps_errors(spark, tmp_path):
+    root = tmp_path / "in"
+    (root / "a/b/c").mkdir(parents=True)
+    (root / "_converted/x").mkdir(parents=True)
+    for name in ("top.txt", "a/one.docx", "a/b/c/deep.md", "a/~$one.docx", "_converted/x/no.md", "a/b/skip.csv"):
+        (root / name).write_text(name)
+    (root / "link").symlink_to(root / "a")
+    (root / "l.txt").symlink_to(root / "top.txt")
+    (tmp_path / "rootlink").symlink_to(root)
+    rows = lambda found: sorted((r.relative_path, r.size_bytes) for r in found[0].collect())
+    said = lambda found: sorted((r.relative_path, r.message) for r in found[1].collect())
+    found = src.scan_folder(spark, f"file://{root}", True, "_converted", "a/b/SKIP.csv")
+    assert rows(found) == [("a/b/c/deep.md", 13), ("a/one.docx", 10), ("top.txt", 7)] and said(found) == []
+    assert rows(src.scan_folder(spark, str(root), False)) == [("top.txt", 7)]
+    assert said(src.scan_folder(spark, str(tmp_path / "none"))) == [("", src.MISSING)] and said(src.scan_folder(spark, str(tmp_path / "rootlink"))) == [("", src.LINKED)]
+    assert list(src._entries(str(root / "gone"), False)) == [("error", str(root / "gone"), None, src.DENIED)]
+    nothing = rp.batch_verdict(spark.createDataFrame([("Succeeded", "PASS", "PASS")], "status string, source_integrity string, artifact_integrity string"), src.scan_folder(spark, str(tmp_path / "none"))[1])
+    assert (nothing.first().n_errors, nothing.first().final_state) == (1, "COMPLETED_WITH_ISSUES")
 
 
 def test_json_text(spark):
