@@ -139,10 +139,82 @@ def strip_heading_marks(text: Column) -> Column:
     return F.regexp_replace(text, r"(?md)^#+" + WS + "*", "")
 
 
+SHORT = 1 << 20          # cells of the edit table that the JVM's own function fills
+
+
+def banded_distance(a: str, b: str, k: int) -> int:
+    """Edit distance of ``a`` and ``b`` if it is ``k`` or less, else something greater.
+
+    One column of the edit table per character of ``b``, as two bit strings of vertical steps, and of
+    it only the 2k + 1 rows around the diagonal; the window moves down by a row with every column.
+    ``a`` is the longer one, or as long.
+    """
+    m, n, width = len(a), len(b), 2 * k + 1
+    ones, top = (1 << width) - 1, 1 << width - 1
+    where = {}
+    for i, c in enumerate(a):
+        where.setdefault(c, []).append(i)
+    match = {}
+    for c in set(b) & set(where):
+        bits = bytearray(m + 8 >> 3)
+        for i in where[c]:
+            bits[i >> 3] |= 1 << (i & 7)
+        match[c] = int.from_bytes(bits, "little")
+    up, down = ones & ~((1 << k) - 1), 0       # steps of +1 and -1 from a row to the next
+    score = min(k, m)                          # at the window's last row, or the table's
+    for j in range(1, n + 1):
+        first = j - k - 1                      # row of the table, from 0, at bit 0
+        held = match.get(b[j - 1], 0)
+        x = (held >> first if first >= 0 else held << -first) & ones
+        diagonal = ((((x & up) + up) ^ up) | x | down) & ones
+        right = (down | ~(diagonal | up)) & ones
+        left = diagonal & up
+        below = j + k - m                      # rows of the window behind the end of ``a``
+        if below <= 0:
+            score += not diagonal & top
+        else:
+            bit = top >> below
+            score += bool(right & bit) - bool(left & bit)
+        moved = diagonal >> 1
+        up, down = (left | ~(moved | right)) & ones, moved & right
+    return score
+
+
+def edit_distance(a: str, b: str) -> int:
+    """Exact edit distance: the band grows until the distance fits in it."""
+    if len(a) < len(b):
+        a, b = b, a
+    begin = 0
+    while begin < len(b) and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < len(b) - begin and a[len(a) - 1 - end] == b[len(b) - 1 - end]:
+        end += 1
+    a, b = a[begin:len(a) - end], b[begin:len(b) - end]
+    if not b:
+        return len(a)
+    k = max(len(a) - len(b), 32)
+    while True:
+        found = banded_distance(a, b, k)
+        if found <= k or k >= len(a):
+            return found
+        k = min(2 * k, len(a))
+
+
+def edits(want: Column, got: Column) -> Column:
+    """Edit distance of two texts. Only long pairs, whose table the JVM would fill cell by cell, go to Arrow workers."""
+    @F.pandas_udf("bigint")
+    def far(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+    long = F.length(want).cast("bigint") * F.length(got) > SHORT
+    return F.coalesce(F.when(~long, F.levenshtein(want, got).cast("bigint")), far(F.when(long, want), F.when(long, got)))
+
+
 def character_errors(expected: Column, actual: Column) -> dict[str, Column]:
     """Edit-distance figures of an extracted text against its ground truth."""
     want, got = collapse_ws(expected), collapse_ws(strip_heading_marks(actual))
-    errors = F.levenshtein(want, got).cast("bigint")
+    errors = edits(want, got)
     n = F.length(want).cast("bigint")
     cer = F.when(n > 0, errors / n).otherwise(F.lit(0.0))
     recall = F.when(n > 0, (n - errors) / n * 100.0).otherwise(F.lit(0.0))

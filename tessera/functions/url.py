@@ -79,11 +79,21 @@ def _percent_encode(text: Column) -> Column:
     return text
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without dot segments; one that goes above the root stays there."""
+    parts = F.split(path, "/")
+    up = lambda kept: F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), lambda kept, x: (
+        F.when(x == ".", kept).when(x == "..", up(kept)).otherwise(F.concat(kept, F.array(x)))))
+    whole = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.array_join(whole, "/")).otherwise(path)
+
+
 def canonical_uri(value: Column) -> Column:
     """Absolute links in canonical form, everything else trimmed; blank becomes ''.
 
-    Hierarchical links get lower-case scheme and host, no default port and at least '/' as path;
-    dot segments are left as they are.
+    Hierarchical links get lower-case scheme and host, no default port, at least '/' as path and no
+    dot segments.
     """
     v = trim_ws(F.coalesce(value, F.lit("")))
     web = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(.*)$"
@@ -92,7 +102,7 @@ def canonical_uri(value: Column) -> Column:
     host = F.lower(authority)
     for s, port in DEFAULT_PORTS:
         host = F.when(scheme == s, F.regexp_replace(host, f":{port}$", "")).otherwise(host)
-    path = F.when(part(3) == "", F.lit("/")).otherwise(part(3))
+    path = F.when(part(3) == "", F.lit("/")).otherwise(without_dots(part(3)))
     absolute = F.concat(scheme, F.lit("://"), host, _percent_encode(F.concat(path, part(4))))
     opaque = F.concat(F.lower(url_scheme(v)), F.lit(":"),
                       F.regexp_extract(v, r"^[^:]*:(.*)$", 1))

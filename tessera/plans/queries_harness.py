@@ -5,7 +5,8 @@ from ..functions import jsontext
 from ..functions import ooxml as ox
 from ..functions import text as tx
 from ..operators import harness as hs
-from ..streaming.progress import progress_fold, progress_history
+from ..session import scratch
+from ..streaming.progress import progress_fold, progress_history, progress_stream
 from . import views
 from .oracle import decode, lit, rr
 from .registry import register
@@ -152,6 +153,22 @@ def _(spark, sf_dir):
     return progress_fold(events(spark, sf_dir))
 
 
+@register("progress_stream", f"SELECT operation, CASE WHEN bool_or(success) THEN 100 ELSE max(pct) END AS percent FROM ({_EVENTS}) GROUP BY operation")
+def _(spark, sf_dir):
+    """The earlier half of the events through the stream, then the later one after a restart."""
+    path, rows = scratch(spark), events(spark, sf_dir).drop("event_id").withColumn("ts", F.col("ts").cast("timestamp"))
+    half = rows.agg(F.expr("percentile_approx(unix_micros(ts), 0.5)").alias("m"))
+
+    def report(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    for name, wanted in (("earlier", "unix_micros(ts) <= m"), ("later", "unix_micros(ts) > m")):
+        rows.crossJoin(F.broadcast(half)).filter(wanted).drop("m").write.parquet(f"{path}/in/{name}")
+        stream = progress_stream(spark.readStream.schema(rows.schema).parquet(f"{path}/in/*"))
+        stream.writeStream.outputMode("update").foreachBatch(report).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("operation bigint, percent int").parquet(f"{path}/out").groupBy("operation").agg(F.max("percent").alias("percent"))
+
+
 @register("progress_history", f"""SELECT operation, event_id, pct AS percent FROM (SELECT *, max(pct) OVER (PARTITION BY operation ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ({_EVENTS}))
 WHERE pct > coalesce(before, -1)""")
 def _(spark, sf_dir):

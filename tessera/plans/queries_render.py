@@ -27,19 +27,32 @@ _scalar("code_span", "conversations", "conv_id, turn", f"{code_span(_TICKS)} AS
 _scalar("code_fence", "conversations", "conv_id, turn", f"{code_fence(_TICKS, 'role')} AS md", lambda: [tx.code_fence(F.expr(_TICKS_SP), F.col("role")).alias("md")])
 _scalar("anchor_id", "documents", "doc_id", anchor_id("text") + " AS anchor", lambda: [url.anchor_id(T()).alias("anchor")])
 
-_HREF = "['https://example.com/a b?x=(1)', ' mailto:a@b.c', 'javascript:alert(1)', 'jav' || chr(9) || 'ascript:x', '#My Section: 1', 'docs/a.html', 'img/x.SVG?y', 'ftp://h/x', '//cdn/x.png', ''][turn % 10 + 1] || CASE WHEN turn % 10 = 9 THEN '' ELSE '' END"
-_HREF_SP = "element_at(array('https://example.com/a b?x=(1)', ' mailto:a@b.c', 'javascript:alert(1)', concat('jav', char(9), 'ascript:x'), '#My Section: 1', 'docs/a.html', 'img/x.SVG?y', 'ftp://h/x', '//cdn/x.png', ''), CAST(turn % 10 + 1 AS INT))"
-_URL = f"CASE WHEN turn % 3 = 0 THEN text ELSE {_HREF} END"
-_URL_SP = f"CASE WHEN turn % 3 = 0 THEN text ELSE {_HREF_SP} END"
-U = lambda: F.expr(_URL_SP)
+# Real links of the pages, behind beginnings that make them safe or not.
+_STARTS = ["", "https://example.com/a b?x=(", " mailto:a@b.c", "javascript:", "jav\tascript:", "#My Section: ", "docs", "ftp://h", " HTTP://Ex.com", "data:", "//cdn"]
+_ENDS = ["", ".png", ".SVG", ".svg?y", "#x"]
+_LINKS = f"""(SELECT doc_id, n, {strings(_STARTS)}[n % {len(_STARTS)} + 1] || target || {strings(_ENDS)}[n % {len(_ENDS)} + 1] AS link FROM (
+  SELECT doc_id, target, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS n FROM html_s WHERE kind = 'LINK'))"""
+
+
+def links(spark, sf_dir):
+    rows = views.page_links(spark, sf_dir)
+    return rows.select("doc_id", "n", F.concat(views.pick(_STARTS, F.col("n") % len(_STARTS)), "target", views.pick(_ENDS, F.col("n") % len(_ENDS))).alias("link"))
+
+
 _scalar("url_scheme", "pages", "page_id", scheme("url") + " AS scheme", lambda: [url.url_scheme(F.col("url")).alias("scheme")])
-_scalar("safe_link_url", "conversations", "conv_id, turn", f"{safe_link(f'({_URL})')} AS safe, {md_url(safe_link(f'({_URL})'))} AS markdown_url",
-        lambda: [url.safe_link(U()).alias("safe"), url.markdown_link_url(U()).alias("markdown_url")])
-_scalar("safe_image_url", "conversations", "conv_id, turn", f"{safe_image(f'({_URL})')} AS safe, {md_url(safe_image(f'({_URL})'), '')} AS markdown_url",
-        lambda: [url.safe_image(U()).alias("safe"), url.markdown_image_url(U()).alias("markdown_url")])
 _scalar("asset_url_encode", "conversations", "conv_id, turn", "replace(url_encode(role || '*~/' || text), '%2F', '/') AS encoded",
         lambda: [url.asset_url(F.concat("role", F.lit("*~/"), "text")).alias("encoded")])
 
+@register("safe_link_url", query("html_s", f"SELECT doc_id, n, {safe_link('link')} AS safe, {md_url(safe_link('link'))} AS markdown_url FROM {_LINKS}"))
+def _(spark, sf_dir):
+    return links(spark, sf_dir).select("doc_id", "n", url.safe_link(F.col("link")).alias("safe"), url.markdown_link_url(F.col("link")).alias("markdown_url"))
+
+
+@register("safe_image_url", query("html_s", f"SELECT doc_id, n, {safe_image('link')} AS safe, {md_url(safe_image('link'), '')} AS markdown_url FROM {_LINKS}"))
+def _(spark, sf_dir):
+    return links(spark, sf_dir).select("doc_id", "n", url.safe_image(F.col("link")).alias("safe"), url.markdown_image_url(F.col("link")).alias("markdown_url"))
+
+
 # --- inlines: the words of a turn, typed by position -------------------------------------------
 TYPES = ["text", "text", "text", "text", "text", "text", "link", "image", "break", "checkbox", "math", "anchor", "note_ref", "anchor_link"]
 _DOC = _DOC_SP = "conv_id * 1000000"
@@ -104,7 +117,7 @@ cte("block_md", "rblocks", f"""SELECT doc_id, block_id, CASE type
   WHEN 'paragraph' THEN md || chr(10) || chr(10) WHEN 'quote' THEN array_to_string(list_transform({split("md || chr(10)")}, lambda t: '> ' || t || chr(10)), '') || chr(10)
   WHEN 'code' THEN {code_fence('text', 'lang')} || chr(10) || chr(10) WHEN 'rule' THEN '---' || chr(10) || chr(10) ELSE '$$' || chr(10) || {trim_ws('text')} || chr(10) || '$$' || chr(10) || chr(10) END AS md FROM rblocks""")
 cte("notes_md", "", f"""SELECT doc_id, chr(10) || chr(10) || '---' || chr(10) || chr(10) || string_agg('[^' || turn || ']: ' || body || chr(10) || chr(10), '' ORDER BY turn) AS md
-FROM (SELECT {_DOC} AS doc_id, turn, array_to_string(list_transform({split(trim_ws("text || chr(10) || chr(10) || role"))}, lambda t, i: CASE WHEN i = 1 THEN t WHEN trim(t) = '' THEN '' ELSE '    ' || t END), chr(10)) AS body FROM conversations WHERE turn % 5 = 2) GROUP BY doc_id""")
+FROM (SELECT {_DOC} AS doc_id, turn, array_to_string(list_transform({split(trim_ws("text || chr(10) || chr(10) || role"))}, lambda t, i: CASE WHEN i = 1 THEN t WHEN trim(t) = '' THEN '' ELSE '    ' || t END), chr(10)) AS body FROM conversations) GROUP BY doc_id""")
 
 
 def rblocks(spark, sf_dir):
@@ -115,7 +128,7 @@ def rblocks(spark, sf_dir):
 
 
 def rnotes(spark, sf_dir):
-    c = views.table(spark, sf_dir, "conversations").filter("turn % 5 = 2")
+    c = views.table(spark, sf_dir, "conversations")
     return c.select(F.expr(_DOC_SP).alias("doc_id"), F.col("turn").cast("string").alias("note_id"), F.col("turn").alias("ord"),
                     F.concat("text", F.lit("\n\n"), "role").alias("md"))
 

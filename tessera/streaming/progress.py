@@ -3,6 +3,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def progress_fold(events: DataFrame) -> DataFrame:
@@ -15,30 +18,46 @@ def progress_fold(events: DataFrame) -> DataFrame:
         "CASE WHEN bool_or(success) THEN 100 ELSE max(greatest(0, least(pct, 99))) END").alias("percent"))
 
 
-def progress_stream(events: DataFrame, lateness: str = "10 minutes", idle_ms: int = 7 * 86_400_000) -> DataFrame:
-    """Streaming fold in update mode, one state per operation.
+class Fold(StatefulProcessor):
+    """Best percent of one operation, kept until it has been silent for ``idle_ms`` of event time."""
 
-    An operation keeps its percent however long it runs; its state leaves when it has been silent
-    for ``idle_ms`` of event time.
-    """
-    def fold(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        best = state.get[0] if state.exists else 0
-        last = 0
-        for frame in frames:
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle):
+        self.handle = handle
+        self.best = handle.getValueState("best", "percent int")
+
+    def handleInputRows(self, key, rows, timers):
+        best = self.best.get()[0] if self.best.exists() else 0
+        last = timers.getCurrentWatermarkInMs() + 1
+        for frame in rows:
             best = max(best, int(frame["percent"].max()))
             last = max(last, int(frame["last_ms"].max()))
-        state.update((best,))
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs() + 1) + idle_ms)
-        yield pd.DataFrame({"operation": [key[0]], "percent": [best]})
+        self.best.update((best,))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(last + self.idle_ms)
+        yield pd.DataFrame({"operation": [key[0]], "percent": pd.Series([best], dtype="int32")})
+
+    def handleExpiredTimer(self, key, timers, expired):
+        self.best.clear()
+        return iter(())
 
+    def close(self):
+        pass
+
+
+def progress_stream(events: DataFrame, lateness: str = "10 minutes", idle_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Streaming fold in update mode: one state and one timer per operation.
+
+    An operation keeps its percent however long it runs; a restarted query goes on from its checkpoint.
+    """
     seen = events.withWatermark("ts", lateness).withColumn(
         "percent", F.expr("CASE WHEN success THEN 100 ELSE greatest(0, least(pct, 99)) END").cast("int")).withColumn("last_ms", F.unix_millis("ts"))
     kind = events.schema["operation"].dataType.simpleString()
-    return seen.groupBy("operation").applyInPandasWithState(
-        fold, f"operation {kind}, percent int", "percent int", "update", "EventTimeTimeout")
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)     # the only store with timers
+    return seen.groupBy("operation").transformWithStateInPandas(Fold(idle_ms), f"operation {kind}, percent int", "Update", "EventTime")
 
 
 def progress_history(events: DataFrame) -> DataFrame:

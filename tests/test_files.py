@@ -2,6 +2,7 @@
 import io
 import json
 import random
+import time
 import zipfile
 
 import pytest
@@ -370,3 +371,50 @@ def test_traversal_is_found_at_any_depth(spark):
     m = spark.createDataFrame([("r", p, "h", 1) for p in paths], "run_id string, path string, sha256 string, size_bytes long")
     got = {r.path: r.status for r in rp.verify_artifacts(m, m)[0].collect()}
     assert [got[p] for p in paths] == ["INVALID_PATH"] * 3 + ["PASS"] * 2 + ["INVALID_PATH"] * 2 + ["PASS"]
+
+
+def test_edit_distance_against_the_table(spark):
+    from tessera.functions import text as tx
+
+    def table(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(6)
+    for _ in range(1500):
+        a = "".join(rng.choice("abc\u00e9") for _ in range(rng.randint(0, 40)))
+        b = "".join(rng.choice("abc\u00e9") for _ in range(rng.randint(0, 40))) if rng.random() < 0.5 else "".join(c for c in a if rng.random() < 0.8)
+        d = table(a, b)
+        assert tx.edit_distance(a, b) == d
+        long, short = (a, b) if len(a) >= len(b) else (b, a)
+        for k in (1, 2, 5, 13, 40):
+            if short and k >= len(long) - len(short):
+                found = tx.banded_distance(long, short, k)
+                assert found == d if d <= k else found > k, (a, b, k)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(100_000))
+    noisy = "".join(c for c in base if rng.random() > 0.002)
+    began = time.time()
+    assert tx.edit_distance(base, noisy) == len(base) - len(noisy) and time.time() - began < 10
+    rows = [(base[:3000], noisy[:3000]), ("abc", "abd"), ("", "x"), (None, "x")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = [r.d for r in df.select(tx.edits(F.col("a"), F.col("b")).alias("d")).collect()]
+    assert got == [spark.sql("SELECT levenshtein('%s', '%s') d" % rows[0]).first().d, 1, 1, None]
+
+
+def test_canonical_links_have_no_dot_segments(spark):
+    from tessera.functions import url
+    links = {"http://h/a/./b/../c": "http://h/a/c", "HTTP://H/../x/..": "http://h/", "http://h/a/..?q=../x": "http://h/?q=../x", "http://h/a/.": "http://h/a/", "http://h/...": "http://h/...",
+             "https://h/a/b/../../../c/": "https://h/c/", "../x": "../x"}
+    got = spark.createDataFrame([(k,) for k in links], "u string").select("u", url.canonical_uri(F.col("u")).alias("c")).collect()
+    assert {r.u: r.c for r in got} == links
+
+
+def test_stream_restarted_half_way_equals_the_fold(spark):
+    import __spark_entry__ as entry_points
+    sf = "/root/testdata/sf0.001"
+    rows = lambda name: sorted(tuple(r) for r in entry_points.queries()[name](spark, sf).select("operation", "percent").collect())
+    assert rows("progress_stream") == rows("progress_fold")
