@@ -41,7 +41,7 @@ _LAST = r"(?![*_~]+(?:[\s<]|$)|[?!.,:](?:[\s<]|$))"
 URL = rf"{_HEAD}(?:{_LAST}(?:(?!{ENTITY})[^\s<()]|\((?:[^\s<()]|\([^\s<()]*+\))*+\)|\())*+"
 _HOST = r"(?:[\p{L}\p{N}_\-]+\.)*[\p{L}\p{N}\-]+\.[\p{L}\p{N}\-]+(?:[/?#:].*)?$"
 VALID_URL = rf"(?is)^(?:(?:https?|ftp)://{_HOST}|www\.{_HOST}|mailto:[^@\s]+@{_HOST}|tel:.*[0-9])"
-URL_HINT = r"://|[Ww][Ww][Ww]\.|(?i:mailto:|tel:)"
+URL_HINTS = ("://", "www.", "mailto:", "tel:")
 RICH_TOKENS = (rf"(?s){ESCAPE}|{CODE}|{IMAGE}|\[{_INSIDE}\]{TARGET}|{GROUP}|{HTML}|{ENTITY}|(?<![^\s*_~(]){URL}"
                rf"|(?:[^\\`!\[\]<&hfmtw]++|(?!(?<![^\s*_~(]){_HEAD})[hfmtw])++|.")
 
@@ -255,6 +255,19 @@ def rich_items(text: Column, defined: Column) -> Column:
     return F.flatten(tx.scan(read, start, step, out, f"array<{ITEM}>"))
 
 
+def may_hold_link(text: Column) -> Column:
+    """Whether a bare link may be in a text; a search for fixed strings, as nearly all texts have none."""
+    low = F.lower(text)
+    found = low.contains(URL_HINTS[0])
+    for hint in URL_HINTS[1:]:
+        found = found | low.contains(hint)
+    return found
+
+
+def may_define(text: Column) -> Column:
+    return text.contains("]:") & text.rlike(MAY_DEFINE)
+
+
 def rich_text(items: Column) -> Column:
     return _finish(F.array_join(F.transform(F.filter(items, lambda x: x["shown"]), lambda x: x["text"]), ""))
 

@@ -52,9 +52,11 @@ def _real_fences(lines: Column) -> Column:
 
 def markdown_lines(arms: DataFrame) -> DataFrame:
     """Lines of ``arms(doc_id, arm, markdown)``, each marked when it is a real code fence."""
-    lines = F.split(unix_newlines(F.col("markdown")), "\n")
-    rows = arms.select("doc_id", "arm", F.col("markdown").rlike(md.MAY_DEFINE).alias("defines"),
-                       lines.alias("lines"), _real_fences(lines).alias("fences"))
+    text = F.col("markdown")
+    lines = F.split(F.when(text.contains("\r"), unix_newlines(text)).otherwise(text), "\n")
+    fenced = text.contains("```") | text.contains("~~~")
+    rows = arms.select("doc_id", "arm", md.may_define(text).alias("defines"), fenced.alias("fenced"), lines.alias("lines"))
+    rows = rows.select("doc_id", "arm", "defines", "lines", F.when(F.col("fenced"), _real_fences(F.col("lines"))).alias("fences"))
     rows = rows.select("doc_id", "arm", "defines", "fences", F.posexplode("lines").alias("no", "raw"))
     return rows.select("doc_id", "arm", "defines", "no", "raw",
                        F.coalesce(F.array_contains("fences", F.col("no")), F.lit(False)).alias("fence"))
@@ -149,7 +151,7 @@ def _with_definitions(rows: DataFrame, doc) -> DataFrame:
     title = F.coalesce(may & line.rlike(md.TITLE_LINE), F.lit(False)) & F.lag("_untitled", 1, False).over(doc)
     rows = rows.withColumn("_part", F.col("_opens") | title)
     paragraph = line.rlike(NOT_WS) & ~F.col("code") & ~line.rlike(ATX) & ~line.rlike(RULE) & ~line.rlike(UNDERLINE)
-    above = F.last(F.when(~F.col("_part"), paragraph), ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, -1))
+    above = F.last(F.when(F.col("defines") & ~F.col("_part"), paragraph), ignorenulls=True).over(doc.rowsBetween(W.unboundedPreceding, -1))
     after = F.when(F.col("_untitled") & F.lead("_part").over(doc) & ~F.lead("_opens").over(doc), F.lead("line").over(doc))
     rows = rows.withColumn("defined", F.col("_part") & ~F.coalesce(above, F.lit(False)))
     return rows.withColumn("definition", F.when(F.col("defined") & F.col("_opens"), md.definition_of(line, after))).drop("_opens", "_untitled", "_part")
@@ -245,7 +247,7 @@ def markdown_facts(arms: DataFrame) -> DataFrame:
     rows = _with_defined(rows)
     raw = F.coalesce("raw", F.lit(""))
     # References and bare links take the longer scan; everything else the short one.
-    rich = F.col("defined").isNotNull() | raw.rlike(md.URL_HINT)
+    rich = F.col("defined").isNotNull() | md.may_hold_link(raw)
     rows = rows.withColumn("items", F.when(rich, md.rich_items(raw, F.col("defined"))))
     plain = F.transform(md.references(raw), lambda t: F.struct(
         F.when(t.startswith("!"), "IMAGE").otherwise("LINK").alias("kind"), md.label_text(t).alias("text"),

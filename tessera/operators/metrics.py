@@ -51,8 +51,8 @@ def output_counts(output: DataFrame) -> DataFrame:
 
 
 def text_counts(s: DataFrame, o: DataFrame) -> DataFrame:
-    """Token totals and multiset overlaps per ``(doc_id, arm)``."""
-    items = match.compared_items(s, o)
+    """Token totals and multiset overlaps per ``(doc_id, arm)``; the compared items are read three times and computed once."""
+    items = cut_lineage(match.compared_items(s, o))
     sums = items.groupBy("doc_id", "arm").agg(
         F.sum(F.col("n_output") * F.col("size")).alias("out_tokens"),
         F.sum(F.col("matched") * F.col("size")).alias("whole"),
