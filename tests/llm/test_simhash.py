@@ -110,3 +110,33 @@ def test_long_chain(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(n)], "u bigint, v bigint")
     assert {(r.node, r.root) for r in components(chain).collect()} == {(i, 0) for i in range(1, n + 1)}
     assert np.bitwise_count(np.uint64(7)) == 3
+
+
+def test_recall_of_near_copies_on_the_given_table(spark):
+    """Pairs of different sets with a five-word Jaccard of 0.8 or more, found over an inverted index of all shingles."""
+    from collections import Counter, defaultdict
+    from itertools import combinations
+
+    from pyspark.sql import functions as F
+
+    docs = tune(spark).read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    sets = {}
+    for r in docs.collect():
+        sets.setdefault(frozenset(simhash.shingle_hashes(r.text or "").tolist()), r.doc_id)
+    ids = {i: s for s, i in sets.items() if s}
+    holders = defaultdict(list)
+    for i, s in ids.items():
+        for h in s:
+            holders[h].append(i)
+    shared = Counter()
+    for own in holders.values():
+        if 1 < len(own) <= 40:                      # a shingle that more texts hold adds no candidate of its own
+            shared.update(combinations(sorted(own), 2))
+    near = [(a, b) for a, b in shared if len(ids[a] & ids[b]) * 10 >= len(ids[a] | ids[b]) * 8]
+    kept = docs.filter(F.col("doc_id").isin(sorted({i for p in near for i in p})))
+    named = kept.withColumns({"_near_id": F.col("doc_id"), "_near_sig": F.xxhash64("text"), "_near_text": F.col("text")})
+    prints = simhash.keep(named.select("_near_id", "_near_sig", simhash.sketch(F.col("text")).alias("s")).select("_near_id", "_near_sig", "s.fp", "s.bands"))
+    group = {r._near_id: r.group for r in prints.join(simhash.similar_groups(named, prints), "fp").collect()}
+    found = sum(group[a] == group[b] for a, b in near)
+    print("near pairs", len(near), "joined", found)
+    assert len(near) >= 20 and found >= 0.9 * len(near)
