@@ -2,24 +2,23 @@
 
 A byte goes if it lies in a string of ``LENGTH`` bytes that also starts somewhere else (or, to keep
 the first copy, that starts at an earlier place). A string's longest previous factor reaches LENGTH
-exactly if the nearest smaller place before or after it in suffix order shares its first LENGTH
-bytes. Only suffixes that can matter are put in order:
+exactly if the places of its first LENGTH bytes have a smaller one among them, so places are put in
+classes by these bytes, and the least place of a class answers for all. Strings are not taken one by one:
 
-1. Every string of LENGTH bytes holds an anchor: the place whose GRAM-byte hash is least in the
-   string. Equal strings hold equal anchors, about one place in 85.
-2. An anchor's context is all bytes that strings around it can cover. Contexts that occur twice are
+1. Every string of LENGTH bytes has one anchor: the first place whose GRAM-byte hash is least in the
+   string. Equal strings have equal anchors, and an anchor's strings begin ``lo`` to ``hi`` bytes before it.
+2. An anchor's context is all bytes that its own strings cover. Contexts that occur twice are
    matches as a whole. An anchor hash with several contexts needs a closer look at one of each.
-3. Those contexts meet by anchor hash; the suffixes in them are ordered by a 128-bit hash of their
-   first LENGTH bytes, which is all of the order that the question needs, and previous and next
-   smaller places are read off.
+3. The strings of such a context are compared by ranges of beginnings. Strings of a range share their
+   common bytes; a range whose common bytes no other context has is left, one whose bytes another
+   context has altogether is a match as a whole, any other one is halved, down to single strings.
 
-Anchors with very many occurrences are counted by partial aggregation, and those with very many
-contexts are split by the halves that a match must share; halves that are still too many are compared by
-halving ranges of beginnings and counting hashes of the bytes that a range shares. No group is ever
-gathered in one task.
+Rows meet only in counts and least places by hash, aggregated before the shuffle, whatever the size of
+a group: there is one path for all sizes, and no group is ever gathered in one task.
 
 Null texts count as empty; texts shorter than LENGTH lose nothing. Rows of equal key and text are
-one copy when the first is kept. Extra columns are carried along.
+one copy when the first is kept. Extra columns are carried along; columns named ``_id``, ``_sig``,
+``_text``, ``_spans`` or ``_cut`` are replaced. Hashes have 128 bits.
 """
 import numpy as np
 import pyarrow as pa
@@ -33,8 +32,6 @@ LENGTH, GRAM = 200, 32
 LEFT = LENGTH - GRAM                # bytes before an anchor that strings around it reach
 SPAN = LENGTH - GRAM + 1            # places in a string where its anchor may be
 BLOCK = 1 << 20                     # bytes of a text worked on at once
-HOT, CONTEXTS = 16384, 4096        # occurrences, contexts of one anchor hash that a task takes
-BUFFER = 1 << 18                    # bytes of contexts put in order at once
 NONE = -(1 << 63)                   # stands for a null key
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)      # odd multipliers of the byte hashes
@@ -67,257 +64,111 @@ def sliding(a: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(a[:len(a) - (width - n)], a[width - n:]) if width > n else a
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places that are least in some string of LENGTH bytes, and their hashes."""
-    size, at, hashes = len(data), [], []
-    if size < LENGTH:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for start in range(0, size - GRAM + 1, BLOCK):
-        first, stop = max(0, start - SPAN + 1), min(size, start + BLOCK + LENGTH)
-        part = data[first:stop]
-        if len(part) < LENGTH:
-            part, first = data[size - LENGTH:], size - LENGTH
-        h = gram_hashes(part)
+def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of all strings of LENGTH bytes: places, hashes, and how far before them strings begin, least and most."""
+    strings, found = len(data) - LENGTH + 1, []
+    for start in range(0, strings, BLOCK):
+        count = min(BLOCK, strings - start)
+        h = gram_hashes(data[start:start + count - 1 + LENGTH])
+        least = sliding(h, SPAN, np.minimum)
         edge = np.zeros(SPAN - 1, np.uint64)
-        top = sliding(np.concatenate((edge, sliding(h, SPAN, np.minimum), edge)), SPAN, np.maximum)
-        own = np.nonzero(top == h)[0]
-        own = own[(own + first >= start) & (own + first < start + BLOCK)]
-        at.append(own + first)
-        hashes.append(h[own].view(np.int64))
-    return np.concatenate(at), np.concatenate(hashes)
+        places = np.nonzero(sliding(np.concatenate((edge, least, edge)), SPAN, np.maximum) == h)[0]
+        pick = np.searchsorted(places, np.arange(count))           # a string's anchor: its first place with the least hash
+        todo = np.nonzero(h[places[pick]] != least)[0]
+        while len(todo):
+            pick[todo] += 1
+            todo = todo[h[places[pick[todo]]] != least[todo]]
+        first = np.nonzero(np.concatenate(([True], pick[1:] != pick[:-1])))[0]
+        last = np.append(first[1:], count) - 1
+        p = places[pick[first]]
+        found.append(np.stack((p + start, h[p].view(np.int64), p - last, p - first)))
+    at, h, lo, hi = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+    first = np.nonzero(np.concatenate(([True], at[1:] != at[:-1])))[0] if len(at) else np.zeros(0, np.int64)   # blocks share anchors
+    last = np.append(first[1:], len(at)) - 1 if len(at) else first
+    return at[first], h[first], lo[last], hi[first]
 
 
-ANCHORS = "_id bigint, _sig bigint, at bigint, second bigint, last bigint, n bigint, h bigint, context bigint"
+RUN = ["at", "second", "last", "n", "h", "context", "lo", "hi"]
 
 
 def anchor_runs(data: bytes) -> list[np.ndarray]:
-    """Anchors of a text as columns at, second, last, n, h and context.
+    """Anchors of a text as the columns RUN.
 
     Anchors of one context that lie no further apart than LENGTH are one run, as in texts that
     repeat themselves; the contexts of a run cover its bytes without a gap.
     """
     from xxhash import xxh3_64_intdigest
-    at, h = anchors(np.frombuffer(data, np.uint8))
-    context = np.array([xxh3_64_intdigest(data[max(0, p - LEFT):p + LENGTH], min(p, LEFT)) for p in at.tolist()], np.uint64).view(np.int64)
+    at, h, lo, hi = anchors(np.frombuffer(data, np.uint8))
+    context = np.array([xxh3_64_intdigest(data[p - b:p - a + LENGTH], b) for p, a, b in zip(at.tolist(), lo.tolist(), hi.tolist())], np.uint64).view(np.int64)
     order = np.lexsort((at, context, h))
-    at, h, context = at[order], h[order], context[order]
+    at, h, context, lo, hi = (x[order] for x in (at, h, context, lo, hi))
     new = np.ones(len(at), bool)
     new[1:] = (h[1:] != h[:-1]) | (context[1:] != context[:-1]) | (np.diff(at) > LENGTH)
     first = np.nonzero(new)[0]
     last = np.append(first[1:], len(at)) - 1 if len(at) else first
-    return [at[first], at[np.minimum(first + 1, last)], at[last], last - first + 1, h[first], context[first]]
+    return [at[first], at[np.minimum(first + 1, last)], at[last], last - first + 1, h[first], context[first], lo[first], hi[first]]
 
 
 def _anchor_rows(batches):
     for batch in batches:
         runs = [anchor_runs(text.encode()) for text in batch.column(2).to_pylist()]
         which = pa.array(np.repeat(np.arange(len(runs)), [len(r[0]) for r in runs]))
-        columns = [pa.array(np.concatenate([r[k] for r in runs]) if runs else [], pa.int64()) for k in range(6)]
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names=["_id", "_sig", "at", "second", "last", "n", "h", "context"])
+        columns = [pa.array(np.concatenate([r[k] for r in runs]) if runs else [], pa.int64()) for k in range(len(RUN))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(which), batch.column(1).take(which), *columns], names=["_id", "_sig", *RUN])
+
 
+# Strings in contexts -----------------------------------------------------------------------------
 
-# Groups of one anchor hash -----------------------------------------------------------------------
+CELLS = [(0, LEFT // 2), (LEFT // 2 + 1, LEFT)]        # ranges of beginnings to start from
 
-def by_group(batches, keys: list[str], rows: int):
-    """Tables of whole groups, from batches sorted by the integer ``keys``."""
-    held, n = [], 0
+
+def _context_rows(batches):
+    """Bytes that strings of an anchor cover, for each range of CELLS with such strings."""
+    names = ["_id", "_sig", "h", "at", "lo", "hi", "before", "bytes"]
     for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n < rows:
-            continue
-        table = pa.Table.from_batches(held)
-        key = np.stack([table.column(k).to_numpy() for k in keys], 1)
-        change = np.nonzero((key[1:] != key[:-1]).any(axis=1))[0]
-        if len(change):
-            yield table.slice(0, int(change[-1]) + 1)
-            table = table.slice(int(change[-1]) + 1)
-        held, n = table.to_batches(), table.num_rows
-    if n:
-        yield pa.Table.from_batches(held)
-
-
-def _compare_contexts(first_stays: bool):
-    """From runs sorted by hash, context and place: matched spans, and one run of each context to look at."""
-    def run(batches):
-        for t in by_group(batches, ["h"], 1 << 14):
-            if first_stays:                        # rows of equal key and text are one copy
-                key = np.stack([t.column(c).to_numpy() for c in ("h", "context", "_id", "_sig", "at")], 1)
-                t = t.filter(pa.array(np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))))
-            h, context, n = (t.column(c).to_numpy() for c in ("h", "context", "n"))
-            new_h = np.concatenate(([True], h[1:] != h[:-1]))
-            new_c = new_h | np.concatenate(([True], context[1:] != context[:-1]))
-            run_of, group_of = np.cumsum(new_c) - 1, np.cumsum(new_h) - 1
-            copies = np.bincount(run_of, n)[run_of]
-            kinds = np.bincount(group_of[new_c])[group_of]
-            begin = t.column("at").to_numpy()
-            if first_stays:                        # of the first run, the anchors after its first
-                begin = np.where(new_c, t.column("second").to_numpy(), begin)
-            matched = (copies > 1) & ~(new_c & (n == 1) if first_stays else False)
-            look = new_c & (kinds > 1)
-            for what, rows in ((0, np.nonzero(matched)[0]), (1, np.nonzero(look)[0])):
-                part = t.take(pa.array(rows))
-                more = {"kinds": kinds[rows], "start": np.maximum(begin[rows] - LEFT, 0), "end": part.column("last").to_numpy() + LENGTH, "what": np.full(len(rows), what)}
-                for k, v in more.items():
-                    part = part.append_column(k, pa.array(v, pa.int64()))
-                yield from part.select(COMPARED).to_batches()
-    return run
-
-
-COMPARED = ["_id", "_sig", "at", "h", "kinds", "start", "end", "what"]
-
-
-# Suffixes in contexts ----------------------------------------------------------------------------
-
-def _table(seed: int) -> tuple[np.ndarray, int, int]:
-    values = np.random.default_rng(seed).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = 0x9E3779B97F4A7C15 ^ (seed * 0x51ED270B) | 1
-    return values, base, pow(base, -1, 1 << 64)
-
-
-TABLES = [_table(1), _table(2)]
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def window_hashes(data: np.ndarray, places: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of the LENGTH bytes from each of ``places`` on."""
-    values, base, inverse = TABLES[seed]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values[data] * _powers(base, len(data)))))
-    h = (total[places + LENGTH] - total[places]) * _powers(inverse, len(data) + 1)[places]
-    h ^= h >> np.uint64(32)
-    return h * _A
-
-
-def earlier_and_later(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the same LENGTH bytes also start at a smaller, at a larger place.
-
-    In the order by first LENGTH bytes, then place, the previous smaller place of a suffix is found
-    next to it; the factor it gives is long enough if the keys agree.
-    """
-    order = np.lexsort((places, *keys))
-    same = np.all([k[order][1:] == k[order][:-1] for k in keys], axis=0)
-    place = places[order]
-    n = len(order)
-    fresh = np.concatenate(([True], ~same))                    # first of its class
-    start = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    stop = np.minimum.accumulate(np.where(np.concatenate((~same, [True])), np.arange(n), n)[::-1])[::-1]
-    earlier, later = np.zeros(n, bool), np.zeros(n, bool)
-    earlier[order] = place[start] < place
-    later[order] = place[stop] > place
-    return earlier, later
-
-
-def _suffixes(first_stays: bool):
-    """Spans (start, end) covered by matching suffixes in contexts that are sorted by anchor hash."""
-    def run(batches):
-        for t in by_group(batches, ["h"], BUFFER // (LEFT + LENGTH)):
-            blobs = t.column("bytes").to_pylist()
-            sizes = np.fromiter(map(len, blobs), np.int64, len(blobs))
-            begin = np.cumsum(np.concatenate(([0], sizes[:-1])))
-            data = np.frombuffer(b"".join(blobs), np.uint8)
-            count = np.maximum(sizes - LENGTH + 1, 0)
-            row = np.repeat(np.arange(len(blobs)), count)
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-            local = begin[row] + offset
-            if not len(local):
-                continue
-            at = t.column("start").to_numpy()
-            # Places in document order: rank of the document, then the byte.
-            ident = np.stack([t.column("_id").to_numpy(), t.column("_sig").to_numpy()], 1)
-            _, doc = np.unique(ident, axis=0, return_inverse=True)
-            start = at[row] + offset
-            place = doc.ravel()[row].astype(np.int64) << 40 | start
-            keys = [window_hashes(data, local, s) for s in (0, 1)]
-            earlier, later = earlier_and_later(keys, place)
-            hit = earlier if first_stays else earlier | later
-            # Neighbouring hits of a context become one span.
-            edge = np.diff(np.concatenate(([0], hit.astype(np.int8), [0])))
-            new = np.concatenate(([False], row[1:] != row[:-1])) & hit & np.concatenate(([False], hit[:-1]))
-            opens = np.union1d(np.nonzero(edge == 1)[0], np.nonzero(new)[0])
-            closes = np.union1d(np.nonzero(edge == -1)[0], np.nonzero(new)[0]) - 1
-            if len(opens):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ident[row[opens], 0]), pa.array(ident[row[opens], 1]), pa.array(start[opens]), pa.array(start[closes] + LENGTH)],
-                    names=["_id", "_sig", "start", "end"])
-    return run
-
-
-SPANS = "_id bigint, _sig bigint, start bigint, end bigint"
-
-
-def _contexts(limit: int):
-    """Contexts by group ``h``; those of an anchor hash with more than ``limit`` contexts as two halves.
-
-    A string that begins up to LEFT / 2 before its anchor shares the bytes from the anchor on that
-    all such strings have; any other one has LEFT / 2 + 1 bytes before it. A half's group is the hash of
-    those bytes, so halves that share them with no other one can be left out.
-    """
-    half = LEFT // 2
-
-    def run(batches):
-        from xxhash import xxh3_64_intdigest
-        names = ["_id", "_sig", "h", "side", "lo", "hi", "at", "start", "bytes"]
-        signed = lambda v: v - (1 << 64) if v >> 63 else v
-        for batch in batches:
-            out = {n: [] for n in names}
-            for i, sig, text, looks in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                data = text.encode()
-                for x in looks:
-                    p, h = x["at"], x["h"]
-                    if x["kinds"] <= limit:
-                        rows = [(h, 0, 0, LEFT, max(0, p - LEFT), p + LENGTH)]
-                    else:
-                        rows, seed = [], h % (1 << 64)
-                        if p + LENGTH - half <= len(data):
-                            rows.append((signed(xxh3_64_intdigest(data[p:p + LENGTH - half], seed)), 1, 0, half, max(0, p - half), p + LENGTH))
-                        if p > half:
-                            rows.append((signed(xxh3_64_intdigest(data[p - half - 1:p + GRAM], seed ^ 1)), 2, half + 1, LEFT, max(0, p - LEFT), p + LENGTH - half - 1))
-                    for group, side, lo, hi, start, end in rows:
-                        for n, v in zip(names, (i, sig, group, side, lo, hi, p, start, data[start:end])):
+        out = {n: [] for n in names}
+        for i, sig, text, looks in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            data = text.encode()
+            for x in looks:
+                for lo, hi in CELLS:
+                    a, b, p = max(lo, x["lo"]), min(hi, x["hi"]), x["at"]
+                    if a <= b:
+                        for n, v in zip(names, (i, sig, x["h"], p, lo, hi, b, data[p - b:p - a + LENGTH])):
                             out[n].append(v)
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((n, pa.int64()) for n in names[:-1]), ("bytes", pa.binary())]))
-    return run
+        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([*((n, pa.int64()) for n in names[:-1]), ("bytes", pa.binary())]))
 
 
-def _wide_spans(contexts: DataFrame, first_stays: bool) -> DataFrame:
-    """Spans for groups with more contexts than one task should take.
+def _partial_spans(rows: DataFrame, first_stays: bool) -> DataFrame:
+    """Spans of strings that different contexts of one anchor hash share.
 
-    A string may begin ``lo`` to ``hi`` bytes before the anchor. For such a range, all strings share
-    their common bytes, and the bytes they cover together are a match as a whole if another
-    context has them. Ranges are halved from level to level; a context leaves when it shares its
-    common bytes with no other one. Of contexts with one cover only the first goes on, as it stands
-    for all of them. Rows only meet in counts by hash.
+    A row is a context's strings that begin ``lo`` to ``hi`` bytes before the anchor; ``bytes`` covers
+    them all and has the anchor at ``before``. Ranges are halved from level to level; a row leaves
+    when it shares its common bytes with no other one. Of rows with one cover only the first goes on,
+    as it stands for all of them. Levels are as many as halvings of LENGTH.
     """
-    def part(before, after):                                       # bytes around the anchor
-        return F.substring("bytes", (F.col("before") - before + 1).cast("int"), (before + after).cast("int"))
-
-    def named(prefix: str, data):
-        return {f"{prefix}0": F.xxhash64("h", "lo", "hi", data), f"{prefix}1": F.xxhash64(data, "hi", "lo", "h")}
-
-    lo, hi, place = F.col("lo"), F.col("hi"), F.struct("_id", "_sig", "at")
-    rows = contexts.select("_id", "_sig", "at", "h", "bytes", (F.col("at") - F.col("start")).alias("before"), "lo", "hi")
-    rows = rows.withColumn("after", F.length("bytes") - F.col("before"))
-    found = contexts.sparkSession.createDataFrame([], SPANS)
-    while not rows.isEmpty():
-        fits = (lo <= F.col("before")) & (LENGTH - hi <= F.col("after"))
-        whole = (hi <= F.col("before")) & (LENGTH - lo <= F.col("after"))
-        level = rows.filter(fits).withColumns(named("s", part(lo, LENGTH - hi)))
-        level = keep(level.withColumns({k: F.when(whole, v) for k, v in named("c", part(hi, LENGTH - lo)).items()}))
-        shared = keep(level.groupBy("s0", "s1").agg(F.count("*").alias("n")).filter("n > 1").select("s0", "s1"))
-        covers = keep(level.filter("c0 is not null").groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(place).alias("c_first")).filter("n > 1").drop("n"))
-        level = level.join(shared, ["s0", "s1"]).join(covers, ["c0", "c1"], "left")
+    def named(prefix: str, *data):
+        return {f"{prefix}0": F.xxhash64("h", "lo", *data), f"{prefix}1": F.xxhash64(*data, "hi", "h")}
+
+    lo, hi, before, place = F.col("lo"), F.col("hi"), F.col("before"), F.struct("_id", "_sig", "at")
+    nearest = before + LENGTH - F.length("bytes")                  # the last string's distance before the anchor
+    common = F.substring("bytes", (before - lo + 1).cast("int"), (LENGTH - hi + lo).cast("int"))
+    middle = F.floor((lo + hi) / 2)
+    halves = F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi")))
+    found = None
+    while found is None or not rows.isEmpty():
+        level = rows.withColumns(named("s", common) | named("c", "before", "bytes"))
+        shared = level.groupBy("s0", "s1").agg(F.count("*").alias("n")).filter("n > 1").select("s0", "s1")
+        level = keep(level.join(shared, ["s0", "s1"]).drop("s0", "s1"))
+        covers = keep(level.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(place).alias("c_first")).filter("n > 1").drop("n"))
+        level = level.join(covers, ["c0", "c1"], "left").drop("c0", "c1")
         later = F.coalesce(place != F.col("c_first"), F.lit(False))
-        matched = later if first_stays else F.col("c_first").isNotNull()
-        level = keep(level.withColumns({"matched": matched, "later": later}).drop("s0", "s1", "c0", "c1", "c_first"))
-        found = found.unionByName(level.filter("matched").select("_id", "_sig", (F.col("at") - hi).alias("start"), (F.col("at") + LENGTH - lo).alias("end")))
-        middle = F.floor((lo + hi) / 2)
-        halves = F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi")))
-        rows = level.filter(~F.col("later") & (lo < hi)).select("*", F.explode(halves).alias("_range")).withColumns({"lo": F.col("_range.lo"), "hi": F.col("_range.hi")}).drop("_range", "matched", "later")
+        level = keep(level.withColumns({"matched": later if first_stays else F.col("c_first").isNotNull(), "later": later}).drop("c_first"))
+        spans = level.filter("matched").select("_id", "_sig", (F.col("at") - before).alias("start"), (F.col("at") - nearest + LENGTH).alias("end"))
+        found = spans if found is None else found.unionByName(spans)
+        rows = level.filter(~F.col("later") & (lo < hi)).drop("matched", "later").withColumn("_cell", F.explode(halves)).withColumns({"lo": F.col("_cell.lo"), "hi": F.col("_cell.hi")}).drop("_cell")
+        a, b = F.greatest(lo, nearest), F.least(hi, before)         # of the half's strings, those of this anchor
+        rows = rows.withColumns({"_a": a, "_b": b}).filter("_a <= _b")
+        rows = rows.withColumns({"bytes": F.substring("bytes", (before - F.col("_b") + 1).cast("int"), (F.col("_b") - F.col("_a") + LENGTH).cast("int")), "before": F.col("_b")}).drop("_a", "_b")
     return found
 
 
@@ -331,37 +182,25 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def repeated_spans(named: DataFrame, first_stays: bool = False) -> DataFrame:
     """(_id, _sig, start, end): byte spans, possibly overlapping, that repeat; ``named`` comes from ``keyed``."""
     texts = named.select("_id", "_sig", "_text")
-    found = keep(texts.mapInArrow(_anchor_rows, ANCHORS))
-    hot = keep(found.groupBy("h").count().filter(F.col("count") > HOT).select("h"))
-
-    order = ["h", "context", "_id", "_sig", "at"]
-    cold = found.join(hot, "h", "left_anti").select("_id", "_sig", "at", "second", "last", "n", "h", "context")
-    cold = keep(cold.repartition("h").sortWithinPartitions(*order).mapInArrow(_compare_contexts(first_stays), ", ".join(f"{c} bigint" for c in COMPARED)))
+    found = keep(texts.mapInArrow(_anchor_rows, ", ".join(f"{c} bigint" for c in ["_id", "_sig", *RUN])))
+    repeated = found.groupBy("h").agg(F.sum("n").alias("copies"), (F.min("context") < F.max("context")).alias("mixed")).filter("copies > 1")
+    some = keep(found.join(repeated.select("h", "mixed"), "h"))
 
-    often = found.join(hot, "h", "left_semi")
     place = F.struct("_id", "_sig", "at")
-    groups = keep(often.groupBy("h", "context").agg(F.sum("n").alias("copies"), F.min(place).alias("first")))
-    kinds = keep(groups.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
-    matched = often.join(groups.filter("copies > 1").select("h", "context", "first"), ["h", "context"])
+    groups = some.groupBy("h", "context").agg(F.sum("n").alias("copies"), F.min(place).alias("first"), *(F.min(c).alias(c) for c in ("lo", "hi", "mixed")))
+    groups = keep(groups.filter("copies > 1 or mixed"))
+    matched = some.join(groups.filter("copies > 1").select("h", "context", "first"), ["h", "context"])
     begin = F.col("at")
     if first_stays:                                # of the first run, the anchors after its first
         first = place == F.col("first")
         matched, begin = matched.filter(~first | (F.col("n") > 1)), F.when(first, F.col("second")).otherwise(begin)
-    often = matched.select("_id", "_sig", F.greatest(F.lit(0), begin - LEFT).alias("start"), (F.col("last") + LENGTH).alias("end"))
-    direct = cold.filter("what = 0").select("_id", "_sig", "start", "end").unionByName(often)
+    whole = matched.select("_id", "_sig", (begin - F.col("hi")).alias("start"), (F.col("last") - F.col("lo") + LENGTH).alias("end"))
 
-    look = cold.filter("what = 1").select("_id", "_sig", "at", "h", "kinds")
-    look = look.unionByName(groups.join(kinds, "h").select("first._id", "first._sig", "first.at", "h", "kinds"))
-    per_text = look.groupBy("_id", "_sig").agg(F.collect_list(F.struct("at", "h", "kinds")).alias("looks"))      # bounded by the text
+    look = groups.filter("mixed").select("first._id", "first._sig", F.struct("first.at", "h", "lo", "hi").alias("look"))
+    per_text = look.groupBy("_id", "_sig").agg(F.collect_list("look").alias("looks"))          # bounded by the text
     one_each = texts.join(per_text, ["_id", "_sig"]).select("_id", "_sig", "_text", "looks")
-    contexts = keep(one_each.mapInArrow(_contexts(CONTEXTS), "_id bigint, _sig bigint, h bigint, side bigint, lo bigint, hi bigint, at bigint, start bigint, bytes binary"))
-    halves = contexts.filter("side > 0")
-    sizes = keep(halves.groupBy("h").count().filter("count > 1"))
-    halves = halves.join(sizes, "h")
-    columns = ["h", "_id", "_sig", "start", "bytes"]
-    narrow = contexts.filter("side = 0").select(columns).unionByName(halves.filter(F.col("count") <= CONTEXTS).select(columns))
-    near = keep(narrow.repartition("h").sortWithinPartitions("h", "_id", "_sig", "start").mapInArrow(_suffixes(first_stays), SPANS))
-    return direct.unionByName(near).unionByName(_wide_spans(keep(halves.filter(F.col("count") > CONTEXTS)), first_stays))
+    contexts = keep(one_each.mapInArrow(_context_rows, "_id bigint, _sig bigint, h bigint, at bigint, lo bigint, hi bigint, before bigint, bytes binary"))
+    return whole.unionByName(_partial_spans(contexts, first_stays))
 
 
 def cut(named: DataFrame, spans: DataFrame, as_text: bool = False) -> DataFrame:
