@@ -150,25 +150,25 @@ def _partial_spans(rows: DataFrame, first_stays: bool) -> DataFrame:
         return {f"{prefix}0": F.xxhash64("h", "lo", *data), f"{prefix}1": F.xxhash64(*data, "hi", "h")}
 
     lo, hi, before, place = F.col("lo"), F.col("hi"), F.col("before"), F.struct("_id", "_sig", "at")
-    nearest = before + LENGTH - F.length("bytes")                  # the last string's distance before the anchor
+    last = before + LENGTH - F.length("bytes")                     # how far before the anchor the last string begins
     common = F.substring("bytes", (before - lo + 1).cast("int"), (LENGTH - hi + lo).cast("int"))
     middle = F.floor((lo + hi) / 2)
     halves = F.array(F.struct(lo.alias("lo"), middle.alias("hi")), F.struct((middle + 1).alias("lo"), hi.alias("hi")))
     found = None
     while found is None or not rows.isEmpty():
         level = rows.withColumns(named("s", common) | named("c", "before", "bytes"))
-        shared = level.groupBy("s0", "s1").agg(F.count("*").alias("n")).filter("n > 1").select("s0", "s1")
-        level = keep(level.join(shared, ["s0", "s1"]).drop("s0", "s1"))
-        covers = keep(level.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(place).alias("c_first")).filter("n > 1").drop("n"))
-        level = level.join(covers, ["c0", "c1"], "left").drop("c0", "c1")
-        later = F.coalesce(place != F.col("c_first"), F.lit(False))
-        level = keep(level.withColumns({"matched": later if first_stays else F.col("c_first").isNotNull(), "later": later}).drop("c_first"))
-        spans = level.filter("matched").select("_id", "_sig", (F.col("at") - before).alias("start"), (F.col("at") - nearest + LENGTH).alias("end"))
+        covers = keep(level.groupBy("c0", "c1").agg(F.count("*").alias("n"), F.min(place).alias("c_first"), F.min("s0").alias("s0"), F.min("s1").alias("s1")))
+        shared = covers.groupBy("s0", "s1").agg(F.sum("n").alias("rows")).filter("rows > 1").select("s0", "s1")
+        covers = covers.join(shared, ["s0", "s1"]).select("c0", "c1", "c_first", (F.col("n") > 1).alias("copied"))
+        later = F.col("copied") & (place != F.col("c_first"))
+        level = level.drop("s0", "s1").join(covers, ["c0", "c1"]).withColumns({"matched": later if first_stays else F.col("copied"), "more": ~later & (lo < hi), "last": last})
+        level = keep(level.filter("matched or more").withColumn("bytes", F.when(F.col("more"), F.col("bytes"))).drop("c0", "c1", "c_first", "copied"))
+        spans = level.filter("matched").select("_id", "_sig", (F.col("at") - before).alias("start"), (F.col("at") - F.col("last") + LENGTH).alias("end"))
         found = spans if found is None else found.unionByName(spans)
-        rows = level.filter(~F.col("later") & (lo < hi)).drop("matched", "later").withColumn("_cell", F.explode(halves)).withColumns({"lo": F.col("_cell.lo"), "hi": F.col("_cell.hi")}).drop("_cell")
-        a, b = F.greatest(lo, nearest), F.least(hi, before)         # of the half's strings, those of this anchor
+        rows = level.filter("more").withColumn("_cell", F.explode(halves)).withColumns({"lo": F.col("_cell.lo"), "hi": F.col("_cell.hi")}).drop("_cell")
+        a, b = F.greatest(lo, F.col("last")), F.least(hi, before)         # of the half's strings, those of this anchor
         rows = rows.withColumns({"_a": a, "_b": b}).filter("_a <= _b")
-        rows = rows.withColumns({"bytes": F.substring("bytes", (before - F.col("_b") + 1).cast("int"), (F.col("_b") - F.col("_a") + LENGTH).cast("int")), "before": F.col("_b")}).drop("_a", "_b")
+        rows = rows.withColumns({"bytes": F.substring("bytes", (before - F.col("_b") + 1).cast("int"), (F.col("_b") - F.col("_a") + LENGTH).cast("int")), "before": F.col("_b")}).drop("_a", "_b", "matched", "more", "last")
     return found
 
 
