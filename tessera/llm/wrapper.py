@@ -9,7 +9,8 @@ of the varying text outside noise elements; an ``article`` or ``main`` element i
 page's text is what stands in the nodes matched with the main slot, without template nodes and
 noise; where nothing matches, the page's own largest candidate is used.
 
-Null and empty pages, and pages without text, yield the empty text. A null or odd URL belongs to the
+Elements nested deeper than DEPTH are aligned as part of their ancestor there, so trees of any depth are
+read and nothing in them is lost. Null and empty pages, and pages without text, yield the empty text. A null or odd URL belongs to the
 host ''. Repeated rows are extracted one by one; other columns are ignored.
 """
 import html as entities
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 from .common import keep
 
 TEMPLATE, PAGES = 0.9, 10            # share of a host's distinct pages with one text, and pages needed, to call that text template
+DEPTH = 200                          # levels of a tree that are aligned one by one
 MAIN = 0.5                           # share of the varying text that the main slot holds
 
 # HTML element groups.
@@ -158,16 +160,18 @@ END = iter(())
 class Slot:
     """All siblings of one kind: their nodes, own text and slots of their children; noise and all in it stays out."""
 
-    __slots__ = ("kind", "nodes", "slots")
+    __slots__ = ("kind", "nodes", "slots", "deepest")
 
-    def __init__(self, kind: str, nodes: list[Node]):
-        self.kind, self.nodes = kind, nodes
+    def __init__(self, kind: str, nodes: list[Node], depth: int = 1):
+        self.kind, self.nodes, self.slots, self.deepest = kind, nodes, [], depth == DEPTH
+        if self.deepest:
+            return
         groups: dict[str, list[Node]] = {}
         for node in nodes:
             for item in node.items:
                 if not isinstance(item, str) and item.tag in BLOCK and not item.noise:
                     groups.setdefault(item.kind, []).append(item)
-        self.slots = [Slot(k, v) for k, v in groups.items()]
+        self.slots = [Slot(k, v, depth + 1) for k, v in groups.items()]
 
 
 def outline(slot: Slot) -> list:
@@ -211,7 +215,7 @@ def tree_match(slot: Slot, other: list, path: str = "") -> tuple[int, list[tuple
 
 
 def own_text(slot: Slot) -> tuple[str, int]:
-    """Text of a slot's nodes outside child blocks, and its length without links."""
+    """Text of a slot's nodes outside the slots of its children, and its length without links."""
     whole, free = [], 0
     for node in slot.nodes:
         todo = [(item, False) for item in reversed(node.items)]
@@ -220,7 +224,7 @@ def own_text(slot: Slot) -> tuple[str, int]:
             if isinstance(item, str):
                 whole.append(item)
                 free += 0 if linked else len(item.strip())
-            elif item.tag not in BLOCK and not item.noise:
+            elif not item.noise and (item.tag not in BLOCK or slot.deepest):
                 todo.extend((x, linked or item.tag == "a") for x in reversed(item.items))
     return " ".join("".join(whole).split()), free
 

@@ -53,6 +53,18 @@ def test_copies_of_one_article_are_no_template(spark):
     assert all(got[300 + i] == [f"Copy {i}", same.strip(), "Box", "box"] for i in range(300))
 
 
+def test_deep_pages_beside_others_and_alone(spark):
+    deep = "<html><body><div class=top>Home</div>" + "<div>" * 50000 + "<p>far {i} down</p><p>and on</p>"
+    rows = [(i, f"http://h.example/{i}", deep.format(i=i)) for i in range(12)]
+    rows += [(100 + i, f"http://h.example/g{i}", f"<html><body><div class=top>Home</div><article><p>story {i}</p></article></body></html>") for i in range(12)]
+    rows += [(200, "http://one.example/", deep.format(i=200)), (201, "http://two.example/", "<div>" * 1500 + "<article><p>within</p></article><p>outside</p>")]
+    got = {r.page_id: r.text for r in wrapper.main_text(tune(spark).createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i in [*range(12), 200]:
+        assert f"far {i} down\nand on" in got[i]
+    assert all(f"story {i}" in got[100 + i] for i in range(12)) and "within" in got[201]
+
+
 def test_blocks_and_odd_markup():
     text = lambda page: "\n".join(wrapper.blocks([wrapper.parse(page)]))
     assert text("<p>a<b>b</b> c<br>d<p>e&nbsp;f &copy &#65;") == "ab c d\ne f © A"
