@@ -8,7 +8,8 @@ bucket that holds more than ``BUCKET`` fingerprints is cut into a grid of chunk
 two still meet.
 
 ``one_of_each`` takes near copies as texts whose sets of five-word shingles have a Jaccard index of
-0.8 or more; candidates share one of BANDS bands of least hashes and are compared by whole sets.
+0.8 or more. Candidates are texts whose fingerprints link, as above, or that share one of BANDS bands
+of least hashes, as most pairs at 0.8 differ in more bits; both are then compared by whole sets.
 
 Null, empty and wordless texts have fingerprint zero and link like any other; null keys are kept.
 """
@@ -27,21 +28,30 @@ SHINGLE, LIKE = 5, (4, 5)            # words of a shingle, likeness (as a fracti
 ROWS, BANDS, CHUNK = 8, 32, 512      # hashes in a band, bands, texts in a chunk of a grid
 
 
-def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
-    """Unsigned fingerprint; words are runs without ASCII white space, A-Z lowered."""
+def all_shingle_hashes(text: str, words: int, seed: int = SEED) -> np.ndarray:
+    """Hashes of the word shingles in order, repeats included; a text with fewer words is one shingle, one without words none."""
     from xxhash import xxh64_intdigest
     parts = text.encode().lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     line = memoryview(b" ".join(parts))
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     last = ends[min(words, len(parts)) - 1:].tolist()
-    hashes = np.array([xxh64_intdigest(line[s:e], seed) for s, e in zip(starts.tolist(), last)], "<u8")
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.array([xxh64_intdigest(line[s:e], seed) for s, e in zip(starts.tolist(), last)], np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Unsigned fingerprint of shingle hashes; zero for none."""
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(ones * 2 > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def simhash(text: str, words: int = WORDS, seed: int = SEED) -> int:
+    """Unsigned fingerprint; words are runs without ASCII white space, A-Z lowered."""
+    return majority(all_shingle_hashes(text, words, seed))
+
+
 def fingerprint(text: Column, words: int = WORDS, seed: int = SEED) -> Column:
     """The fingerprint as a signed long."""
     @F.arrow_udf(T.LongType())
@@ -151,15 +161,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def shingle_hashes(text: str, words: int = SHINGLE) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; a text with fewer words is one shingle."""
-    from xxhash import xxh64_intdigest
-    parts = text.encode().lower().split()
-    if not parts:
-        return np.zeros(0, np.uint64)
-    line = memoryview(b" ".join(parts))
-    ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    last = ends[min(words, len(parts)) - 1:].tolist()
-    return np.unique(np.array([xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts.tolist(), last)], np.uint64))
+    return np.unique(all_shingle_hashes(text, words))
 
 
 def band_keys(hashes: np.ndarray) -> list[int]:
@@ -177,16 +179,32 @@ def band_keys(hashes: np.ndarray) -> list[int]:
 
 
 def sketch(text: Column) -> Column:
-    """A hash of the whole shingle set, zero for none, and its band keys."""
-    @F.arrow_udf("struct<fp:bigint,bands:array<bigint>>")
+    """A hash of the whole shingle set, zero for none, the fingerprint of the shingles and the set's band keys."""
+    @F.arrow_udf("struct<fp:bigint,print:bigint,bands:array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
         from xxhash import xxh64_intdigest
-        sets = [shingle_hashes(t) for t in texts.to_pylist()]
-        fps = np.array([xxh64_intdigest(s.tobytes()) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-        return pa.StructArray.from_arrays([pa.array(fps), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))], names=["fp", "bands"])
+        fps, prints, bands = [], [], []
+        for text in texts.to_pylist():
+            hashes = all_shingle_hashes(text, SHINGLE)
+            own = np.unique(hashes)
+            fps.append(xxh64_intdigest(own.tobytes()) if len(own) else 0)
+            prints.append(majority(hashes))
+            bands.append(band_keys(own))
+        signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
+        return pa.StructArray.from_arrays([signed(fps), signed(prints), pa.array(bands, pa.list_(pa.int64()))], names=["fp", "print", "bands"])
     return run(text)
 
 
+def linked_prints(prints: DataFrame) -> DataFrame:
+    """(u, v) of shingle sets whose fingerprints link: those of one fingerprint, and the least set of each linked one."""
+    rows = prints.select("fp", "print").distinct()
+    least = keep(rows.groupBy("print").agg(F.min("fp").alias("least")))
+    same = rows.join(least, "print").filter("fp <> least").select(F.col("fp").alias("u"), F.col("least").alias("v"))
+    end = lambda name: least.select(F.col("print").alias(name), F.col("least").alias(f"_{name}"))
+    apart = links(least.select(F.col("print").alias("fp"))).join(end("u"), "u").join(end("v"), "v")
+    return same.unionByName(apart.select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+
 def alike(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     """Links from each member of a linked group to its first member; two sets link at Jaccard 0.8 or more."""
     sizes = np.array([len(s) for s in sets], np.int64)
@@ -229,17 +247,18 @@ def _verified(batches):
     yield out()
 
 
-def similar_groups(docs: DataFrame, prints: DataFrame) -> DataFrame:
+def similar_groups(docs: DataFrame, prints: DataFrame, near: DataFrame | None = None) -> DataFrame:
     """(fp, group): sets linked by Jaccard 0.8 or more; ``prints`` has the sketch of each row of ``docs``.
 
-    Sets that share a band are candidates. Texts of a linked set of candidates meet, in a grid of
+    Sets that share a band are candidates, and those that the links ``near(u, v)`` join. Texts of a linked set of candidates meet, in a grid of
     chunk pairs where there are many, and are compared by their whole sets.
     """
     place = ["_near_id", "_near_sig"]
     classes = keep(prints.groupBy("fp").agg(F.first("bands").alias("bands"), F.min(F.struct(*place)).alias("first")))
     rows = classes.select("fp", F.explode("bands").alias("_key"))
     shared = keep(rows.groupBy("_key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("_key", "low"))
-    roots = components(rows.join(shared, "_key").filter("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v")))
+    banded = rows.join(shared, "_key").filter("fp <> low").select(F.col("fp").alias("u"), F.col("low").alias("v"))
+    roots = components(banded if near is None else near.unionByName(banded))
     members = keep(roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()))
     sizes = keep(members.groupBy("root").agg(F.ceil(F.count("*") / CHUNK).alias("n")))
     places = keep(members.join(sizes, "root").join(classes.select("fp", "first"), "fp").select("root", "n", "fp", *(f"first.{c}" for c in place)))
@@ -256,8 +275,8 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """The rows of ``docs`` that stay: of each group of near copies the one with the smallest key, then text hash."""
     names = {"_near_id": F.coalesce(F.col(key).cast("bigint"), F.lit((1 << 63) - 1)), "_near_sig": F.xxhash64(whole_text(text))}
     named = docs.withColumns(names)
-    prints = keep(named.select("_near_id", "_near_sig", sketch(whole_text(text)).alias("s")).select("_near_id", "_near_sig", "s.fp", "s.bands"))
-    found = similar_groups(named.withColumn("_near_text", whole_text(text)), prints)
+    prints = keep(named.select("_near_id", "_near_sig", sketch(whole_text(text)).alias("s")).select("_near_id", "_near_sig", "s.*"))
+    found = similar_groups(named.withColumn("_near_text", whole_text(text)), prints, linked_prints(prints))
     best = prints.join(found, "fp").groupBy("group").agg(F.min(F.struct("_near_id", "_near_sig")).alias("b"))
     best = keep(best.select("b._near_id", "b._near_sig"))
     return named.join(best, ["_near_id", "_near_sig"], "left_semi").dropDuplicates(["_near_id", "_near_sig"]).select(*docs.columns)

@@ -140,3 +140,12 @@ def test_recall_of_near_copies_on_the_given_table(spark):
     found = sum(group[a] == group[b] for a, b in near)
     print("near pairs", len(near), "joined", found)
     assert len(near) >= 20 and found >= 0.9 * len(near)
+
+
+def test_near_copies_come_from_linked_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "band_keys", lambda hashes: [])      # fingerprints alone
+    base = [f"w{i}" for i in range(2000)]
+    texts = {1: " ".join(base), 2: " ".join(base[:-1] + ["other"]), 3: " ".join(reversed(base)), 4: "", 5: None}
+    bits = (simhash.simhash(texts[1], 5) ^ simhash.simhash(texts[2], 5)).bit_count()
+    got = simhash.one_of_each(tune(spark).createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert bits <= simhash.DISTANCE and sorted(r.doc_id for r in got) == [1, 3, 4]
