@@ -75,3 +75,9 @@ def test_pairs_of_places_alone(spark):
     alone = match.place_and_order_pairs(s, o, ["place"])
     assert sorted(alone.select(whole.columns).collect()) == sorted(whole.collect()) and alone.count() == 3
     assert not mt.reads_outputs(["order_anchor_coverage", "evaluation_coverage_exact"]) and mt.reads_outputs(["table_count_recall"])
+
+
+def test_coverage_leaves_the_outputs_alone(spark, folder, cuts, monkeypatch):
+    monkeypatch.setattr(views, "markdown_facts", lambda arms: pytest.fail("outputs are read"))
+    rows = registry.QUERIES["coverage_metric"](spark, folder)
+    assert cuts == [] and rows.count() == 4 * 6 + 2 * 9 + 1 + 3
