@@ -1,4 +1,6 @@
 """What the queries of the comparison read, store and leave out."""
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,3 +83,16 @@ def test_coverage_leaves_the_outputs_alone(spark, folder, cuts, monkeypatch):
     monkeypatch.setattr(views, "markdown_facts", lambda arms: pytest.fail("outputs are read"))
     rows = registry.QUERIES["coverage_metric"](spark, folder)
     assert cuts == [] and rows.count() == 4 * 6 + 2 * 9 + 1 + 3
+
+
+def test_matched_facts_move_once_and_without_their_texts(spark):
+    long, digest = "x" * 200, "#" + hashlib.sha256(b"x" * 200).hexdigest()
+    rows = lambda texts: [(1, "TEXT_BLOCK", t, i, f"f{i}", None) for i, t in enumerate(texts)]
+    types = "doc_id long, kind string, norm string, ord long, fact_id string, place string"
+    s = spark.createDataFrame(rows([long, long + "y", "a", long, "", "b" * 64]), types)
+    o = spark.createDataFrame(rows(["b" * 64, digest, long, "a", "a", long, long + "z", "", long]), types).withColumn("arm", F.lit("m"))
+    pairs = match.match_text_fifo(s, o)
+    assert sorted((r.source_ord, r.output_ord) for r in pairs.collect()) == [(0, 2), (2, 3), (3, 5), (5, 0)]
+    with_join = match.match_text_fifo(s, o).hint("merge")._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in with_join.split("\n") if "Exchange hashpartitioning" in line]
+    assert moved and all("hashpartitioning(doc_id#" in line and line.count("#") == 1 + line.count("plan_id=#") for line in moved)
