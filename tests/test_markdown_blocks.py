@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.markdown_blocks import facts_of
 from tessera.operators.markdown_facts import markdown_facts
-from tessera.session import by_document
+from tessera.session import by_document, tune
 
 
 def flat(text, defines=True):
@@ -42,3 +42,10 @@ def test_text_that_is_not_utf8_stays(spark):
     rows = spark.createDataFrame([(1, "a", bytearray(b"ok \xff\xfe end"))], "doc_id long, arm string, b binary")
     found = markdown_facts(rows.select("doc_id", "arm", F.col("b").cast("string").alias("markdown")))
     assert found.select(F.col("text").cast("binary").alias("t")).first().t == b"ok \xff\xfe end"
+
+
+def test_batches_of_texts_are_bounded(spark):
+    tune(spark)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+    texts = spark.range(4500).select(F.col("id").alias("doc_id"), F.lit("a").alias("arm"), F.concat(F.lit("# h\n\n"), "id").alias("markdown"))
+    assert markdown_facts(texts.coalesce(1)).filter("ord = 1 AND text = cast(doc_id AS string)").count() == 4500
